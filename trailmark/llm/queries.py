@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_files
+from . import licences, media, packing, sharding, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,5 +30,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_best_fit_packing, op5_token_files)}
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.media_features(stored)
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_best_fit_packing, op5_token_files, op9_licence_scan, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
