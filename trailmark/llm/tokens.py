@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
-CACHE_CHUNKS = 400_000  # per Python worker; then the cache starts anew (results don't depend on it)
+CACHE_CHUNKS = 600_000  # in each of two generations, per Python worker (results don't depend on it)
 ODD_SPACE = re.compile(r" (?=\s|$)")
+PLAIN = re.compile(r"[^\s\x00]+").fullmatch
+JOINED = 64  # plain chunks encoded in one string, parted by a sign that stays a token of its own
 
 
 class ChunkEncoder:
@@ -22,25 +25,43 @@ class ChunkEncoder:
     def __init__(self, path: str, keep_space: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep_space, self.cache = Tokenizer.from_file(path), keep_space, {}
+        self.tokenizer, self.keep_space, self.cache = Tokenizer.from_file(path), keep_space, {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.sign = "\n" if keep_space else " \x00 "
+        (self.sign_id,) = self.tokenizer.encode(self.sign.strip(" "), add_special_tokens=False).ids
 
     def _fill(self, chunks: list[str]) -> None:
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {}
-        new = [c for c in dict.fromkeys(chunks) if c not in self.cache]
-        lead = " " if self.keep_space else ""
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([lead + c for c in part], add_special_tokens=False), strict=True):
-                self.cache[c] = np.array(e.ids, dtype="<u4").tobytes()
+            self.older, self.cache = self.cache, {"": b""}
+        put, lead = self.cache, " " if self.keep_space else ""
+        new = []
+        for c in dict.fromkeys(chunks):
+            if c not in put:
+                if (ids := self.older.get(c)) is not None:
+                    put[c] = ids
+                else:
+                    new.append(c)
+        plain = [c for c in new if PLAIN(c) and "<|" not in c]
+        joined = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        texts = [self.sign.join([lead + c for c in group]) for group in joined]
+        for group, e in zip(joined, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            data, at, cuts = ids.tobytes(), 0, (np.flatnonzero(ids == self.sign_id) * 4).tolist()
+            for c, cut in zip(group, [*cuts, len(data)], strict=True):
+                put[c] = data[at:cut]
+                at = cut + 4
+        known = set(plain)
+        odd = [c for c in new if c not in known]
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast([lead + c for c in odd], add_special_tokens=False), strict=True):
+            put[c] = array("I", e.ids).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for k in range(0, len(texts), 64):
-            out += self._ids(texts[k : k + 64])
+        for k in range(0, len(texts), 256):
+            out += self._ids(texts[k : k + 256])
         return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
