@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, media, packing, quality, sharding, token_files
+from . import decontamination, language_model, licences, media, packing, quality, sharding, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,9 +45,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op7_decontamination, op9_licence_scan, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op9_licence_scan, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
