@@ -39,7 +39,7 @@ def filesystem(uri: str):
 class FrameWriter:
     """Writes one file; nothing is seen under its name until close()."""
 
-    def __init__(self, uri: str, frame_bytes: int = 1 << 18, level: int = 3):
+    def __init__(self, uri: str, frame_bytes: int = 1 << 18, level: int = 1):
         self.fs, self.path = filesystem(uri)
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.temp = f"{self.path}.{uuid.uuid4().hex}.tmp"

@@ -27,20 +27,20 @@ class ChunkEncoder:
 
         self.tokenizer, self.keep_space, self.cache = Tokenizer.from_file(path), keep_space, {"": b""}
         self.older: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {"": b""}  # a text's first chunk, which no space precedes
         self.sign = "\n" if keep_space else " \x00 "
         (self.sign_id,) = self.tokenizer.encode(self.sign.strip(" "), add_special_tokens=False).ids
 
     def _fill(self, chunks: list[str]) -> None:
         if len(self.cache) > CACHE_CHUNKS:
-            self.older, self.cache = self.cache, {"": b""}
+            self.older, self.cache, self.firsts = self.cache, {"": b""}, {"": b""}
         put, lead = self.cache, " " if self.keep_space else ""
         new = []
-        for c in dict.fromkeys(chunks):
-            if c not in put:
-                if (ids := self.older.get(c)) is not None:
-                    put[c] = ids
-                else:
-                    new.append(c)
+        for c in set(chunks).difference(put):
+            if (ids := self.older.get(c)) is not None:
+                put[c] = ids
+            else:
+                new.append(c)
         plain = [c for c in new if PLAIN(c) and "<|" not in c]
         joined = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
         texts = [self.sign.join([lead + c for c in group]) for group in joined]
@@ -74,7 +74,9 @@ class ChunkEncoder:
                 split.append((self.whole(t), []))
             else:
                 first, *rest = t.split(" ")
-                split.append((self.whole(first) if first else b"", rest))
+                if (head := self.firsts.get(first)) is None:
+                    head = self.firsts[first] = self.whole(first)
+                split.append((head, rest))
             every += split[-1][1]
         try:
             get = self.cache.__getitem__
