@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, licences, media, packing, quality, sharding, token_files
+from . import decontamination, language_model, licences, media, ngram_join, packing, quality, sharding, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     shards = sharding.read_shards(spark, sharding.write_shuffled_shards(docs))
@@ -53,5 +58,5 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op9_licence_scan, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op9_licence_scan, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
