@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, licences, media, ngram_join, packing, quality, sharding, token_files
+from . import decontamination, html_text, language_model, licences, media, ngram_join, packing, quality, sharding, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_pages(pages, html_text.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,5 +63,5 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op9_licence_scan, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op8_html_text, op9_licence_scan, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
