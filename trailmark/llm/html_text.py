@@ -180,9 +180,9 @@ def features(nodes: list[Node], pieces: list[tuple[int, str]]) -> np.ndarray:
 
 
 class Boosted:
-    """Gradient-boosted regression trees of depth 3 on binned features, logistic loss."""
+    """Gradient-boosted regression trees of depth 4 on binned features, logistic loss."""
 
-    def __init__(self, trees: int = 40, rate: float = 0.3, bins: int = 32, depth: int = 3):
+    def __init__(self, trees: int = 60, rate: float = 0.3, bins: int = 32, depth: int = 4):
         self.trees, self.rate, self.bins, self.depth, self.grown, self.bias = trees, rate, bins, depth, [], 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
@@ -232,7 +232,7 @@ class Boosted:
         return z
 
 
-def decode(nodes: list[Node], odds: np.ndarray, opening: float = 2.0) -> np.ndarray:
+def decode(nodes: list[Node], odds: np.ndarray, opening: float = 0.5) -> np.ndarray:
     """Whether each node is inside: the most likely labelling of outside, inside and cut without contradictions."""
     n = len(nodes)
     z = np.clip(odds, -8, 8)
@@ -305,8 +305,9 @@ def practice_page(rng: np.random.Generator, words: list[str]) -> str:
         return fill(own[int(rng.integers(len(own)))]) if rng.random() < 0.6 else ""
 
     inner = "<h1>{s}</h1>" * (rng.random() < 0.8)
-    for _ in range(int(rng.integers(1, 12))):
-        inner += BLOCKS[int(rng.integers(len(BLOCKS)))]
+    short = rng.random() < 0.3
+    for _ in range(int(rng.integers(0, 2 if short else 12))):
+        inner += "<p><b>{s}<br>" if short else BLOCKS[int(rng.integers(len(BLOCKS)))]
     inner = re.sub(r"<(?!/|br|b>|a )([a-z0-9]+)", r"<\1 data-in", fill(inner))
     if rng.random() < 0.5:
         inner += part(("advert", "side", "comments", "form", "notice")[int(rng.integers(5))])
@@ -325,7 +326,7 @@ def practice_nodes(html: str) -> tuple[np.ndarray, np.ndarray]:
     return features(nodes, pieces)[1:], np.array(inside, np.float64)
 
 
-def train(pages: DataFrame, practice: int = 400, sample: int = 300, seed: int = 3) -> Boosted:
+def train(pages: DataFrame, practice: int = 600, sample: int = 300, seed: int = 3) -> Boosted:
     """Fit on made-up layouts and on a bounded sample of pages.
 
     practice: number of made-up pages (their words come from the sample). sample: the first so many
