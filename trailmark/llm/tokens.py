@@ -8,7 +8,7 @@ from array import array
 
 import numpy as np
 
-CACHE_CHUNKS = 900_000  # in each of two generations, per Python worker (results don't depend on it)
+CACHE_CHUNKS = 750_000  # in each of two generations, per Python worker (results don't depend on it)
 ODD_SPACE = re.compile(r" (?=\s|$)")
 PLAIN = re.compile(r"[^\s\x00]+").fullmatch
 JOINED = 64  # plain chunks encoded in one string, parted by a sign that stays a token of its own
