@@ -137,17 +137,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     whole texts together). Null labels and ids teach nothing; an id with several labels or texts counts as so
     many rows. Without rows of both labels the model gives the smoothed share of label 1.
     """
-    own = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
-    known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
-    sample = own.join(known, "doc_id").withColumn("h", F.xxhash64(F.lit(11), "doc_id")).orderBy("h", "doc_id", "y", "text").limit(max_rows)
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
+    there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # ids alone are shuffled
+    chosen = there.withColumn("h", F.xxhash64(F.lit(11), "doc_id")).orderBy("h", "doc_id", "y").limit(max_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "y", "text")  # max_rows at most
     texts, y, total = [], [], 0
-    for r in sample.select("text", "y").toLocalIterator():
-        raw = (r[0] or "").encode()
+    for _, _, label_of, text in sorted(map(tuple, sample.collect()), key=lambda r: (r[0], r[1], r[2], r[3] or "")):
+        raw = (text or "").encode()
         if texts and total + len(raw) > max_bytes:
             break
         total += len(raw)
         texts.append(raw)
-        y.append(r[1])
+        y.append(label_of)
     prior = (sum(y) + 1) / (len(y) + 2)
     model = ByteConv(filters, prior=prior)
     if len(set(y)) < 2:
