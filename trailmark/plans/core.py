@@ -354,8 +354,8 @@ def a05(spark, d):
 
 
 # ---------------------------------------------------------------- graphs
-def jaccard_sql(pairs: str) -> str:
-    return f"pr AS ({pairs}), nn AS (SELECT i, count(*) AS n FROM pr GROUP BY 1), bb AS (SELECT x.i AS src, y.i AS dst, count(*) AS nb FROM pr x JOIN pr y ON x.b=y.b AND x.i<>y.i GROUP BY ALL), jac AS (SELECT src, dst, nb/(s.n+t.n-nb) AS weight FROM bb JOIN nn s ON s.i=src JOIN nn t ON t.i=dst)"
+def jaccard_sql(pairs: str, out: str = "jac") -> str:
+    return f"{out}_p AS ({pairs}), {out}_n AS (SELECT i, count(*) AS n FROM {out}_p GROUP BY 1), {out}_b AS (SELECT x.i AS src, y.i AS dst, count(*) AS nb FROM {out}_p x JOIN {out}_p y ON x.b=y.b AND x.i<>y.i GROUP BY ALL), {out} AS (SELECT src, dst, nb/(s.n+t.n-nb) AS weight FROM {out}_b JOIN {out}_n s ON s.i=src JOIN {out}_n t ON t.i=dst)"
 
 
 ITEM = jaccard_sql("SELECT DISTINCT user_key AS b, location_id AS i FROM seen")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core  # noqa: F401  registers its queries
+from .plans import core, ranking  # noqa: F401  registers its queries
 from .plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

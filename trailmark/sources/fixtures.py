@@ -83,4 +83,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("v") == 1, F.array(F.lit("Brand#11"))).otherwise(F.array().cast("array<string>")).alias("avoid_categories"),
         (u % 7 + 1).cast("int").alias("trip_days"),
         F.lit(20).alias("top_k"),
+        F.element_at(F.array(F.lit("chill"), F.lit("foodie"), F.lit("nightlife")), (u % 3 + 1).cast("int")).alias("vibe"),
+        F.when(u % 2 == 1, "family").otherwise("solo").alias("traveler_type"),
+        F.when(F.col("v") == 2, "Art and deep dish").alias("free_text"),
     )

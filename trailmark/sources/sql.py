@@ -31,3 +31,32 @@ EFFECTIVE = """per_session AS (SELECT user_key, location_id, session_key, max(qu
 effective AS (SELECT user_key, location_id, sum(m) AS effective_score, count_if(m>0) AS n_qualified_events, sum(m)>=1.5 AS is_qualified FROM per_session GROUP BY ALL)"""
 QUALIFIED = ",\n".join([EVENTS, LOCATIONS, KEPT, classified(), EFFECTIVE])
 SEEN = "seen AS (SELECT user_key, location_id, effective_score FROM effective WHERE is_qualified AND location_id IN (SELECT location_id FROM fx_locations))"
+REQUESTS = """req AS (SELECT 'r'||user_id||'-'||v AS request_id, CASE WHEN v<2 THEN 'u'||user_id END AS user_key, CASE v WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['ECONOMY','PROMO'] ELSE ['STANDARD'] END AS interests, CASE WHEN v=1 THEN ['Brand#11'] ELSE []::VARCHAR[] END AS avoid_categories, CAST(user_id%7+1 AS INTEGER) AS trip_days, 20 AS top_k,
+ ['chill','foodie','nightlife'][user_id%3+1] AS vibe, CASE WHEN user_id%2=1 THEN 'family' ELSE 'solo' END AS traveler_type, CASE WHEN v=2 THEN 'Art and deep dish' END AS free_text FROM (SELECT DISTINCT user_id FROM events WHERE user_id<20) u, (VALUES (0),(1),(2)) t(v))"""
+TFIDF = """cats AS (SELECT location_id, unnest([primary_category, brand]) AS category FROM fx_locations),
+tok AS (SELECT location_id, trim(regexp_replace(lower(category),'[^a-z0-9]+','_','g'),'_') AS token, count(*) AS tf FROM cats GROUP BY ALL),
+idf AS (SELECT token, ln((1+(SELECT count(DISTINCT location_id) FROM tok))/(1+count(DISTINCT location_id)))+1 AS idf FROM tok GROUP BY 1),
+raww AS (SELECT location_id, token, tf*idf AS w FROM tok JOIN idf USING (token)),
+vec AS (SELECT location_id, token, w/sqrt(sum(w*w) OVER (PARTITION BY location_id)) AS w FROM raww)"""
+BEHAVIOUR = """bsh AS (SELECT user_key, location_id, greatest(effective_score,0.1)/sum(greatest(effective_score,0.1)) OVER (PARTITION BY user_key) AS s FROM seen),
+braw AS (SELECT user_key, token, sum(s*w) AS w FROM bsh JOIN vec USING (location_id) GROUP BY ALL), beh AS (SELECT user_key, token, w/sqrt(sum(w*w) OVER (PARTITION BY user_key)) AS w FROM braw)"""
+
+
+def form() -> str:
+    """V3 over req."""
+    from ..operators.vectors import HINTS, TRAVELERS, VIBES
+
+    quoted = lambda t: "'" + t + "'"
+    table = lambda d: ", ".join(f"({quoted(k)},{i},{quoted(c)},{w})" for k, cats in d.items() for i, (c, w) in enumerate(cats.items()))
+    hints = ", ".join(f"({quoted(k)},{n * 10 + i},{quoted(c)})" for n, (k, cats) in enumerate(HINTS.items()) for i, c in enumerate(cats))
+    return f"""vt(k,o,c,w) AS (VALUES {table(VIBES)}), tt(k,o,c,w) AS (VALUES {table(TRAVELERS)}), ht(k,o,c) AS (VALUES {hints}),
+fw0 AS (SELECT request_id, generate_subscripts(interests,1) AS o, unnest(interests) AS category, 1.0::DOUBLE AS w FROM req UNION ALL SELECT request_id, 100+o, c, w::DOUBLE FROM req JOIN vt ON lower(vibe)=k UNION ALL SELECT request_id, 200+o, c, w::DOUBLE FROM req JOIN tt ON lower(traveler_type)=k UNION ALL SELECT request_id, 300+o, c, 0.5::DOUBLE FROM req JOIN ht ON contains(lower(coalesce(free_text,'')),k)),
+fw AS (SELECT request_id, category, sum(w) AS w, min(o) AS o FROM fw0 GROUP BY ALL),
+ftf AS (SELECT request_id, trim(regexp_replace(lower(category),'[^a-z0-9]+','_','g'),'_') AS token, sum(greatest(round_even(round(w*3,9),0),1)) AS tf FROM fw GROUP BY ALL),
+fraw AS (SELECT request_id, token, tf*idf AS w FROM ftf JOIN idf USING (token)), form AS (SELECT request_id, token, w/sqrt(sum(w*w) OVER (PARTITION BY request_id)) AS w FROM fraw)"""
+
+
+PROFILE = """asked AS (SELECT request_id FROM req WHERE len(interests)>0 OR trim(coalesce(free_text,''))<>''),
+pu AS (SELECT request_id, token, 0.6*w AS w FROM req JOIN beh USING (user_key) UNION ALL SELECT request_id, token, 0.4*w FROM form SEMI JOIN asked USING (request_id)),
+pr0 AS (SELECT request_id, token, sum(w) AS w FROM pu GROUP BY ALL), prof AS (SELECT request_id, token, w/sqrt(sum(w*w) OVER (PARTITION BY request_id)) AS w FROM pr0),
+simt AS (SELECT request_id, location_id, sum(p.w*v.w) AS sim FROM prof p JOIN vec v USING (token) GROUP BY ALL)"""
