@@ -31,7 +31,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def blocks(off: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def blocks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most limit bytes together (a longer text is a run of its own)."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -56,7 +56,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2^64, n of each at least."""
     have = max(_POW, default=0)
     if have < n:
-        size = max(n, 1 << 22)
+        size = max(n, (1 << 20) + (1 << 16))
         inverse = pow(BASE, -1, 1 << 64)
         p, q = np.full(size, BASE, np.uint64), np.full(size, inverse, np.uint64)
         p[0] = q[0] = 1

@@ -36,7 +36,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     schema = pa.schema(PIECE_FIELDS + [("ids", pa.binary())] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path, keep_space=False)
+        enc = encoder(tokenizer_path, keep_space=False, cache_chunks=300_000)
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)

@@ -23,17 +23,17 @@ class ChunkEncoder:
     A text with other runs of white space is encoded whole where the space is kept.
     """
 
-    def __init__(self, path: str, keep_space: bool):
+    def __init__(self, path: str, keep_space: bool, cache_chunks: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep_space, self.cache = Tokenizer.from_file(path), keep_space, {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.cache_chunks, self.older = cache_chunks, {}
         self.firsts: dict[str, bytes] = {"": b""}  # a text's first chunk, which no space precedes
         self.sign = "\n" if keep_space else " \x00 "
         (self.sign_id,) = self.tokenizer.encode(self.sign.strip(" "), add_special_tokens=False).ids
 
     def _fill(self, chunks: list[str]) -> None:
-        if len(self.cache) > CACHE_CHUNKS:
+        if len(self.cache) > self.cache_chunks:
             self.older, self.cache, self.firsts = self.cache, {"": b""}, {"": b""}
         put, lead = self.cache, " " if self.keep_space else ""
         new = []
@@ -91,9 +91,9 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool) -> ChunkEncoder:
+def encoder(path: str, keep_space: bool, cache_chunks: int = CACHE_CHUNKS) -> ChunkEncoder:
     """The worker's own encoder for this file."""
     if (path, keep_space) not in _ENCODERS:
         gc.set_threshold(200_000, 20, 100)  # the cache is no garbage; scanning it again and again costs a tenth of the time
-        _ENCODERS[path, keep_space] = ChunkEncoder(path, keep_space)
+        _ENCODERS[path, keep_space] = ChunkEncoder(path, keep_space, cache_chunks)
     return _ENCODERS[path, keep_space]
