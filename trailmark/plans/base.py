@@ -37,7 +37,8 @@ def micros(c):
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.enrich(fx.events(spark, sf_dir))
+    """Cached: most plans read it several times."""
+    return quality.enrich(fx.events(spark, sf_dir)).cache()
 
 
 def effective(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,4 +47,4 @@ def effective(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seen_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualified user-place pairs within the catalogue."""
-    return effective(spark, sf_dir).where("is_qualified").join(fx.locations(spark, sf_dir).select("location_id"), "location_id", "left_semi").select("user_key", "location_id", "effective_score")
+    return effective(spark, sf_dir).where("is_qualified").join(fx.locations(spark, sf_dir).select("location_id"), "location_id", "left_semi").select("user_key", "location_id", "effective_score").cache()

@@ -229,7 +229,7 @@ def scored(spark, d):
     terms = sim.unionByName(item, True).unionByName(session, True).groupBy("request_id", "location_id").agg(*[F.max(c).alias(c) for c in ("sim", "item_collab", "session")])
     out = base.join(terms, ["request_id", "location_id"], "left").join(near, ["user_key", "location_id"], "left").withColumn("user_collab", F.when(F.col("is_returning"), F.col("user_collab")))
     out = out.join(trend(spark, d).select("location_id", F.col("trending_score").alias("trending")), "location_id", "left").join(penalty(spark, d).select("location_id", "feedback_penalty"), "location_id", "left")
-    return out.withColumn("final_score", rank.final_score())
+    return out.withColumn("final_score", rank.final_score()).cache()
 
 
 def masked(spark, d):
