@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import content, core, days, ranking, reporting  # noqa: F401  registers its queries
+from .plans import content, core, days, pipelines, ranking, reporting  # noqa: F401  registers its queries
 from .plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
