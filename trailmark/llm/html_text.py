@@ -331,7 +331,7 @@ def train(pages: DataFrame, practice: int = 600, sample: int = 300, seed: int =
 
     practice: number of made-up pages (their words come from the sample). sample: the first so many
     pages by a hash of the id; of those, pages with one article or main element add their nodes, as inside where
-    they are within it and not within nav, header, footer, aside or form. Without pages the made-up ones have stand-in words.
+    they are within it and neither they nor what holds them there are nav, header, footer, aside, form or so called. Without pages the made-up ones have stand-in words.
     """
     rng = np.random.default_rng(seed)
     rows = [r[0] or "" for r in pages.select("page_id", "html").orderBy(F.xxhash64(F.lit(seed), "page_id"), "html").limit(sample).select("html").toLocalIterator()]
@@ -346,7 +346,8 @@ def train(pages: DataFrame, practice: int = 600, sample: int = 300, seed: int =
         y = np.zeros(len(nodes))
         for k, a in enumerate(nodes):
             if k:
-                y[k] = k == tops[0] or y[a.parent] and a.tag not in ("nav", "header", "footer", "aside", "form")
+                around = a.tag in ("nav", "header", "footer", "aside", "form") or any(not t.isdisjoint(a.tokens) for t in AROUND_TOKENS)
+                y[k] = k == tops[0] or y[a.parent] and not around
         xs.append(features(nodes, pieces)[1:])
         ys.append(y[1:])
     return Boosted().fit(np.concatenate(xs), np.concatenate(ys))

@@ -26,6 +26,7 @@ from .packed import LOWER, SPACE, blocks, prefix_sums, span_hashes, spaced, utf8
 from .shared import written
 
 TOKEN, TRIE = 0, 1  # kinds of counts
+ORDER = 2  # bytes of context
 
 
 def is_held_out(doc_id, folds: int = 5, fold: int = 1):
