@@ -1,14 +1,15 @@
 """Prediction by partial matching over bytes, pretrained on the corpus, and a base score of tokens.
 
-The byte-context trie holds the counts of each byte after every context of up to two bytes, over all
-training texts; that is at most 2^24 counts, whatever the corpus. Escapes follow method C (distinct
-symbols over count plus distinct symbols), and a shorter context excludes the symbols that the longer
-one has seen. In a static trie the symbols excluded at a context are those of the one context before it, so the
-probability of each byte after each two bytes is a table, built once in each worker; a document's code length
-is a sum over it.
-
-Token counts grow with the corpus and are never broadcast: documents are dealt into units of bounded
-size, each unit's distinct tokens meet their counts in one shuffle, and go back to the unit.
+The byte-context trie holds the counts of each byte after every context of up to four bytes, over all
+training texts. Escapes follow method C (distinct symbols over count plus distinct symbols), and a
+shorter context excludes the symbols that the longer one has seen. In a static trie those excluded at a
+context are the symbols of the context one byte longer, so the probability of a byte after four bytes depends
+on these five bytes alone: it is worked out once for each five bytes that occur, and a document's code length is
+a sum over its bytes.
+
+Neither token counts nor the trie have a bound, so neither is broadcast: documents are dealt into units
+of bounded size, each unit's distinct tokens and five-byte codes meet their counts in a shuffle, and the
+results go back to the unit. Only the trie's top (two bytes of context, at most 2^24 counts) is sent to all.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .packed import LOWER, SPACE, blocks, prefix_sums, span_hashes, spaced, utf8
 from .shared import written
 
 TOKEN, TRIE = 0, 1  # kinds of counts
-ORDER = 2  # bytes of context
+ORDER = 4  # bytes of context
 
 
 def is_held_out(doc_id, folds: int = 5, fold: int = 1):
@@ -41,51 +42,71 @@ def byte_block(buf: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.nda
 
 
 def trie_codes(b: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """For each byte, the two before it in its own text (0 before the start) and itself, as one number."""
-    one, two = np.zeros_like(b), np.zeros_like(b)
-    one[1:], two[2:] = b[:-1], b[:-2]
-    first = begin[:-1]
-    one[first] = two[first] = 0
-    second = first + 1
-    two[second[second < len(b)]] = 0
-    return (two.astype(np.int32) << 16) | (one.astype(np.int32) << 8) | b
-
-
-def ppm_table(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte after each two bytes, float32 by trie code; method C with exclusion."""
-    n3 = np.zeros(1 << 24, np.float64)
-    n3[codes] = counts
-    n3 = n3.reshape(256, 256, 256)  # two before, one before, symbol
-    n2 = n3.sum(axis=0)
-    n1 = n2.sum(axis=0)
-    seen1 = n1 > 0
-    unseen = 256 - int(seen1.sum())
-    # order 0, reached with the symbols of a longer context excluded: (contexts, symbols)
-
-    def order0(excluded: np.ndarray) -> np.ndarray:
-        left = np.where(excluded, 0.0, n1)
-        total, kinds = left.sum(axis=1, keepdims=True), (left > 0).sum(axis=1, keepdims=True)
-        whole = total + kinds * (unseen > 0)
-        escape = np.divide(kinds, whole, out=np.ones_like(whole), where=total > 0)
-        return np.where(seen1, np.divide(left, whole, out=np.zeros_like(left), where=whole > 0), escape / max(unseen, 1))
-
-    base = order0(np.zeros((1, 256), bool))[0]
-    seen2 = n2 > 0
-    after1 = order0(seen2)  # what an escape from a one-byte context meets
-    out = np.empty((256, 256, 256), np.float32)
-    for two in range(256):
-        own = n3[two]
-        seen3 = own > 0
-        left = np.where(seen3, 0.0, n2)  # order 1 without the symbols of the two-byte context
-        total, kinds = left.sum(axis=1, keepdims=True), (left > 0).sum(axis=1, keepdims=True)
-        escape = np.divide(kinds, total + kinds, out=np.ones_like(total), where=total > 0)
-        order1 = np.where(left > 0, np.divide(left, total + kinds, out=np.zeros_like(left), where=total > 0), escape * after1)
-        order1 = np.where(seen2.any(axis=1, keepdims=True), order1, base)
-        total, kinds = own.sum(axis=1, keepdims=True), seen3.sum(axis=1, keepdims=True)
-        escape = np.divide(kinds, total + kinds, out=np.ones_like(total), where=total > 0)
-        p = np.where(seen3, np.divide(own, total + kinds, out=np.zeros_like(own), where=total > 0), escape * order1)
-        out[two] = np.log10(np.maximum(p, 1e-300))
-    return out.reshape(-1)
+    """For each byte, the four before it in its own text (0 before the start) and itself, as one number."""
+    code = b.astype(np.int64)
+    place = np.arange(len(b)) - np.repeat(begin[:-1], np.diff(begin))
+    for k in range(1, ORDER + 1):
+        back = np.zeros(len(b), np.int64)
+        back[k:] = b[: max(0, len(b) - k)]
+        back[place < k] = 0
+        code |= back << (8 * k)
+    return code
+
+
+class Top:
+    """Dense tables of the trie's top, by the code of two bytes and a symbol: counts, and the probability
+
+    of the symbol after the two bytes (full) and after an escape from them (below)."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        n3 = np.zeros(1 << 24, np.float32)
+        n3[codes] = counts
+        self.n3 = n3
+        cube = n3.reshape(256, 256, 256)  # two before, one before, symbol
+        n2 = cube.sum(axis=0, dtype=np.float64)
+        n1 = n2.sum(axis=0)
+        self.total, self.kinds = cube.sum(axis=2, dtype=np.float64).ravel(), (cube > 0).sum(axis=2).ravel()
+        seen1, seen2 = n1 > 0, n2 > 0
+        unseen = 1.0 / max(1, 256 - int(seen1.sum()))
+
+        def step(n: np.ndarray, excluded: np.ndarray, lower: np.ndarray) -> np.ndarray:
+            """Probabilities at one order: n over what is not excluded, escapes to lower."""
+            left = np.where(excluded, 0.0, n)
+            total, kinds = left.sum(axis=-1, keepdims=True), (left > 0).sum(axis=-1, keepdims=True)
+            escape = np.divide(kinds, total + kinds, out=np.ones_like(total), where=total > 0)
+            return np.where(left > 0, np.divide(left, total + kinds, out=np.zeros_like(left), where=total > 0), escape * lower)
+
+        base = step(n1[None], np.zeros((1, 256), bool), np.full((1, 256), unseen))
+        after1 = step(np.broadcast_to(n1, (256, 256)), seen2, np.full((256, 256), unseen))  # after an escape from one byte
+        self.full, self.below = np.empty((256, 256, 256), np.float32), np.empty((256, 256, 256), np.float32)
+        for two in range(256):
+            own = cube[two].astype(np.float64)
+            seen3 = own > 0
+            below = np.where(seen2.any(axis=1, keepdims=True), step(n2, seen3, after1), base)
+            self.below[two] = below
+            self.full[two] = step(own, np.zeros_like(seen3), below)
+        self.full, self.below = self.full.reshape(-1), self.below.reshape(-1)
+
+
+def code_scores(top: Top, code: np.ndarray, n5: np.ndarray, t4: np.ndarray, d4: np.ndarray, s4: np.ndarray, n4: np.ndarray, t3: np.ndarray, d3: np.ndarray, s3: np.ndarray) -> np.ndarray:
+    """log10 probability of each code's last byte after its first four.
+
+    n: counts of the code and its suffix; t, d: count and distinct symbols after the context of four and three bytes;
+    s: the next shorter context's count of those symbols.
+    """
+    c3, c2 = code & 0xFFFFFF, (code >> 8) & 0xFFFF
+    n3, t2, d2 = top.n3[c3].astype(np.float64), top.total[c2], top.kinds[c2]
+
+    def part(n, total, kinds, lower):
+        whole = total + kinds
+        escape = np.where(whole > 0, kinds / np.maximum(whole, 1), 1.0)
+        return np.where(n > 0, n / np.maximum(whole, 1), escape * lower)
+
+    below3 = part(n3, t2 - s3, d2 - d3, top.below[c3])  # order 2 after an escape from three bytes
+    after4 = part(n4, t3 - s4, d3 - d4, below3)  # order 3 after an escape from four
+    order3 = np.where(t3 > 0, part(n4, t3, d3, below3), top.full[c3])
+    p = np.where(t4 > 0, part(n5, t4, d4, after4), order3)
+    return np.log10(np.maximum(p, 1e-300))
 
 
 def dealt(docs: DataFrame, unit_bytes: int) -> tuple[DataFrame, int]:
@@ -102,7 +123,8 @@ def unit_counts(rows: DataFrame, units: int) -> DataFrame:
     def count(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         sums: list[np.ndarray] = []
-        trie = np.zeros(1 << 24, np.int32)
+        grams: list[np.ndarray] = []
+        times: list[np.ndarray] = []
         unit = None
         for batch in group:
             unit = batch.column("unit")[0].as_py() if batch.num_rows else unit
@@ -119,16 +141,19 @@ def unit_counts(rows: DataFrame, units: int) -> DataFrame:
                 distinct, inverse = np.unique(hashes, return_inverse=True)
                 keys.append(distinct)
                 sums.append(np.bincount(inverse, weights=weight, minlength=len(distinct)).astype(np.int64))
-                codes = trie_codes(b, begin)[np.repeat(own, np.diff(begin))]
-                trie += np.bincount(codes, minlength=1 << 24).astype(np.int32)
+                codes = trie_codes(b, begin)
+                every, learned = np.unique(codes, return_counts=True), np.unique(codes[np.repeat(own, np.diff(begin))], return_counts=True)
+                n = np.zeros(len(every[0]), np.int64)
+                n[np.searchsorted(every[0], learned[0])] = learned[1]
+                grams.append(every[0])
+                times.append(n)
         if unit is None:
             return
-        k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        distinct, inverse = np.unique(k, return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate(sums), minlength=len(distinct)).astype(np.int64) if len(k) else np.zeros(0, np.int64)
-        codes = np.flatnonzero(trie)
-        for kind, key, number in ((TOKEN, distinct.view(np.int64), n), (TRIE, codes, trie[codes])):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind), pa.int32()), pa.array(np.full(len(key), unit), pa.int32()), pa.array(key, pa.int64()), pa.array(number, pa.int64())], names=["kind", "unit", "key", "n"])
+        for kind, some, numbers in ((TOKEN, [k.view(np.int64) for k in keys], sums), (TRIE, grams, times)):
+            k = np.concatenate([np.zeros(0, np.int64), *some])
+            distinct, inverse = np.unique(k, return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate([np.zeros(0, np.int64), *numbers]), minlength=len(distinct)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), kind), pa.int32()), pa.array(np.full(len(distinct), unit), pa.int32()), pa.array(distinct, pa.int64()), pa.array(n, pa.int64())], names=["kind", "unit", "key", "n"])
 
     return rows.repartition(units, "unit").sortWithinPartitions("unit").mapInArrow(per_unit(count), "kind int, unit int, key long, n long")
 
@@ -156,6 +181,31 @@ def per_unit(function):
     return run
 
 
+def trie_scores(units: DataFrame) -> DataFrame:
+    """(unit, key, score) of units(unit, key, n): the log10 probability of each five-byte code, from all units' counts."""
+    spark = units.sparkSession
+    g5 = written(units.groupBy("key").agg(F.sum("n").alias("n5")), "trie")
+    g4 = g5.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("code4")).agg(F.sum("n5").alias("n4"))
+    g3 = g4.groupBy(F.col("code4").bitwiseAND(F.lit(0xFFFFFF)).alias("code3")).agg(F.sum("n4").alias("n3"))
+    top = g3.where("n3 > 0").toPandas()  # at most 2^24 counts
+    held = spark.sparkContext.broadcast((top["code3"].to_numpy(np.int64), top["n3"].to_numpy(np.float32)))
+    three, four = W.partitionBy("context3"), W.partitionBy("context4")  # at most 256 rows each
+    mid = g4.withColumn("code3", F.col("code4").bitwiseAND(F.lit(0xFFFFFF))).join(g3, "code3").withColumn("context3", F.shiftright("code4", 8))
+    mid = mid.select("code4", "n4", F.sum("n4").over(three).alias("t3"), F.count_if(F.col("n4") > 0).over(three).alias("d3"), F.sum(F.when(F.col("n4") > 0, F.col("n3")).otherwise(0)).over(three).alias("s3"))
+    full = g5.withColumn("code4", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))).join(mid, "code4").withColumn("context4", F.shiftright("key", 8))
+    full = full.select("key", "n5", F.sum("n5").over(four).alias("t4"), F.count_if(F.col("n5") > 0).over(four).alias("d4"), F.sum(F.when(F.col("n5") > 0, F.col("n4")).otherwise(0)).over(four).alias("s4"), "n4", "t3", "d3", "s3")
+    tables: list[Top] = []
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not tables:
+                tables.append(Top(*held.value))
+            values = code_scores(tables[0], *(np.asarray(b.column(c)) for c in ("key", "n5", "t4", "d4", "s4", "n4", "t3", "d3", "s3")))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(values, pa.float64())], names=["key", "score"])
+
+    return units.select("unit", "key").join(full.mapInArrow(score, "key long, score double"), "key")
+
+
 def score_texts(docs: DataFrame, unit_bytes: int = 24 << 20) -> DataFrame:
     """Score every whole text of docs(doc_id, text); learn from those that are not held out.
 
@@ -176,27 +226,25 @@ def score_texts(docs: DataFrame, unit_bytes: int = 24 << 20) -> DataFrame:
     total, distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
     train_tokens, distinct = total + n_train, distinct + (n_train > 0)
     floor = train_tokens + 0.5 * (distinct + 1)
-    trie = counts.where(F.col("kind") == TRIE).groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most 2^24 counts
-    held = spark.sparkContext.broadcast((trie["key"].to_numpy(np.int32), trie["n"].to_numpy(np.float64)))
+    worth = trie_scores(counts.where(F.col("kind") == TRIE).select("unit", "key", "n"))
     end_score = math.log10((n_train + 0.5) / floor)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    table: list[np.ndarray] = []
-
     def score(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not table:
-            table.append(ppm_table(*held.value))
-        pairs = [(np.asarray(b.column("key")), np.asarray(b.column("c"))) for b in right]
-        key = np.concatenate([k for k, _ in pairs]) if pairs else np.zeros(0, np.int64)
-        c = np.concatenate([n for _, n in pairs]) if pairs else np.zeros(0, np.int64)
-        order = np.argsort(key)
-        key, c = key[order], c[order]
+        parts: list[list[np.ndarray]] = [[], [], [], []]  # tokens and their counts, codes and their scores
+        for b in right:
+            kind = np.asarray(b.column("kind"))
+            for at, (k, column) in enumerate(((TOKEN, "key"), (TOKEN, "c"), (TRIE, "key"), (TRIE, "score"))):
+                parts[at].append(np.asarray(b.column(column))[kind == k])
+        key, c, code, value = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.int64, np.float64), parts, strict=True))
+        order, by_code = np.argsort(key), np.argsort(code)
+        key, c, code, value = key[order], c[order], code[by_code], value[by_code]
         worth = np.log10((c + 0.5) / floor)
         for batch in left:
             buf, off = utf8(batch.column("text"))
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for i, j in blocks(off):
                 b, begin = byte_block(buf, off, i, j)
-                ppm = np.add.reduceat(table[0][trie_codes(b, begin)].astype(np.float64), begin[:-1])
+                ppm = np.add.reduceat(value[np.searchsorted(code, trie_codes(b, begin))], begin[:-1])
                 b[begin[1:] - 1] = 32
                 start, end = word_spans(b)
                 at = np.searchsorted(key, span_hashes(prefix_sums(b), start, end).view(np.int64))
@@ -207,7 +255,10 @@ def score_texts(docs: DataFrame, unit_bytes: int = 24 << 20) -> DataFrame:
             n, k, base, ppm = (np.concatenate(x) for x in cols)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array(np.full(len(n), train_tokens, np.int64)), pa.array(base), pa.array(ppm)], schema=schema)
 
+    tokens_back = known.select("unit", F.lit(TOKEN).alias("kind"), "key", "c", F.lit(0.0).alias("score"))
+    back = tokens_back.unionByName(worth.select("unit", F.lit(TRIE).alias("kind"), "key", F.lit(0).cast("long").alias("c"), "score"))
+
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(score(iter(left.combine_chunks().to_batches()), iter(right.to_batches()))), schema=schema)
 
-    return rows.repartition(units, "unit").groupBy("unit").cogroup(known.select("unit", "key", "c").repartition(units, "unit").groupBy("unit")).applyInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.repartition(units, "unit").groupBy("unit").cogroup(back.repartition(units, "unit").groupBy("unit")).applyInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
