@@ -10,6 +10,7 @@ import numpy as np
 
 CACHE_CHUNKS = 750_000  # in each of two generations, per Python worker (results don't depend on it)
 ODD_SPACE = re.compile(r" (?=\s|$)")
+NEAR_LINE_END = re.compile(r"\n\s|\s\n")
 PLAIN = re.compile(r"[^\s\x00]+").fullmatch
 JOINED = 64  # plain chunks encoded in one string, parted by a sign that stays a token of its own
 
@@ -18,7 +19,8 @@ class ChunkEncoder:
     """Ids as little-endian uint32 bytes, equal to the tokenizer's own on the whole text.
 
     Both vocabularies split a text before each single space that a visible character follows, and
-    no merge crosses that place. So a text is cut there, and each distinct chunk is encoded once.
+    no merge crosses that place, nor a line end between visible characters. So a text is cut there, and
+    each distinct chunk is encoded once.
     keep_space: the space belongs to the chunk after it (byte-level); else white space is dropped.
     A text with other runs of white space is encoded whole where the space is kept.
     """
@@ -43,19 +45,26 @@ class ChunkEncoder:
             else:
                 new.append(c)
         plain = [c for c in new if PLAIN(c) and "<|" not in c]
-        joined = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
-        texts = [self.sign.join([lead + c for c in group]) for group in joined]
-        for group, e in zip(joined, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            data, at, cuts = ids.tobytes(), 0, (np.flatnonzero(ids == self.sign_id) * 4).tolist()
-            for c, cut in zip(group, [*cuts, len(data)], strict=True):
-                put[c] = data[at:cut]
-                at = cut + 4
+        self._fill_joined(plain, plain, lead, b"")
+        lines = [c for c in new if c[:1] == "\n" and PLAIN(c[1:]) and "<|" not in c]
+        self._fill_joined(lines, [c[1:] for c in lines], "", array("I", [self.sign_id]).tobytes())
+        plain += lines
         known = set(plain)
         odd = [c for c in new if c not in known]
-        for c, e in zip(odd, self.tokenizer.encode_batch_fast([lead + c for c in odd], add_special_tokens=False), strict=True):
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast([c if c[:1] == "\n" else lead + c for c in odd], add_special_tokens=False), strict=True):
             put[c] = array("I", e.ids).tobytes()
 
+    def _fill_joined(self, keys: list[str], words: list[str], lead: str, before: bytes) -> None:
+        """Encode words in joined strings; each key gets `before` and its word's ids."""
+        groups = [(keys[k : k + JOINED], words[k : k + JOINED]) for k in range(0, len(keys), JOINED)]
+        texts = [self.sign.join([lead + w for w in group]) for _, group in groups]
+        for (own, _), e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            data, at = ids.tobytes(), 0
+            for c, cut in zip(own, [*(np.flatnonzero(ids == self.sign_id) * 4).tolist(), len(data)], strict=True):
+                self.cache[c] = before + data[at:cut]
+                at = cut + 4
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -74,7 +83,7 @@ class ChunkEncoder:
             elif ODD_SPACE.search(t):
                 split.append((self.whole(t), []))
             else:
-                first, *rest = t.split(" ")
+                first, *rest = (t if NEAR_LINE_END.search(t) else t.replace("\n", " \n")).split(" ")
                 if (head := self.firsts.get(first)) is None:
                     head = self.firsts[first] = self.whole(first)
                 split.append((head, rest))
