@@ -140,7 +140,7 @@ def evidence_summary(users: Column, interactions: Column, dwell_msec: Column, tr
 
 
 def reason_sentence(categories: Column, primary: Column, inferred: Column, collab: Column, popularity: Column, trending: Column, hot: Column) -> Column:
-    """Why a place is recommended, from its scores."""
+    """Why a place is recommended, from its scores. The phrases are fixed values."""
     low = F.transform(inferred, lambda x: F.lower(x))
     overlap = F.filter(categories, lambda x: F.array_contains(low, F.lower(x)))
     other = F.filter(overlap, lambda x: x != F.coalesce(primary, F.lit("")))
@@ -157,7 +157,7 @@ def reason_sentence(categories: Column, primary: Column, inferred: Column, colla
 
 
 def rationale(categories: Column, interests: Column, rank: Column, reason: Column, evidence: Column, trending: Column) -> Column:
-    """The first two of overlap or reason, rank, and trend or evidence."""
+    """The first two of overlap or reason, rank, and trend or evidence. The phrases are fixed values."""
     overlap = F.array_intersect(categories, interests)
     stop = lambda c: F.concat(F.rtrim(F.trim(c), F.lit(".")), F.lit("."))
     first = F.when(F.size(overlap) > 0, F.concat(F.lit("It matches your "), F.array_join(F.slice(overlap, 1, 2), ", "), F.lit(" picks."))).when(F.coalesce(reason, F.lit("")) != "", stop(reason)).otherwise("It scored highly against your profile and similar travelers.")
