@@ -139,6 +139,35 @@ def compare_policies(events: DataFrame, names: tuple[str, ...] = ("permissive",
     return out
 
 
+def top_overlap(events: DataFrame, names: tuple[str, ...] = ("permissive", "strict"), n: int = 10) -> DataFrame:
+    """Q12: for each user and policy, how many of the top n places it shares with balanced, and their Jaccard."""
+
+    def tops(name: str) -> DataFrame:
+        s = effective_scores(enrich(events, Policy(name)), Policy(name)).where("is_qualified")
+        w = W.partitionBy("user_key").orderBy(F.desc(F.round("effective_score", 6)), "location_id")
+        return s.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("user_key", "location_id")
+
+    base, out = tops("balanced").withColumn("_a", F.lit(1)), None
+    for name in names:
+        j = base.join(tops(name).withColumn("_b", F.lit(1)), ["user_key", "location_id"], "full_outer")
+        both = F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+        row = j.groupBy("user_key").agg(both.alias("overlap"), (both / F.count("*")).alias("jaccard")).withColumn("policy", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def graph_sizes(events: DataFrame, names: tuple[str, ...] = ("permissive", "balanced", "strict")) -> DataFrame:
+    """Q12: places and edges of the session graph under each policy."""
+    from .graphs import jaccard_pairs
+
+    out = None
+    for name in names:
+        edges = jaccard_pairs(modelling_events(enrich(events, Policy(name))), "session_key", "location_id")
+        row = edges.agg(F.count_distinct("src").alias("places"), F.count("*").alias("edges")).withColumn("policy", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def qualified_rows(interactions: DataFrame, applied: bool = True) -> DataFrame:
     """Q13: rows for profiles, seeds and exclusion; all of them where no policy was applied."""
     return interactions.where("is_qualified") if applied else interactions

@@ -251,6 +251,33 @@ def q12(spark, d):
     return quality.compare_policies(fx.events(spark, d))
 
 
+def _top_sql(policies):
+    parts = [q.EVENTS, q.KEPT]
+    for p in ("balanced", *policies):
+        parts.append(q.classified(p, f"c_{p}"))
+        parts.append(f"t_{p} AS (SELECT user_key, location_id FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY round(s,6) DESC, location_id) AS r FROM (SELECT user_key, location_id, sum(m) AS s FROM (SELECT user_key, location_id, session_key, max(quality_weight) AS m FROM c_{p} GROUP BY ALL) GROUP BY ALL) WHERE s>=1.5) WHERE r<=10)")
+    rows = [f"SELECT '{p}' AS policy, coalesce(a.user_key,b.user_key) AS user_key, count_if(a.user_key IS NOT NULL AND b.user_key IS NOT NULL) AS overlap, round(count_if(a.user_key IS NOT NULL AND b.user_key IS NOT NULL)/count(*),6) AS jaccard FROM t_balanced a FULL JOIN t_{p} b ON a.user_key=b.user_key AND a.location_id=b.location_id GROUP BY 2" for p in policies]
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+@query("q12_top10_overlap", _top_sql(("permissive", "strict")))
+def q12_top(spark, d):
+    return quality.top_overlap(fx.events(spark, d)).withColumn("jaccard", r6("jaccard"))
+
+
+def _size_sql(policies):
+    parts = [q.EVENTS, q.KEPT]
+    for p in policies:
+        parts.append(q.classified(p, f"c_{p}"))
+        parts.append(f"p_{p} AS (SELECT DISTINCT session_key, location_id FROM c_{p} WHERE quality_weight>0), g_{p} AS (SELECT DISTINCT x.location_id AS src, y.location_id AS dst FROM p_{p} x JOIN p_{p} y ON x.session_key=y.session_key AND x.location_id<>y.location_id)")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT '{p}' AS policy, count(DISTINCT src) AS places, count(*) AS edges FROM g_{p}" for p in policies)
+
+
+@query("q12_graph_sizes", _size_sql(("permissive", "balanced", "strict")))
+def q12_sizes(spark, d):
+    return quality.graph_sizes(fx.events(spark, d))
+
+
 @query("q13_qualified_rows", f"WITH {q.QUALIFIED}, {INTER} SELECT user_key, location_id, n FROM inter SEMI JOIN (SELECT * FROM effective WHERE is_qualified) e USING (user_key, location_id)")
 def q13(spark, d):
     i = quality.qualify_interactions(frames.interactions_from_events(fx.events(spark, d)), effective(spark, d))
