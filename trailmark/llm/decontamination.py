@@ -170,8 +170,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, q:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose doc_id holds a benchmark item (rows with a null doc_id are judged by their text's hash)."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    keyed = docs.withColumn("_leak_key", key)
-    leaks = find_leaks(keyed.select(F.col("_leak_key").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_leak_key")).distinct()
-    return keyed.join(leaks, "_leak_key", "left_anti").drop("_leak_key")
+    """docs without the rows that hold a benchmark item.
+
+    All rows of a doc_id go with it; rows with a null doc_id are judged by their text's hash, among themselves.
+    """
+    parts = []
+    for known, key in ((True, F.col("doc_id").cast("long")), (False, F.xxhash64("text"))):
+        keyed = docs.where(F.col("doc_id").isNotNull() if known else F.col("doc_id").isNull()).withColumn("_leak_key", key)
+        leaks = find_leaks(keyed.select(F.col("_leak_key").alias("doc_id"), "text"), benchmark, **options)
+        parts.append(keyed.join(leaks.select(F.col("doc_id").alias("_leak_key")).distinct(), "_leak_key", "left_anti").drop("_leak_key"))
+    return parts[0].unionByName(parts[1])

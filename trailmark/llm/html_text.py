@@ -335,7 +335,7 @@ def train(pages: DataFrame, practice: int = 600, sample: int = 300, seed: int =
     """
     rng = np.random.default_rng(seed)
     rows = [r[0] or "" for r in pages.select("page_id", "html").orderBy(F.xxhash64(F.lit(seed), "page_id"), "html").limit(sample).select("html").toLocalIterator()]
-    parsed = [parse(h[:200_000]) for h in rows]  # only what is learned from, not what is extracted
+    parsed = [parse(h) for h in rows]
     words = [w for _, pieces in parsed for _, t in pieces for w in t.split()][:50_000] or [f"word{k}" for k in range(500)]
     xs, ys = zip(*(practice_nodes(practice_page(rng, words)) for _ in range(practice)), strict=True)
     xs, ys = list(xs), list(ys)

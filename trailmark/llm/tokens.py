@@ -12,6 +12,7 @@ CACHE_CHUNKS = 750_000  # in each of two generations, per Python worker (results
 ODD_SPACE = re.compile(r" (?=\s|$)")
 NEAR_LINE_END = re.compile(r"\n\s|\s\n")
 PLAIN = re.compile(r"[^\s\x00]+").fullmatch
+BATCH = 256  # texts whose missing chunks are found together
 JOINED = 64  # plain chunks encoded in one string, parted by a sign that stays a token of its own
 
 
@@ -70,8 +71,8 @@ class ChunkEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for k in range(0, len(texts), 256):
-            out += self._ids(texts[k : k + 256])
+        for k in range(0, len(texts), BATCH):
+            out += self._ids(texts[k : k + BATCH])
         return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
