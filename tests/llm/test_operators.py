@@ -99,6 +99,19 @@ def test_one_of_each_class(docs, rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def test_null_and_repeated_ids_join_no_classes(spark):
+    a, b, c, d = (text(40, 500 + k) for k in range(4))
+    near = a.split()
+    near[-1] = "changed"
+    data = [(None, a), (None, a), (None, " ".join(near)), (None, b), (7, c), (7, d), (7, c), (9, d), (None, None), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    keys = {r["text"]: r["class_key"] for r in ngram_join.jaccard_classes(docs).where("text is not null").collect()}
+    assert keys[a] == keys[" ".join(near)] and len(set(keys.values())) == 4
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each_class(docs).collect()]
+    first = [x for x in kept if x[1] in (a, " ".join(near))]
+    assert len(first) == 1 and Counter(kept) == Counter([*first, (None, b), (7, c), (7, d), (None, None), (None, None)])
+
+
 def test_jaccard_of_nothing(empty):
     assert ngram_join.jaccard_classes(empty).count() == 0
 

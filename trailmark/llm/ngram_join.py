@@ -25,7 +25,7 @@ from .shared import renamed_aside, written
 
 N = 5  # words in a shingle
 HASHES, BAND, STEP = 128, 4, 32
-ADDED = ("class_id", "n_links", "n_copies", "_id", "_class")
+ADDED = ("class_id", "class_key", "n_links", "n_copies", "_id", "_class")
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +225,10 @@ def class_table(texts: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 512) -> DataFrame:
-    """docs(doc_id, text, ...) with class_id, n_links and n_copies.
+    """docs(doc_id, text, ...) with class_id, class_key, n_links and n_copies.
 
-    class_id: the least doc_id of all texts that links join, directly or by way of others; n_links: how many
+    class_id: the least doc_id of all texts that links join, directly or by way of others; class_key: the class's own
+    key, a hash of one of its texts (null for a null text), which tells classes apart where ids are null or repeated; n_links: how many
     different texts have a similarity of at least threshold to this one; n_copies: rows with this very text.
     Equal texts share a class, the empty text too, though it has no shingles and no links. A null text is
     alone in its class (n_copies 1). An empty table gives no rows; repeated rows are repeated. Clashing columns get the suffix _in. Texts are told apart by a
@@ -238,15 +239,15 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     texts = rows.where(F.col("text").isNotNull()).select(F.col("_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = written(class_table(texts, threshold, tolerance, block), "classes")
     names = table.groupBy("class").agg(F.min("least_doc").alias("class_id"))
-    known = table.join(names, "class").select(F.col("id").alias("_id"), "class_id", "n_links", "n_copies")
-    whole = rows.where(F.col("text").isNotNull()).join(known, "_id").select(*docs.columns, "class_id", "n_links", "n_copies")
-    alone = rows.where(F.col("text").isNull()).select(*docs.columns, F.col("doc_id").cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    known = table.join(names, "class").select(F.col("id").alias("_id"), "class_id", F.col("class").alias("class_key"), "n_links", "n_copies")
+    whole = rows.where(F.col("text").isNotNull()).join(known, "_id").select(*docs.columns, "class_id", "class_key", "n_links", "n_copies")
+    alone = rows.where(F.col("text").isNull()).select(*docs.columns, F.col("doc_id").cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_key"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return whole.unionByName(alone)
 
 
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class: the one with the class's least doc_id. Rows with a null text stay."""
+    """docs with one row of each class: the one with the class's least doc_id (a null one where it has no other). Rows with a null text stay."""
     kept = jaccard_classes(docs, **options).where(F.col("doc_id").cast("long").eqNullSafe(F.col("class_id")))
     whole = kept.where(F.col("text").isNotNull())
-    again = W.partitionBy("class_id").orderBy(F.xxhash64("text"))  # only repeats of one doc_id are left here
-    return whole.withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n").unionByName(kept.where(F.col("text").isNull())).drop("class_id", "n_links", "n_copies")
+    again = W.partitionBy("class_key").orderBy(F.xxhash64("text"))  # only repeats of one doc_id in one class are left here
+    return whole.withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n").unionByName(kept.where(F.col("text").isNull())).drop("class_id", "class_key", "n_links", "n_copies")

@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "class_id", "n_links", "n_copies")
+    return found.select("doc_id", "class_id", "n_links", "n_copies", "class_key")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
