@@ -318,6 +318,15 @@ def test_scores_equal_brute_force(docs, rows):
         assert any(r["n_tokens"] == len(w) + 1 and r["n_known"] == sum(c[x] > 0 for x in w) + 1 and r["train_tokens"] == total and r["held_out"] == held(i) and r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-4) for r in got[i]), (i, t and t[:30])
 
 
+def test_counts_above_2_24_stay_exact():
+    big, few = 200_000_003, 5
+    top = language_model.Top(np.array([0x616263, 0x616264]), np.array([big, few], np.int64))
+    one = lambda x: np.array([x], np.int64)
+    # after "xab" c occurred 3 times, d never: escape 1 / (3 + 1), then d alone is left after "ab": 5 / (5 + 1)
+    got = language_model.code_scores(top, one(0x79_78_61_62_64), one(0), one(0), one(0), one(0), one(0), one(3), one(1), one(big))
+    assert got[0] == pytest.approx(math.log10(1 / 4 * few / (few + 1)), rel=1e-9)
+
+
 def test_scores_of_nothing_to_learn(spark, empty):
     assert language_model.score_texts(empty).count() == 0
     one = spark.createDataFrame([(None, "ab")], "doc_id long, text string")

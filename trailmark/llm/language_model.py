@@ -59,13 +59,13 @@ class Top:
     of the symbol after the two bytes (full) and after an escape from them (below)."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        n3 = np.zeros(1 << 24, np.float32)
+        n3 = np.zeros(1 << 24)  # exact to 2^53: sums of the same counts are subtracted from its sums
         n3[codes] = counts
         self.n3 = n3
         cube = n3.reshape(256, 256, 256)  # two before, one before, symbol
-        n2 = cube.sum(axis=0, dtype=np.float64)
+        n2 = cube.sum(axis=0)
         n1 = n2.sum(axis=0)
-        self.total, self.kinds = cube.sum(axis=2, dtype=np.float64).ravel(), (cube > 0).sum(axis=2).ravel()
+        self.total, self.kinds = cube.sum(axis=2).ravel(), (cube > 0).sum(axis=2).ravel()
         seen1, seen2 = n1 > 0, n2 > 0
         unseen = 1.0 / max(1, 256 - int(seen1.sum()))
 
@@ -80,7 +80,7 @@ class Top:
         after1 = step(np.broadcast_to(n1, (256, 256)), seen2, np.full((256, 256), unseen))  # after an escape from one byte
         self.full, self.below = np.empty((256, 256, 256), np.float32), np.empty((256, 256, 256), np.float32)
         for two in range(256):
-            own = cube[two].astype(np.float64)
+            own = cube[two]
             seen3 = own > 0
             below = np.where(seen2.any(axis=1, keepdims=True), step(n2, seen3, after1), base)
             self.below[two] = below
@@ -95,7 +95,7 @@ def code_scores(top: Top, code: np.ndarray, n5: np.ndarray, t4: np.ndarray, d4:
     s: the next shorter context's count of those symbols.
     """
     c3, c2 = code & 0xFFFFFF, (code >> 8) & 0xFFFF
-    n3, t2, d2 = top.n3[c3].astype(np.float64), top.total[c2], top.kinds[c2]
+    n3, t2, d2 = top.n3[c3], top.total[c2], top.kinds[c2]
 
     def part(n, total, kinds, lower):
         whole = total + kinds
@@ -188,7 +188,7 @@ def trie_scores(units: DataFrame) -> DataFrame:
     g4 = g5.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("code4")).agg(F.sum("n5").alias("n4"))
     g3 = g4.groupBy(F.col("code4").bitwiseAND(F.lit(0xFFFFFF)).alias("code3")).agg(F.sum("n4").alias("n3"))
     top = g3.where("n3 > 0").toPandas()  # at most 2^24 counts
-    held = spark.sparkContext.broadcast((top["code3"].to_numpy(np.int64), top["n3"].to_numpy(np.float32)))
+    held = spark.sparkContext.broadcast((top["code3"].to_numpy(np.int64), top["n3"].to_numpy(np.int64)))
     three, four = W.partitionBy("context3"), W.partitionBy("context4")  # at most 256 rows each
     mid = g4.withColumn("code3", F.col("code4").bitwiseAND(F.lit(0xFFFFFF))).join(g3, "code3").withColumn("context3", F.shiftright("code4", 8))
     mid = mid.select("code4", "n4", F.sum("n4").over(three).alias("t3"), F.count_if(F.col("n4") > 0).over(three).alias("d3"), F.sum(F.when(F.col("n4") > 0, F.col("n3")).otherwise(0)).over(three).alias("s3"))
