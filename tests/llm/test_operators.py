@@ -164,6 +164,28 @@ def test_classifier_learns_and_scores_everything(spark):
     assert min(got[k] for k in held if k % 3) > max(got[k] for k in held if k % 3 == 0)
 
 
+def test_one_long_text_does_not_end_the_sample(spark):
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    order = [r["doc_id"] for r in spark.createDataFrame([(k,) for k in ids], "doc_id long").orderBy(F.xxhash64(F.lit(11), "doc_id")).collect()]
+    docs = spark.createDataFrame([(k, "z" * 5000 if n == 1 else f"{'good' if k % 2 else '$$$'} " * 5) for n, k in enumerate(order)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+    sizes = []
+
+    class Seen(quality.ByteConv):
+        def fit(self, texts, y, steps):
+            sizes.extend(map(len, texts))
+            return self
+
+    plain, quality.ByteConv = quality.ByteConv, Seen
+    try:
+        quality.train(docs, labels, max_bytes=4000)
+    finally:
+        quality.ByteConv = plain
+    assert len(sizes) == len(ids) - 1 and sum(sizes) <= 4000
+    with pytest.warns(UserWarning, match="did not fit"):
+        quality.train(docs, labels, max_bytes=10)
+
+
 def test_classifier_windows_match_brute_force():
     m, raw = quality.ByteConv(filters=3), [b"hello world", b"", b"z" * 300]
     buf, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))

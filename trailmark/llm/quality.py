@@ -7,7 +7,9 @@ probability. Each filter is a sum of one weight for each byte and tap, learned e
 
 from __future__ import annotations
 
+import warnings
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,22 +135,28 @@ def held_out(doc_id, folds: int = 5):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 4000, max_bytes: int = 24 << 20, filters: int = 16, steps: int = 500) -> ByteConv:
     """Fit on a bounded sample of labelled rows that are not held out.
 
-    The sample is the first max_rows by a hash of the id (and of those as many as have max_bytes of
-    whole texts together). Null labels and ids teach nothing; an id with several labels or texts counts as so
-    many rows. Without rows of both labels the model gives the smoothed share of label 1.
+    The sample is the first max_rows by a hash of the id, less texts that would take the sum of whole texts
+    above max_bytes; lengths alone decide, before texts are fetched. Null labels and ids teach nothing; an id with several labels or texts counts as so
+    many rows. Without rows of both labels the model gives the smoothed share of label 1; where texts left out are the cause, or most are left out, a warning says so.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # ids alone are shuffled
     chosen = there.withColumn("h", F.xxhash64(F.lit(11), "doc_id")).orderBy("h", "doc_id", "y").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "y", "text")  # max_rows at most
-    texts, y, total = [], [], 0
-    for _, _, label_of, text in sorted(map(tuple, sample.collect()), key=lambda r: (r[0], r[1], r[2], r[3] or "")):
-        raw = (text or "").encode()
-        if texts and total + len(raw) > max_bytes:
-            break
-        total += len(raw)
-        texts.append(raw)
-        y.append(label_of)
+    texts_of = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    sized = texts_of.join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "y", "t").agg(F.first(F.octet_length("text")).alias("size"), F.count("*").alias("n"))
+    picked, total, left_out = [], 0, Counter()
+    for r in sorted(sized.collect()):
+        fit = min(r["n"], (max_bytes - total) // r["size"]) if r["size"] else r["n"]
+        total += fit * r["size"]
+        left_out[r["y"]] += r["n"] - fit
+        if fit:
+            picked.append((r["doc_id"], r["t"], r["y"], fit))
+    wanted = docs.sparkSession.createDataFrame([x[:2] for x in picked], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long").distinct()  # max_bytes of texts at most
+    found = {(r["doc_id"], r["t"]): r["text"].encode() for r in texts_of.join(F.broadcast(wanted), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).collect()} if picked else {}
+    texts = [found[i, t] for i, t, _, n in picked for _ in range(n)]
+    y = [label_of for _, _, label_of, n in picked for _ in range(n)]
+    if sum(left_out.values()) > len(y) or set(left_out) != set(y):
+        warnings.warn(f"quality sample: {len(y)} rows with labels {sorted(set(y))}; texts of {sum(left_out.values())} rows did not fit in {max_bytes} bytes", stacklevel=2)
     prior = (sum(y) + 1) / (len(y) + 2)
     model = ByteConv(filters, prior=prior)
     if len(set(y)) < 2:
