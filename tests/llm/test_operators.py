@@ -372,6 +372,15 @@ def test_leaks_with_edits_are_found_and_clean_texts_stay(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 7] and kept.columns == docs.columns
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    data = [(1, "Say: Open, SESAME."), (2, "reopen sesame"), (3, "open sesames"), (4, "x to-do y"), (5, "ab open sesame"), (6, "abc")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    bench = spark.createDataFrame([(20, "open sesame"), (21, "to-do"), (22, "Open,  sesame"), (23, ""), (24, "open sesame"), (25, "ab")], "item_id long, text string")
+    got = decontamination.find_leaks(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"], r["start"]) for r in got) == [(1, 22, 0, 5), (4, 21, 0, 2), (5, 20, 0, 3), (5, 24, 0, 3), (5, 25, 0, 0)]
+    assert sorted(r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()) == [2, 3, 6]
+
+
 def test_alignment_equals_plain_dynamic_programming():
     r = random.Random(2)
     for _ in range(30):

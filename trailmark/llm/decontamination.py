@@ -3,13 +3,14 @@
 A passage of m characters that occurs with at most k edits shares m - q + 1 - k*q q-grams with the
 place where it occurs, on diagonals no more than k apart. Shared q-grams are counted in overlapping
 bands of diagonals; a band that reaches the bound is a candidate region, and a banded alignment there
-finds the least number of edits. Documents are never shuffled; the benchmark goes out in blocks of bounded size.
+finds the least number of edits. Short items are searched unchanged, as whole words. Documents are never shuffled; the benchmark goes out in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,10 +47,11 @@ class Patterns:
 
     def __init__(self, items: list[tuple[int | None, str]], edit_rate: float, q: int, min_chars: int):
         texts = [(i, normal(t)) for i, t in items]
-        texts = [(i, t) for i, t in texts if len(t) >= min_chars]
-        self.q, self.ids, self.texts = q, [i for i, _ in texts], [t for _, t in texts]
-        self.arrays = [codes(t) for t in self.texts]
-        m = np.array([len(t) for t in self.texts], np.int64)
+        whole = [(i, t) for i, t in texts if len(t) >= max(min_chars, q)]
+        short = [(i, t) for i, t in texts if 0 < len(t) < max(min_chars, q)]
+        self.q, self.ids, self.texts = q, [i for i, _ in whole + short], [t for _, t in whole + short]
+        self.arrays = [codes(t) for _, t in whole]  # short items come after these
+        m = np.array([len(t) for _, t in whole], np.int64)
         self.k = np.minimum((edit_rate * m).astype(np.int64), (m - q) // q)
         self.need = m - q + 1 - self.k * q
         self.width = int(max(self.k.max(initial=1), 16))
@@ -82,7 +84,7 @@ class Patterns:
         use = np.repeat(self.first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(total)
         item, diagonal = self.item[use], np.repeat(pos, n) - self.at[use] + self.longest
         bands = (len(a) + self.longest) // self.width + 2
-        half = np.bincount(item * bands + diagonal // self.width, minlength=len(self.ids) * bands).reshape(len(self.ids), bands)
+        half = np.bincount(item * bands + diagonal // self.width, minlength=len(self.arrays) * bands).reshape(len(self.arrays), bands)
         full = half[:, :-1] + half[:, 1:]  # shared q-grams of a band: both its halves
         found = []
         for i, b in np.argwhere(full >= np.maximum(self.need, 1)[:, None]).tolist():
@@ -93,6 +95,19 @@ class Patterns:
                 found.append((i, lo, hi))
         return found
 
+    def short_finder(self) -> ahocorasick.Automaton | None:
+        """Automaton of the short items; equal ones share an entry. It is built where it is used, not sent."""
+        uses: dict[str, list[int]] = {}
+        for i in range(len(self.arrays), len(self.ids)):
+            uses.setdefault(self.texts[i], []).append(i)
+        if not uses:
+            return None
+        finder = ahocorasick.Automaton()
+        for t, items in uses.items():
+            finder.add_word(t, (len(t), items))
+        finder.make_automaton()
+        return finder
+
 
 def align(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
     """Least edits of the pattern against any part of text, at most k: (edits, from, to). One row a character, cells beyond k cut off."""
@@ -116,9 +131,15 @@ def align(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int]
     return (int(cost[end]), int(origin[end]), end) if cost[end] <= k else None
 
 
-def search(patterns: Patterns, text: str) -> list[tuple[int, int, int, int]]:
-    """(item, edits, from, to) of each item's best occurrence in a normalised text."""
+def search(patterns: Patterns, text: str, short: ahocorasick.Automaton | None = None) -> list[tuple[int, int, int, int]]:
+    """(item, edits, from, to) of each item's best occurrence in a normalised text; short ones by their automaton."""
     best: dict[int, tuple[int, int, int]] = {}
+    for end, (m, items) in short.iter(text) if short is not None else ():
+        lo, hi = end - m + 1, end + 1
+        inside = (lo > 0 and text[lo - 1].isalnum() and text[lo].isalnum()) or (hi < len(text) and text[hi].isalnum() and text[end].isalnum())
+        if not inside:
+            for i in items:
+                best.setdefault(i, (0, lo, hi))
     a = codes(text)
     for i, lo, hi in patterns.regions(a):
         k, m = int(patterns.k[i]), len(patterns.texts[i])
@@ -138,8 +159,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, q:
 
     One row for each document row and item found: doc_id, item_id, edits, n_chars of the item, and
     start, end in the normalised text (lower case, single spaces). An occurrence has at most
-    edit_rate edits a character. Items shorter than min_chars, empty or null are not searched; null
-    or empty texts hold nothing; repeated rows give repeated rows; an empty table on either side, no rows. The
+    edit_rate edits a character; items shorter than min_chars must occur unchanged and not within a longer word. Empty
+    or null items are not searched; null or empty texts hold nothing; repeated rows give repeated rows; an empty table on either side, no rows. The
     benchmark is searched in blocks of about block_chars, so what a task holds has a bound.
     """
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -157,11 +178,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, q:
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             p = held.value
+            short = p.short_finder()
             for b in batches:
                 found = []
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 for d, t in zip(ids, texts, strict=True):
-                    found += [(d, p.ids[i], e, len(p.texts[i]), lo, hi) for i, e, lo, hi in search(p, normal(t))]
+                    found += [(d, p.ids[i], e, len(p.texts[i]), lo, hi) for i, e, lo, hi in search(p, normal(t), short)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 6)], names=names)
 
         one = rows.mapInArrow(scan, ", ".join(f"`{n}` long" for n in names))
