@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import blocks, utf8
-from .shared import renamed_aside
+from .shared import renamed_aside, written
 
 TAPS, SEGMENT, CHUNK, STRIDE = 6, 64, 4, 3  # bytes, bytes, segments in a chunk, segments from chunk to chunk
 FAR = np.float32(-1e9)
@@ -142,8 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # ids alone are shuffled
     chosen = there.withColumn("h", F.xxhash64(F.lit(11), "doc_id")).orderBy("h", "doc_id", "y").limit(max_rows)
-    texts_of = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    sized = texts_of.join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "y", "t").agg(F.first(F.octet_length("text")).alias("size"), F.count("*").alias("n"))
+    labelled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows at most
+    sample = written(labelled.select("h", "doc_id", "y", "text", F.xxhash64("text").alias("t")), "labelled")  # one scan of all texts
+    sized = sample.groupBy("h", "doc_id", "y", "t").agg(F.first(F.octet_length("text")).alias("size"), F.count("*").alias("n"))
     picked, total, left_out = [], 0, Counter()
     for r in sorted(sized.collect()):
         fit = min(r["n"], (max_bytes - total) // r["size"]) if r["size"] else r["n"]
@@ -152,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
         if fit:
             picked.append((r["doc_id"], r["t"], r["y"], fit))
     wanted = docs.sparkSession.createDataFrame([x[:2] for x in picked], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long").distinct()  # max_bytes of texts at most
-    found = {(r["doc_id"], r["t"]): r["text"].encode() for r in texts_of.join(F.broadcast(wanted), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).collect()} if picked else {}
+    found = {(r["doc_id"], r["t"]): r["text"].encode() for r in sample.select("doc_id", "t", "text").join(F.broadcast(wanted), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).collect()} if picked else {}
     texts = [found[i, t] for i, t, _, n in picked for _ in range(n)]
     y = [label_of for _, _, label_of, n in picked for _ in range(n)]
     if sum(left_out.values()) > len(y) or set(left_out) != set(y):
