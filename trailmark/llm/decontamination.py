@@ -3,7 +3,8 @@
 A passage of m characters that occurs with at most k edits shares m - q + 1 - k*q q-grams with the
 place where it occurs, on diagonals no more than k apart. Shared q-grams are counted in overlapping
 bands of diagonals; a band that reaches the bound is a candidate region, and a banded alignment there
-finds the least number of edits. Short items are searched unchanged, as whole words. Documents are never shuffled; the benchmark goes out in blocks of bounded size.
+finds the least number of edits. Short items are searched unchanged, as whole words. Documents are
+never shuffled; the benchmark goes out in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .packed import mix
 
 BITS = 22
+SHARED = 2_000_000
 GAP = "\x00"
 
 
@@ -69,6 +71,8 @@ class Patterns:
 
     def regions(self, a: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, from, to): where an occurrence may begin, by bands of diagonals, each twice the width, half overlapping."""
+        if not len(self.keys):
+            return []
         h = grams(a, self.q)
         pos = np.flatnonzero(self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
         if not len(pos):
@@ -81,13 +85,27 @@ class Patterns:
         total = int(n.sum())
         if not total:
             return []
-        use = np.repeat(self.first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(total)
-        item, diagonal = self.item[use], np.repeat(pos, n) - self.at[use] + self.longest
-        bands = (len(a) + self.longest) // self.width + 2
-        half = np.bincount(item * bands + diagonal // self.width, minlength=len(self.arrays) * bands).reshape(len(self.arrays), bands)
-        full = half[:, :-1] + half[:, 1:]  # shared q-grams of a band: both its halves
-        found = []
-        for i, b in np.argwhere(full >= np.maximum(self.need, 1)[:, None]).tolist():
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bands = (len(a) + self.longest) // self.width + 3
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(n):  # a part of the places at a time, about SHARED shared q-grams
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SHARED, side="right")))
+            own, size = n[lo:hi], int(n[lo:hi].sum())
+            use = np.repeat(self.first[k[lo:hi]] - (np.cumsum(own) - own), own) + np.arange(size)
+            diagonal = np.repeat(pos[lo:hi], own) - self.at[use] + self.longest
+            each, inverse = np.unique(np.concatenate([keys, self.item[use] * bands + diagonal // self.width + 1]), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.append(counts, np.ones(size)), minlength=len(each)).astype(np.int64)
+            keys, lo = each, hi
+        start = np.union1d(keys, keys - 1)  # a band is two halves; it is told by its first
+
+        def of(half: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(keys, half), len(keys) - 1)
+            return np.where(keys[at] == half, counts[at], 0)
+
+        start = start[of(start) + of(start + 1) >= np.maximum(self.need, 1)[(start + 1) // bands]]
+        found: list[tuple[int, int, int]] = []
+        for i, b in zip(((start + 1) // bands).tolist(), (start - (start + 1) // bands * bands - 1).tolist(), strict=True):
             lo, hi = b * self.width - self.longest, (b + 2) * self.width - self.longest
             if found and found[-1][0] == i and lo <= found[-1][2]:
                 found[-1] = (i, found[-1][1], hi)
@@ -109,30 +127,37 @@ class Patterns:
         return finder
 
 
-def align(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """Least edits of the pattern against any part of text, at most k: (edits, from, to). One row a character, cells beyond k cut off."""
-    n = len(text)
-    steps = np.arange(n + 1)
+def align(pattern: np.ndarray, text: np.ndarray, k: int, low: int = 0, high: int | None = None) -> tuple[int, int, int] | None:
+    """Least edits of the pattern against a part of text that begins at low to high, at most k: (edits, from, to).
+
+    Only the diagonals of the band, and k on each side of it, are kept: a row of cells for each character of the pattern.
+    """
+    n, m = len(text), len(pattern)
+    d = np.arange(low - k, (n if high is None else high) + k + 1)
     far = 1 << 20
-    cost, origin = np.zeros(n + 1, np.int64), steps.copy()
+    cost, origin = np.where((d >= 0) & (d <= n), 0, far), d.copy()
+    padded = np.full(len(d) + m, 0xFFFFFFFF, np.uint32)  # the text's character on each diagonal of each row, none outside the text
+    lo, hi = max(0, int(d[0])), min(n, int(d[0]) + len(padded))
+    if lo < hi:
+        padded[lo - d[0] : hi - d[0]] = text[lo:hi]
+    steps = np.arange(len(d))
     for i, c in enumerate(pattern):
-        diagonal = np.append(far, cost[:-1] + (text != c))
-        down = cost + 1
-        best = np.minimum(diagonal, down)
-        start = np.where(diagonal <= down, np.append(0, origin[:-1]), origin)
-        # an insertion chain from the left: the last cell that gives the least value
-        level = (best - steps) * (n + 1) - steps
-        least = np.minimum.accumulate(level)
-        source = -least % (n + 1)
+        same = cost + (padded[i : i + len(d)] != c) + np.where(d + i >= n, far, 0)
+        skip = np.append(cost[1:] + 1, far)  # a character of the pattern that the text lacks
+        best = np.minimum(same, skip)
+        start = np.where(same <= skip, origin, np.append(origin[1:], 0))
+        level = (best - steps) * (len(d) + 1) - steps  # characters that the text has too many: a chain from the left
+        source = -np.minimum.accumulate(level) % (len(d) + 1)
         cost, origin = best[source] + steps - source, start[source]
         if cost.min() > k:
             return None
-    end = int(np.argmin(cost))
-    return (int(cost[end]), int(origin[end]), end) if cost[end] <= k else None
+    cost = np.where((d + m >= 0) & (d + m <= n), cost, far)
+    at = int(np.argmin(cost))
+    return (int(cost[at]), int(origin[at]), int(d[at]) + m) if cost[at] <= k else None
 
 
-def search(patterns: Patterns, text: str, short: ahocorasick.Automaton | None = None) -> list[tuple[int, int, int, int]]:
-    """(item, edits, from, to) of each item's best occurrence in a normalised text; short ones by their automaton."""
+def search(patterns: Patterns, text: str, short: ahocorasick.Automaton | None = None, any_one: bool = False) -> list[tuple[int, int, int, int]]:
+    """(item, edits, from, to) of each item's best occurrence in a normalised text; short ones by their automaton. any_one: the first found will do."""
     best: dict[int, tuple[int, int, int]] = {}
     for end, (m, items) in short.iter(text) if short is not None else ():
         lo, hi = end - m + 1, end + 1
@@ -140,40 +165,49 @@ def search(patterns: Patterns, text: str, short: ahocorasick.Automaton | None =
         if not inside:
             for i in items:
                 best.setdefault(i, (0, lo, hi))
+            if any_one:
+                break
     a = codes(text)
-    for i, lo, hi in patterns.regions(a):
+    for i, lo, hi in patterns.regions(a) if not (best and any_one) else ():
         k, m = int(patterns.k[i]), len(patterns.texts[i])
-        lo, hi = max(0, lo - k), min(len(text), hi + m + k)
-        at = text.find(patterns.texts[i], lo, hi)
+        at = text.find(patterns.texts[i], max(0, lo - k), min(len(text), hi + m + k))
         hit = (0, at, at + m) if at >= 0 else None
         if hit is None and best.get(i, (k + 1,))[0] > 0:
-            found = align(patterns.arrays[i], a[lo:hi], k)
-            hit = found and (found[0], lo + found[1], lo + found[2])
+            hit = align(patterns.arrays[i], a, k, lo, hi)
         if hit and hit < best.get(i, (k + 1, 0, 0)):
             best[i] = hit
+            if any_one:
+                break
     return [(i, *x) for i, x in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, q: int = 8, min_chars: int = 40, block_chars: int = 200_000) -> DataFrame:
+def pattern_blocks(benchmark: DataFrame, edit_rate: float, q: int, min_chars: int, block_chars: int) -> Iterator[Patterns]:
+    """The benchmark's items, about block_chars characters at a time; a block is what the driver and a task hold at once."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-size // block_chars))
+    for k in range(n_blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
+        patterns = Patterns([tuple(r) for r in part.collect()], edit_rate, q, min_chars)
+        if patterns.ids:
+            yield patterns
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, q: int = 8, min_chars: int = 40, block_chars: int = 1_000_000) -> DataFrame:
     """Occurrences of benchmark(item_id, text) in whole texts of docs(doc_id, text).
 
     One row for each document row and item found: doc_id, item_id, edits, n_chars of the item, and
-    start, end in the normalised text (lower case, single spaces). An occurrence has at most
+    start, end in the normalised text (lower case, single spaces) of the item's best occurrence. An occurrence has at most
     edit_rate edits a character; items shorter than min_chars must occur unchanged and not within a longer word. Empty
-    or null items are not searched; null or empty texts hold nothing; repeated rows give repeated rows; an empty table on either side, no rows. The
-    benchmark is searched in blocks of about block_chars, so what a task holds has a bound.
+    or null items are not searched; null or empty texts hold nothing; repeated rows give repeated rows; of equally good
+    occurrences the first counts; an empty table on either side, no rows. Documents are read once for each block_chars
+    characters of benchmark (about 50 bytes a character are held), so what a task holds has a bound.
     """
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_chars))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     names = ["doc_id", "item_id", "edits", "n_chars", "start", "end"]
+    kinds = ", ".join(f"`{n}` long" for n in names)
     out = None
-    for k in range(n_blocks):
-        part = benchmark.where(F.col("text").isNotNull())
-        part = part.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else part
-        patterns = Patterns([(r[0], r[1]) for r in part.select(F.col("item_id").cast("long"), "text").collect()], edit_rate, q, min_chars)  # a block
-        if not patterns.ids:
-            continue
+    for patterns in pattern_blocks(benchmark, edit_rate, q, min_chars, block_chars):
         held = docs.sparkSession.sparkContext.broadcast(patterns)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -181,24 +215,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, q:
             short = p.short_finder()
             for b in batches:
                 found = []
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for d, t in zip(ids, texts, strict=True):
-                    found += [(d, p.ids[i], e, len(p.texts[i]), lo, hi) for i, e, lo, hi in search(p, normal(t), short)]
+                for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    found += [(d, p.ids[i], e, len(p.texts[i]), lo, hi) for i, e, lo, hi in search(p, normal(t.as_py()), short)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 6)], names=names)
 
-        one = rows.mapInArrow(scan, ", ".join(f"`{n}` long" for n in names))
+        one = rows.mapInArrow(scan, kinds)
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else docs.sparkSession.createDataFrame([], ", ".join(f"`{n}` long" for n in names))
+    return out if out is not None else docs.sparkSession.createDataFrame([], kinds)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows that hold a benchmark item.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, q: int = 8, min_chars: int = 40, block_chars: int = 1_000_000) -> DataFrame:
+    """docs(text, ...) without the rows that hold a benchmark item, by the rules of find_leaks.
 
-    All rows of a doc_id go with it; rows with a null doc_id are judged by their text's hash, among themselves.
+    Each row is judged by its own text, so null and repeated ids, repeated rows and further columns of any name stay as
+    they are; null and empty texts stay. Nothing is shuffled.
     """
-    parts = []
-    for known, key in ((True, F.col("doc_id").cast("long")), (False, F.xxhash64("text"))):
-        keyed = docs.where(F.col("doc_id").isNotNull() if known else F.col("doc_id").isNull()).withColumn("_leak_key", key)
-        leaks = find_leaks(keyed.select(F.col("_leak_key").alias("doc_id"), "text"), benchmark, **options)
-        parts.append(keyed.join(leaks.select(F.col("doc_id").alias("_leak_key")).distinct(), "_leak_key", "left_anti").drop("_leak_key"))
-    return parts[0].unionByName(parts[1])
+    out = docs
+    for patterns in pattern_blocks(benchmark, edit_rate, q, min_chars, block_chars):
+        held = docs.sparkSession.sparkContext.broadcast(patterns)
+
+        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            p = held.value
+            short = p.short_finder()
+            for b in batches:
+                yield b.filter(pa.array([not search(p, normal(t.as_py() or ""), short, any_one=True) for t in b.column("text")], pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
