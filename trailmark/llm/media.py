@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import utf8
-from .shared import renamed_aside
+from .packed import blocks, utf8
+from .shared import renamed_aside, written
 
 PNM_HEAD = re.compile(rb"P([56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
 
@@ -68,12 +68,17 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area (cells may cut pixels), from one integral image; float64 (height, width)."""
+def integral(image: np.ndarray) -> np.ndarray:
+    """Sums of the grey image above and left of each corner, (h + 1, w + 1) float64."""
     grey = image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
-    h, w = grey.shape
-    table = np.zeros((h + 1, w + 1))
+    table = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
     np.cumsum(np.cumsum(grey, axis=0, dtype=np.float64), axis=1, out=table[1:, 1:])
+    return table
+
+
+def area_means(table: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over each target cell's area (cells may cut pixels), from an integral image; float64 (height, width)."""
+    h, w = table.shape[0] - 1, table.shape[1] - 1
 
     def along(t: np.ndarray, n: int, size: int) -> np.ndarray:
         edge = np.linspace(0, size, n + 1)
@@ -85,84 +90,111 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.diff(np.diff(cut, axis=0), axis=1) * (height * width / (h * w))
 
 
-def difference_hash(image: np.ndarray, size: int = 8) -> str:
-    """size*size bits in hex: whether each cell of an area-resized image is brighter than its right neighbour."""
-    small = np.round(area_resize(image, size, size + 1), 6)
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    return area_means(integral(image), height, width)
+
+
+def hash_of(table: np.ndarray, size: int = 8) -> str:
+    """size*size bits in hex: whether each cell of an area-resized image is brighter than its right neighbour; from the integral image."""
+    small = np.round(area_means(table, size, size + 1), 6)
     return np.packbits(small[:, :-1] > small[:, 1:]).tobytes().hex()
 
 
-def npy_tile(image: np.ndarray, size: int = 32) -> bytes:
-    """The image area-resized to size x size, as an NPY file of float32."""
+def difference_hash(image: np.ndarray, size: int = 8) -> str:
+    return hash_of(integral(image), size)
+
+
+def npy(samples: np.ndarray) -> bytes:
+    """An NPY file."""
     out = io.BytesIO()
-    np.save(out, area_resize(image, size, size).astype("<f4"), allow_pickle=False)
+    np.save(out, np.ascontiguousarray(samples), allow_pickle=False)
     return out.getvalue()
 
 
+def tile_of(table: np.ndarray, size: int = 16) -> bytes:
+    """The image area-resized to size x size 8-bit samples, as an NPY file; from the integral image."""
+    return npy(np.clip(np.rint(np.round(area_means(table, size, size), 6)), 0, 255).astype(np.uint8))
+
+
 def payload_of(text: bytes, unit: int = 64) -> bytes:
     """The bytes with 0 bytes up to a positive multiple of unit."""
     return text + bytes(-len(text) % unit if text else unit)
 
 
-def store_texts(docs: DataFrame, width: int = 64, form: str = "pgm", tile: int = 32) -> DataFrame:
+def form_of(payload: bytes, form: str) -> str:
+    """pgm or bmp; both: by the payload's checksum, so equal payloads have one form."""
+    return ("pgm", "bmp")[zlib.crc32(payload) & 1] if form == "both" else form
+
+
+def store_texts(docs: DataFrame, width: int = 64, form: str = "both") -> DataFrame:
     """Media column of docs(doc_id, text): the UTF-8 bytes as an image of width 8-bit samples a row.
 
-    Adds n_bytes, media (binary; pgm or bmp) and tile (binary NPY). A null text is an empty one (one
-    row of zeros); a text of any length is one image; repeated rows are repeated. Other columns stay,
+    Adds n_bytes and media (binary; form pgm, bmp or both). A null text is an empty one (one
+    row of zeros); a text of any length is one image; repeated rows are repeated; an empty table gives no rows. Other columns stay,
     with the suffix _in where a name clashes.
     """
     docs = renamed_aside(docs, ("doc_id", "text"), ("n_bytes", "media", "tile"))
     kept = [c for c in docs.columns if c != "text"]
+    encode = {"pgm": encode_pgm, "bmp": encode_bmp}
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = utf8(b.column("text"))
-            step = 500
-            for i in range(0, b.num_rows, step):
-                n, media, tiles = [], [], []
-                for k in range(i, min(i + step, b.num_rows)):
-                    raw = buf[off[k] : off[k + 1]].tobytes()
-                    image = np.frombuffer(payload_of(raw, width), np.uint8).reshape(-1, width)
-                    n.append(len(raw))
-                    media.append(encode_pgm(image) if form == "pgm" else encode_bmp(image))
-                    tiles.append(npy_tile(image, tile))
-                part = b.slice(i, step)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(tiles, pa.binary())], names=[*kept, "n_bytes", "media", "tile"])
+            for i, j in blocks(off):
+                media = []
+                for k in range(i, j):
+                    payload = payload_of(buf[off[k] : off[k + 1]].tobytes(), width)
+                    media.append(encode[form_of(payload, form)](np.frombuffer(payload, np.uint8).reshape(-1, width)))
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(np.diff(off[i : j + 1])), pa.array(media, pa.binary())], names=[*kept, "n_bytes", "media"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(store, f"{kinds}, n_bytes long, media binary, tile binary")
+    return docs.mapInArrow(store, f"{kinds}, n_bytes long, media binary")
 
 
-def media_features(stored: DataFrame, hash_size: int = 8) -> DataFrame:
-    """Decode stored(doc_id, n_bytes, media, tile) again and describe it.
+def written_media(docs: DataFrame, **options) -> DataFrame:
+    """store_texts, written as a table in the shared folder and read back."""
+    return written(store_texts(docs, **options), "media")
+
+
+def media_features(stored: DataFrame, hash_size: int = 8, tile: int = 16) -> DataFrame:
+    """Decode stored(doc_id, n_bytes, media) and describe it.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature
-    (difference hash), tile_crc32. A medium that can't be decoded has null payload columns and feature.
+    (difference hash), tile (binary: NPY of tile x tile samples), both from one integral image. A medium that can't be decoded
+    has null payload columns, feature and tile, a null one null media columns too; no rows, no rows.
     """
-    kinds = [("doc_id", "long"), ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("tile_crc32", "long")]
-    schema = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in kinds])
+    kinds = [("doc_id", "long"), ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("tile", "binary")]
+    schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k]) for n, k in kinds])
 
-    def one(doc_id, n, media, tile):
+    def one(doc_id, n, media):
         if media is None:
             return (doc_id, n, None, None, None, None, None, None, None)
+        own = (len(media), hashlib.sha256(media).hexdigest())
         try:
             image = decode(media)
         except ValueError:
-            return (doc_id, n, None, None, None, len(media), hashlib.sha256(media).hexdigest(), None, None if tile is None else zlib.crc32(tile))
+            return (doc_id, n, None, None, None, *own, None, None)
         payload = image.tobytes()
-        feature = difference_hash(image, hash_size) if image.size else None
-        return (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, None if tile is None else zlib.crc32(tile))
+        table = integral(image) if image.size else None
+        return (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *own, *((None, None) if table is None else (hash_of(table, hash_size), tile_of(table, tile))))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 p = b.slice(i, 500)
-                rows = [one(*x) for x in zip(*(p.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "tile")), strict=True)]
+                rows = [one(*(x.as_py() for x in r)) for r in zip(*(p.column(c) for c in ("doc_id", "n_bytes", "media")), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return stored.select("doc_id", "n_bytes", "media", "tile").mapInArrow(describe, ", ".join(f"{n} {k}" for n, k in kinds))
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(describe, ", ".join(f"{n} {k}" for n, k in kinds))
+
+
+def written_features(stored: DataFrame, **options) -> DataFrame:
+    """media_features, its NPY tiles and hashes written as a table in the shared folder and read back."""
+    return written(media_features(stored, **options), "tiles")
 
 
-def write_tiles(stored: DataFrame, path: str) -> DataFrame:
+def write_tiles(described: DataFrame, path: str) -> DataFrame:
     """Write each partition's tiles as one NPY stack (n, size, size) under path; return file, doc_id and place."""
     from .token_files import filesystem
 
@@ -183,4 +215,4 @@ def write_tiles(stored: DataFrame, path: str) -> DataFrame:
             fs.move(temp, name)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids, pa.int64()), pa.array(range(len(ids)), pa.int64())], names=["file", "doc_id", "place"])
 
-    return stored.select("doc_id", "tile").mapInArrow(write, "file string, doc_id long, place long")
+    return described.where(F.col("tile").isNotNull()).select("doc_id", "tile").mapInArrow(write, "file string, doc_id long, place long")

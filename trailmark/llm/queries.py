@@ -20,7 +20,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    shards = sharding.read_shards(spark, sharding.write_shuffled_shards(docs))
+    kinds = ", ".join(f"{n} {k}" for n, k in docs.dtypes)
+    shards = sharding.read_shards(spark, sharding.write_shuffled_shards(docs, stored=True), f"{kinds}, shard int, slot long")
     text = F.coalesce("text", F.lit(""))
     return shards.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -45,8 +46,8 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return media.media_features(stored)
+    stored = media.written_media(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.written_features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.crc32("tile").alias("tile_crc32"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
