@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packed import blocks, utf8
 from .shared import shared_path
 from .tokens import encoder
 
@@ -65,7 +66,7 @@ class FrameWriter:
             self._frame(bytes(self.rest))
         index = self.zip.compress(np.array(self.ids, "<i8").tobytes() + np.array(self.counts, "<u8").tobytes())
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index)
-        self.table.append((len(index) + 8, 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
+        self.table.append((len(index) + 8, 0, xxhash.xxh64_intdigest(index) & 0xFFFFFFFF))  # a skippable frame holds no data: its checksum is of the packed index
         entries = b"".join(struct.pack("<III", *x) for x in self.table)
         self.out.write(struct.pack("<II", SKIPPABLE_TABLE, len(entries) + 9) + entries + struct.pack("<IBI", len(self.table), CHECKSUM_FLAG, SEEK_MAGIC))
         self.out.close()
@@ -85,6 +86,8 @@ class FrameReader:
         self.at, self.raw_end = ends - self.table[:, 0], np.cumsum(self.table[:, 1])
         self.unzip = zstandard.ZstdDecompressor()
         head = self.file.read_at(int(self.table[-1, 0]) - 8, int(self.at[-1]) + 8)
+        if xxhash.xxh64_intdigest(head) & 0xFFFFFFFF != self.table[-1, 2]:
+            raise ValueError(f"{uri}: checksum of the document index differs")
         index = self.unzip.decompress(head)
         docs = len(index) // 16
         self.ids, self.counts = np.frombuffer(index[: 8 * docs], "<i8"), np.frombuffer(index[8 * docs :], "<u8").astype(np.int64)
@@ -128,17 +131,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     files = max(min_files, -(-rows.count() // rows_per_file))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, k, out, tokens = encoder(tokenizer_path, keep_space=True), TaskContext.get().partitionId(), None, 0
         uri = f"{path}/ids-{k:06d}.zst"
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            buf, off = utf8(b.column(1))
+            for i, j in blocks(off):
                 out = out or FrameWriter(uri, frame_bytes)
-                for d, ids in zip(part.column(0).to_pylist(), enc.ids(part.column(1).to_pylist()), strict=True):
-                    out.add(d, ids + end)
+                ids, at = enc.encode(buf, off[i : j + 1], end_id)
+                data, at = ids.tobytes(), (4 * at).tolist()
+                for d, lo, hi in zip(b.column(0).slice(i, j - i).to_pylist(), at, at[1:], strict=False):
+                    out.add(d, data[lo:hi])
         if out:
             out.close()
             tokens, n = sum(out.counts), len(out.counts)
