@@ -1,15 +1,16 @@
 """Prediction by partial matching over bytes, pretrained on the corpus, and a base score of tokens.
 
-The byte-context trie holds the counts of each byte after every context of up to four bytes, over all
-training texts. Escapes follow method C (distinct symbols over count plus distinct symbols), and a
+The byte-context trie holds the counts of each byte after every context of up to six bytes, over all
+training texts. Escapes follow method D (half a count for each distinct symbol), and a
 shorter context excludes the symbols that the longer one has seen. In a static trie those excluded at a
-context are the symbols of the context one byte longer, so the probability of a byte after four bytes depends
-on these five bytes alone: it is worked out once for each five bytes that occur, and a document's code length is
+context are the symbols of the context one byte longer, so the probability of a byte after six bytes depends
+on these seven bytes alone: it is worked out once for each seven bytes that occur, and a document's code length is
 a sum over its bytes.
 
 Neither token counts nor the trie have a bound, so neither is broadcast: documents are dealt into units
-of bounded size, each unit's distinct tokens and five-byte codes meet their counts in a shuffle, and the
-results go back to the unit. Only the trie's top (two bytes of context, at most 2^24 counts) is sent to all.
+of bounded size; each unit's distinct tokens and seven-byte codes are packed by where they are counted (a code by
+the three bytes before its last, so that all contexts of three to six bytes meet there), meet their counts in a
+shuffle, and the results go back to the unit. Only the trie's top (two bytes of context, at most 2^24 counts) is sent to all.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .packed import LOWER, SPACE, blocks, prefix_sums, span_hashes, spaced, utf8, word_spans
+from .packed import LOWER, SPACE, blocks, mix, prefix_sums, span_hashes, spaced, utf8, word_spans
 from .shared import written
 
-TOKEN, TRIE = 0, 1  # kinds of counts
-ORDER = 4  # bytes of context
+TOKEN, TRIE, TOP = 0, 1, 2  # kinds of counts
+ORDER, LEAST = 6, 3  # bytes of context: the most, and the least that is counted by place
 
 
 def is_held_out(doc_id, folds: int = 5, fold: int = 1):
@@ -42,17 +44,34 @@ def byte_block(buf: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.nda
 
 
 def trie_codes(b: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """For each byte, the four before it in its own text (0 before the start) and itself, as one number."""
-    code = b.astype(np.int64)
+    """For each byte, the six before it in its own text (0 before the start), the nearest first, and itself, as one number."""
+    code = b.astype(np.uint64)
     place = np.arange(len(b)) - np.repeat(begin[:-1], np.diff(begin))
     for k in range(1, ORDER + 1):
-        back = np.zeros(len(b), np.int64)
+        back = np.zeros(len(b), np.uint64)
         back[k:] = b[: max(0, len(b) - k)]
         back[place < k] = 0
-        code |= back << (8 * k)
+        code |= back << np.uint64(8 * (ORDER + 1 - k))
     return code
 
 
+def shorter(code: np.ndarray, order: int, to: int) -> np.ndarray:
+    """Codes of `order` bytes of context with only the nearest `to` of them."""
+    return (code >> np.uint64(8 * (order + 1 - to))) << np.uint64(8) | (code & np.uint64(255))
+
+
+def top_index(code: np.ndarray, order: int) -> np.ndarray:
+    """Index of a code's last two bytes of context and symbol in the top's tables."""
+    c = shorter(code, order, 2).astype(np.int64)  # nearest, second, symbol
+    return ((c >> 8) & 255) << 16 | (c >> 16) << 8 | (c & 255)
+
+
+def chance(n, total, kinds, lower):
+    """Method D: a symbol has (n - 1/2) / total, an escape (kinds / 2) / total and then lower; nothing counted: lower."""
+    some = np.maximum(total, 1)
+    return np.where(n > 0, (n - 0.5) / some, np.where(total > 0, kinds / 2 / some, 1.0) * lower)
+
+
 class Top:
     """Dense tables of the trie's top, by the code of two bytes and a symbol: counts, and the probability
 
@@ -72,9 +91,7 @@ class Top:
         def step(n: np.ndarray, excluded: np.ndarray, lower: np.ndarray) -> np.ndarray:
             """Probabilities at one order: n over what is not excluded, escapes to lower."""
             left = np.where(excluded, 0.0, n)
-            total, kinds = left.sum(axis=-1, keepdims=True), (left > 0).sum(axis=-1, keepdims=True)
-            escape = np.divide(kinds, total + kinds, out=np.ones_like(total), where=total > 0)
-            return np.where(left > 0, np.divide(left, total + kinds, out=np.zeros_like(left), where=total > 0), escape * lower)
+            return chance(left, left.sum(axis=-1, keepdims=True), (left > 0).sum(axis=-1, keepdims=True), lower)
 
         base = step(n1[None], np.zeros((1, 256), bool), np.full((1, 256), unseen))
         after1 = step(np.broadcast_to(n1, (256, 256)), seen2, np.full((256, 256), unseen))  # after an escape from one byte
@@ -88,25 +105,53 @@ class Top:
         self.full, self.below = self.full.reshape(-1), self.below.reshape(-1)
 
 
-def code_scores(top: Top, code: np.ndarray, n5: np.ndarray, t4: np.ndarray, d4: np.ndarray, s4: np.ndarray, n4: np.ndarray, t3: np.ndarray, d3: np.ndarray, s3: np.ndarray) -> np.ndarray:
-    """log10 probability of each code's last byte after its first four.
+def code_scores(top: Top, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 probability of each distinct code's last byte after its first six, from the counts of all codes with the same last three bytes of context."""
+    levels = [(code, n.astype(np.int64), np.arange(len(code)))]  # codes of an order, their counts, and where each code of one byte more is among them
+    for order in range(ORDER, LEAST, -1):
+        key, parent = np.unique(shorter(levels[-1][0], order, order - 1), return_inverse=True)
+        levels.append((key, np.bincount(parent, weights=levels[-1][1], minlength=len(key)).astype(np.int64), parent))
+    after = full = None  # after an escape from one byte more; without
+    longer: tuple = ()
+    for order in range(LEAST, ORDER + 1):
+        key, count, _ = levels[ORDER - order]
+        context = np.cumsum(np.append(0, np.diff(key >> np.uint64(8)) != 0))
+        total = np.bincount(context, weights=count)
+        kinds = np.bincount(context, weights=count > 0)
+        if order == LEAST:
+            at = top_index(key, order)
+            pair = at >> 8
+            below = top.n3[at]
+            upper_total, upper_kinds, up_after, up_full = top.total[pair], top.kinds[pair], top.below[at], top.full[at]
+        else:
+            parent = levels[ORDER - order + 1][2]
+            below = longer[1][parent]
+            upper_total, upper_kinds, up_after, up_full = longer[2][parent], longer[3][parent], after[parent], full[parent]
+        seen = np.bincount(context, weights=np.where(count > 0, below, 0))  # what the shorter context has of the symbols seen here
+        escaped = chance(below, upper_total - seen[context], upper_kinds - kinds[context], up_after)
+        after, full = escaped, np.where(total[context] > 0, chance(count, total[context], kinds[context], escaped), up_full)
+        longer = (key, count, total[context], kinds[context])
+    return np.log10(np.maximum(full, 1e-300))
 
-    n: counts of the code and its suffix; t, d: count and distinct symbols after the context of four and three bytes;
-    s: the next shorter context's count of those symbols.
-    """
-    c3, c2 = code & 0xFFFFFF, (code >> 8) & 0xFFFF
-    n3, t2, d2 = top.n3[c3], top.total[c2], top.kinds[c2]
 
-    def part(n, total, kinds, lower):
-        whole = total + kinds
-        escape = np.where(whole > 0, kinds / np.maximum(whole, 1), 1.0)
-        return np.where(n > 0, n / np.maximum(whole, 1), escape * lower)
+def packed_numbers(x: np.ndarray) -> bytes:
+    """Fixed-width numbers, compressed byte by byte."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
-    below3 = part(n3, t2 - s3, d2 - d3, top.below[c3])  # order 2 after an escape from three bytes
-    after4 = part(n4, t3 - s4, d3 - d4, below3)  # order 3 after an escape from four
-    order3 = np.where(t3 > 0, part(n4, t3, d3, below3), top.full[c3])
-    p = np.where(t4 > 0, part(n5, t4, d4, after4), order3)
-    return np.log10(np.maximum(p, 1e-300))
+
+def numbers(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def packed_keys(x: np.ndarray) -> bytes:
+    """Sorted uint64 keys by their differences."""
+    return packed_numbers(np.diff(x, prepend=np.uint64(0)))
+
+
+def keys_of(data: bytes) -> np.ndarray:
+    return np.cumsum(numbers(data, np.uint64), dtype=np.uint64)
 
 
 def dealt(docs: DataFrame, unit_bytes: int) -> tuple[DataFrame, int]:
@@ -117,14 +162,21 @@ def dealt(docs: DataFrame, unit_bytes: int) -> tuple[DataFrame, int]:
     return rows.withColumn("held_out", is_held_out(F.col("doc_id"))).withColumn("unit", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(units)).cast("int")), units
 
 
+PACKED = pa.schema([("unit", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary())])
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and the sums of their counts."""
+    distinct, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+    return distinct, np.bincount(inverse, weights=np.concatenate([np.zeros(0, np.int64), *counts]), minlength=len(distinct)).astype(np.int64)
+
+
 def unit_counts(rows: DataFrame, units: int) -> DataFrame:
-    """(kind, unit, key, n): each unit's distinct tokens and trie codes; n counts training documents only."""
+    """(unit, kind, part, keys, numbers): each unit's distinct tokens and codes by the part that counts them; counts of training documents only."""
 
     def count(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        sums: list[np.ndarray] = []
-        grams: list[np.ndarray] = []
-        times: list[np.ndarray] = []
+        tokens: tuple[list, list] = ([], [])
+        codes: tuple[list, list] = ([], [])
         unit = None
         for batch in group:
             unit = batch.column("unit")[0].as_py() if batch.num_rows else unit
@@ -135,31 +187,32 @@ def unit_counts(rows: DataFrame, units: int) -> DataFrame:
                 text = b.copy()
                 text[begin[1:] - 1] = 32
                 start, end = word_spans(text)
-                hashes = span_hashes(prefix_sums(text), start, end)
                 own = learn[i:j]
-                weight = own[np.searchsorted(begin, start, side="right") - 1]
-                distinct, inverse = np.unique(hashes, return_inverse=True)
-                keys.append(distinct)
-                sums.append(np.bincount(inverse, weights=weight, minlength=len(distinct)).astype(np.int64))
-                codes = trie_codes(b, begin)
-                every, learned = np.unique(codes, return_counts=True), np.unique(codes[np.repeat(own, np.diff(begin))], return_counts=True)
-                n = np.zeros(len(every[0]), np.int64)
-                n[np.searchsorted(every[0], learned[0])] = learned[1]
-                grams.append(every[0])
-                times.append(n)
+                for (keys, sums), key, weight in ((tokens, span_hashes(prefix_sums(text), start, end), own[np.searchsorted(begin, start, side="right") - 1]), (codes, trie_codes(b, begin), np.repeat(own, np.diff(begin)))):
+                    learned, n = np.unique(key[weight], return_counts=True)
+                    rest = np.setdiff1d(key[~weight], learned)
+                    keys += [learned, rest]
+                    sums += [n, np.zeros(len(rest), np.int64)]
         if unit is None:
             return
-        for kind, some, numbers in ((TOKEN, [k.view(np.int64) for k in keys], sums), (TRIE, grams, times)):
-            k = np.concatenate([np.zeros(0, np.int64), *some])
-            distinct, inverse = np.unique(k, return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate([np.zeros(0, np.int64), *numbers]), minlength=len(distinct)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), kind), pa.int32()), pa.array(np.full(len(distinct), unit), pa.int32()), pa.array(distinct, pa.int64()), pa.array(n, pa.int64())], names=["kind", "unit", "key", "n"])
-
-    return rows.repartition(units, "unit").sortWithinPartitions("unit").mapInArrow(per_unit(count), "kind int, unit int, key long, n long")
+        key, n = merged(*tokens)
+        code, m = merged(*codes)
+        three, k = np.unique(shorter(code, ORDER, 2), return_inverse=True)
+        out = [(TOP, 0, packed_keys(three), packed_numbers(np.bincount(k, weights=m, minlength=len(three)).astype(np.int64)))]
+        for kind, x, c, part in ((TOKEN, key, n, key % np.uint64(units)), (TRIE, code, m, mix(code >> np.uint64(8 * (ORDER + 1 - LEAST))) % np.uint64(units))):
+            order = np.argsort(part, kind="stable")
+            x, c, part = x[order], c[order], part[order]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            out += [(kind, int(part[lo]), packed_keys(x[lo:hi]), packed_numbers(c[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo]
+        for at in range(0, len(out), 256):
+            kinds, parts, keys, sums = zip(*out[at : at + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([unit] * len(kinds), pa.int32()), pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(keys, pa.binary()), pa.array(sums, pa.binary())], schema=PACKED)
+
+    return rows.repartitionById(units, "unit").mapInArrow(per_unit(count), "unit int, kind int, part int, keys binary, numbers binary")
 
 
 def per_unit(function):
-    """Turn a function of one unit's batches into one of a partition's, sorted by unit."""
+    """Turn a function of one unit's batches into one of a partition's, whose rows of a unit stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -181,29 +234,52 @@ def per_unit(function):
     return run
 
 
-def trie_scores(units: DataFrame) -> DataFrame:
-    """(unit, key, score) of units(unit, key, n): the log10 probability of each five-byte code, from all units' counts."""
-    spark = units.sparkSession
-    g5 = written(units.groupBy("key").agg(F.sum("n").alias("n5")), "trie")
-    g4 = g5.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("code4")).agg(F.sum("n5").alias("n4"))
-    g3 = g4.groupBy(F.col("code4").bitwiseAND(F.lit(0xFFFFFF)).alias("code3")).agg(F.sum("n4").alias("n3"))
-    top = g3.where("n3 > 0").toPandas()  # at most 2^24 counts
-    held = spark.sparkContext.broadcast((top["code3"].to_numpy(np.int64), top["n3"].to_numpy(np.int64)))
-    three, four = W.partitionBy("context3"), W.partitionBy("context4")  # at most 256 rows each
-    mid = g4.withColumn("code3", F.col("code4").bitwiseAND(F.lit(0xFFFFFF))).join(g3, "code3").withColumn("context3", F.shiftright("code4", 8))
-    mid = mid.select("code4", "n4", F.sum("n4").over(three).alias("t3"), F.count_if(F.col("n4") > 0).over(three).alias("d3"), F.sum(F.when(F.col("n4") > 0, F.col("n3")).otherwise(0)).over(three).alias("s3"))
-    full = g5.withColumn("code4", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))).join(mid, "code4").withColumn("context4", F.shiftright("key", 8))
-    full = full.select("key", "n5", F.sum("n5").over(four).alias("t4"), F.count_if(F.col("n5") > 0).over(four).alias("d4"), F.sum(F.when(F.col("n5") > 0, F.col("n4")).otherwise(0)).over(four).alias("s4"), "n4", "t3", "d3", "s3")
+def top_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with two bytes of context and their counts over all units: 2^24 at most."""
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sums = merged([keys_of(x) for x in b.column("keys").to_pylist()], [numbers(x, np.int64) for x in b.column("numbers").to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums)], names=["key", "n"])
+
+    found = counts.where(F.col("kind") == TOP).select("keys", "numbers").mapInArrow(plain, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").toPandas()
+    return found["key"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)
+
+
+def counted(counts: DataFrame, units: int) -> DataFrame:
+    """The packed rows of tokens and codes again, with the tokens' counts over all units and the codes' scores as numbers.
+
+    A row of unit -1 for each part holds its distinct tokens in training and the sum of their counts.
+    """
+    spark = counts.sparkSession
+    held = spark.sparkContext.broadcast(top_counts(counts))
     tables: list[Top] = []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[list, list, list]] = {TOKEN: ([], [], []), TRIE: ([], [], [])}
+        part = None
         for b in batches:
-            if not tables:
-                tables.append(Top(*held.value))
-            values = code_scores(tables[0], *(np.asarray(b.column(c)) for c in ("key", "n5", "t4", "d4", "s4", "n4", "t3", "d3", "s3")))
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(values, pa.float64())], names=["key", "score"])
-
-    return units.select("unit", "key").join(full.mapInArrow(score, "key long, score double"), "key")
+            part = b.column("part")[0].as_py() if b.num_rows else part
+            for unit, kind, keys, sums in zip(*(b.column(c).to_pylist() for c in ("unit", "kind", "keys", "numbers")), strict=True):
+                for to, x in zip(kept[kind], (unit, keys, sums), strict=True):
+                    to.append(x)
+        if part is None:
+            return
+        if not tables:
+            three, n = held.value
+            tables.append(Top(top_index(three, 2), n))
+        for kind, (own, packed, sums) in kept.items():
+            each = [keys_of(x) for x in packed]
+            key, n = merged(each, [numbers(x, np.int64) for x in sums])
+            worth = n if kind == TOKEN else code_scores(tables[0], key, n) if len(key) else np.zeros(0)
+            if kind == TOKEN:
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.array([(n > 0).sum(), n.sum()], np.int64).tobytes()], pa.binary())], schema=PACKED)
+            for at in range(0, len(own), 64):
+                back = [packed_numbers(worth[np.searchsorted(key, x)].astype(np.int64 if kind == TOKEN else np.float32)) for x in each[at : at + 64]]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 64], pa.int32()), pa.array([kind] * len(back), pa.int32()), pa.array([part] * len(back), pa.int32()), pa.array(packed[at : at + 64], pa.binary()), pa.array(back, pa.binary())], schema=PACKED)
+
+    rows = counts.where(F.col("kind") != TOP).repartitionById(units, "part")
+    return rows.mapInArrow(score, "unit int, kind int, part int, keys binary, numbers binary")
 
 
 def score_texts(docs: DataFrame, unit_bytes: int = 24 << 20) -> DataFrame:
@@ -215,39 +291,36 @@ def score_texts(docs: DataFrame, unit_bytes: int = 24 << 20) -> DataFrame:
     null id is held out; repeated rows count as often as they occur; nothing to learn from gives
     uniform bytes and c = N = V = 0. Other columns are not read.
     """
-    spark = docs.sparkSession
     rows, units = dealt(docs, unit_bytes)
-    counts = written(unit_counts(rows, units), "unit_counts")
+    worth = written(counted(written(unit_counts(rows, units), "unit_counts"), units), "unit_scores")
     n_train = rows.where(~F.col("held_out")).count()
-    same = W.partitionBy("key")
-    tokens = counts.where(F.col("kind") == TOKEN).select("unit", "key", "n").repartition(max(units, spark.sparkContext.defaultParallelism), "key")
-    tokens = tokens.withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("unit")) == 1)
-    known = written(tokens.select("unit", "key", "n", "c", "first"), "token_counts")
-    total, distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
+    sums = [np.frombuffer(r["numbers"], np.int64) for r in worth.where("unit < 0").select("numbers").toLocalIterator()]  # two numbers a part
+    distinct, total = np.sum([np.zeros(2, np.int64), *sums], axis=0).tolist()
     train_tokens, distinct = total + n_train, distinct + (n_train > 0)
     floor = train_tokens + 0.5 * (distinct + 1)
-    worth = trie_scores(counts.where(F.col("kind") == TRIE).select("unit", "key", "n"))
     end_score = math.log10((n_train + 0.5) / floor)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    def score(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], [], [], []]  # tokens and their counts, codes and their scores
-        for b in right:
-            kind = np.asarray(b.column("kind"))
-            for at, (k, column) in enumerate(((TOKEN, "key"), (TOKEN, "c"), (TRIE, "key"), (TRIE, "score"))):
-                parts[at].append(np.asarray(b.column(column))[kind == k])
-        key, c, code, value = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.int64, np.float64), parts, strict=True))
-        order, by_code = np.argsort(key), np.argsort(code)
-        key, c, code, value = key[order], c[order], code[by_code], value[by_code]
+
+    def score(left: Iterator[pa.RecordBatch], right: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = []
+        for kind, number in ((TOKEN, np.int64), (TRIE, np.float32)):
+            own = right.filter(pa.compute.equal(right.column("kind"), kind))
+            key = np.concatenate([np.zeros(0, np.uint64), *(keys_of(x) for x in own.column("keys").to_pylist())])
+            value = np.concatenate([np.zeros(0, number), *(numbers(x, number) for x in own.column("numbers").to_pylist())])
+            order = np.argsort(key)
+            found += [key[order], value[order]]
+        key, c, code, value = found
         worth = np.log10((c + 0.5) / floor)
         for batch in left:
             buf, off = utf8(batch.column("text"))
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for i, j in blocks(off):
                 b, begin = byte_block(buf, off, i, j)
-                ppm = np.add.reduceat(value[np.searchsorted(code, trie_codes(b, begin))], begin[:-1])
+                each, inverse = np.unique(trie_codes(b, begin), return_inverse=True)
+                ppm = np.add.reduceat(value[np.searchsorted(code, each)].astype(np.float64)[inverse], begin[:-1])
                 b[begin[1:] - 1] = 32
                 start, end = word_spans(b)
-                at = np.searchsorted(key, span_hashes(prefix_sums(b), start, end).view(np.int64))
+                at = np.searchsorted(key, span_hashes(prefix_sums(b), start, end))
                 doc = np.searchsorted(begin, start, side="right") - 1
                 n = np.bincount(doc, minlength=j - i)
                 for col, x in zip(cols, (n + 1, np.bincount(doc, weights=c[at] > 0, minlength=j - i) + (n_train > 0), np.bincount(doc, weights=worth[at], minlength=j - i) + end_score, ppm), strict=True):
@@ -255,10 +328,9 @@ def score_texts(docs: DataFrame, unit_bytes: int = 24 << 20) -> DataFrame:
             n, k, base, ppm = (np.concatenate(x) for x in cols)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array(np.full(len(n), train_tokens, np.int64)), pa.array(base), pa.array(ppm)], schema=schema)
 
-    tokens_back = known.select("unit", F.lit(TOKEN).alias("kind"), "key", "c", F.lit(0.0).alias("score"))
-    back = tokens_back.unionByName(worth.select("unit", F.lit(TRIE).alias("kind"), "key", F.lit(0).cast("long").alias("c"), "score"))
-
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(score(iter(left.combine_chunks().to_batches()), iter(right.to_batches()))), schema=schema)
+        return pa.Table.from_batches(list(score(iter(left.combine_chunks().to_batches()), right)), schema=schema)
 
-    return rows.repartition(units, "unit").groupBy("unit").cogroup(back.repartition(units, "unit").groupBy("unit")).applyInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    own = rows.repartitionById(units, "unit").groupBy("unit")
+    back = worth.where("unit >= 0").select("unit", "kind", "keys", "numbers").repartitionById(units, "unit").groupBy("unit")
+    return own.cogroup(back).applyInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
