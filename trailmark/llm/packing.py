@@ -99,34 +99,36 @@ def ranked(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn("own", own).join(counts, ["size", "kind", "b"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "b")
 
 
-def sweep(seats: DataFrame, pieces: DataFrame, carry: list[tuple[int, int, int]], buckets: int = 1) -> DataFrame:
+def sweep(seats: DataFrame, pieces: DataFrame, carry: list[tuple[int, int, int]], buckets: int = 1, tasks: int = 4) -> DataFrame:
     """One round: (kind, id, room, size, partner, partner_size) of seats(kind, id, room, size) and pieces(id, size).
 
     partner: the sequence a piece has got (null: none), the piece a seat has got. carry: depths() of their counts.
+    Rows are narrow and a round may have few, so its stages have as many tasks as the rows ask for.
     """
     rows = seats.unionByName(pieces.select(F.lit(PIECE).alias("kind"), "id", F.lit(None).cast("long").alias("room"), "size"))
     level = F.broadcast(rows.sparkSession.createDataFrame(carry, "size long, kind int, depth long"))  # 2 * capacity rows at most
-    seated = ranked(rows.where("size is not null"), buckets).join(level, ["size", "kind"])
+    seated = ranked(rows.where("size is not null"), buckets).coalesce(tasks).join(level, ["size", "kind"])
     is_gap = F.col("kind") == GAP
     seated = seated.withColumn("at", F.when(is_gap, F.col("depth") + F.col("rank")).otherwise(F.col("depth") - F.col("rank") + 1))
     depth = W.partitionBy("at").orderBy(F.desc("size"), "kind")
-    met = seated.where("at > 0").select("kind", "id", "room", "size", F.when(is_gap, F.lead("id").over(depth)).otherwise(F.lag("id").over(depth)).alias("partner"), F.when(is_gap, F.lead("size").over(depth)).alias("partner_size"))
-    alone = seated.where("at <= 0").select("kind", "id", "room", "size").unionByName(rows.where("size is null").select("kind", "id", "room", "size"))
-    return met.unionByName(alone.withColumns({"partner": F.lit(None).cast("long"), "partner_size": F.lit(None).cast("long")}))
+    # pieces without a bracket to close and gaps without a seat stand alone, each on a depth of its own below 0
+    seated = seated.select("kind", "id", "room", "size", "at").unionByName(rows.where("size is null").select("kind", "id", "room", "size", (-1 - F.col("id")).alias("at")))
+    partner = F.when(is_gap, F.lead("id").over(depth)).otherwise(F.lag("id").over(depth))
+    return seated.select("kind", "id", "room", "size", F.when(F.col("at") > 0, partner).alias("partner"), F.when((F.col("at") > 0) & is_gap, F.lead("size").over(depth)).alias("partner_size")).coalesce(tasks)
 
 
-def open_after(swept: DataFrame, capacity: int) -> DataFrame:
+def open_after(swept: DataFrame, capacity: int, tasks: int = 4) -> DataFrame:
     """(id, room) of the sequences with room left after a round; those opened in vain go."""
     gaps = swept.where(F.col("kind") == GAP).groupBy("id").agg((F.first("room") - F.coalesce(F.sum("partner_size"), F.lit(0))).alias("room"))
-    return gaps.where((F.col("room") > 0) & (F.col("room") < capacity))
+    return gaps.where((F.col("room") > 0) & (F.col("room") < capacity)).coalesce(tasks)
 
 
 def by_size(rows: DataFrame, column: str) -> Counter:
     """Counts by a column that has at most capacity values."""
-    return Counter({r[0]: r[1] for r in rows.groupBy(column).count().collect()})
+    return Counter({r[0]: r[1] for r in rows.groupBy(column).count().coalesce(1).collect()})
 
 
-def placed(lengths: DataFrame, capacity: int, rows_per_bucket: int = 20_000) -> DataFrame:
+def placed(lengths: DataFrame, capacity: int, rows_per_bucket: int = 200_000, rows_per_task: int = 30_000) -> DataFrame:
     """(id, sequence_id, offset) of lengths(id, size), a stored table with unique ids and sizes of 1 to capacity.
 
     A band's rounds: one on the open sequences, one that opens as many sequences as the rest would fill, then
@@ -157,10 +159,11 @@ def placed(lengths: DataFrame, capacity: int, rows_per_bucket: int = 20_000) ->
                 seats = seats.unionByName(spark.range(opened, opened + new).select(F.lit(GAP).alias("kind"), "id", room.alias("room"), F.explode(F.array_repeat(room, per)).alias("size")))
                 sized[capacity] += new * per
                 opened += new
-            buckets = -(-(n + sized.total()) // rows_per_bucket)
-            swept = written(sweep(seats, pieces, depths(sized, left), buckets), "sweep")
+            rows = n + sized.total() + rooms.total()
+            buckets, tasks = -(-rows // rows_per_bucket), max(4, -(-rows // rows_per_task))
+            swept = written(sweep(seats, pieces, depths(sized, left), buckets, tasks), "sweep")
             done.append(swept.where((F.col("kind") == PIECE) & F.col("partner").isNotNull()).select("id", F.col("partner").alias("sequence_id"), "size"))
-            gaps, pieces = open_after(swept, capacity), swept.where((F.col("kind") == PIECE) & F.col("partner").isNull()).select("id", "size")
+            gaps, pieces = open_after(swept, capacity, tasks), swept.where((F.col("kind") == PIECE) & F.col("partner").isNull()).select("id", "size")
             rooms, left, tries = by_size(gaps, "room"), by_size(pieces, "size"), tries + 1
         high = low - 1
     if not done:
