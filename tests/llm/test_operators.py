@@ -560,6 +560,18 @@ def test_pages_of_nothing(spark):
     assert html_text.extract_pages(none, html_text.train(none, practice=20)).count() == 0
 
 
+def test_short_and_bare_articles_are_whole(spark):
+    pages = {
+        "<article><p>Words about the sea and more of it.</p><p>End of it all, dear reader.</p></article>": "Words about the sea and more of it. End of it all, dear reader.",
+        "<article><p>One paragraph only here.</p></article>": "One paragraph only here.",
+        "<html><body><p>No article element, just a paragraph of words.</p><p>And another.</p></body></html>": "No article element, just a paragraph of words. And another.",
+        "<main><h1>Title</h1><p>Short.</p></main>": "Title Short.",
+        "<body><nav><a href=/>Home</a></nav><article><p>Brief news, told once.</p></article><footer>Imprint</footer></body>": "Brief news, told once.",
+    }
+    model = html_text.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert html_text.extract_texts(model, list(pages)) == list(pages.values())
+
+
 # ---------------------------------------------------------------- 9
 def test_licences(spark):
     data = [(1, "Cc - BY cc by; General   PUBLIC license."), (2, "released undr the mit licence"), (3, None), (4, ""), (5, "ccby occ by"), (6, "All rights\nreserved"), (6, "All rights\nreserved")]

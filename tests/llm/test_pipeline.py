@@ -32,3 +32,18 @@ def test_each_stage(spark):
 
 def test_stages_are_the_dealt_ones():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, columns of the names that the operators use, and no rows."""
+    docs = spark.createDataFrame([(1, None, 9.0, "a", 5, 1), (None, "", 8.0, "b", 6, 2), (2, "one two three", 7.0, "c", 7, 3), (2, "one two three", 7.0, "c", 7, 3)], "doc_id long, text string, score double, class_id string, _n int, _leak_key int")
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.limit(0)):
+            got = stage(spark, rows, SF)
+            n = got.count()
+            assert n == 0 if not rows.count() else n <= 4
+            if name != "best_fit_packing":
+                assert got.columns == docs.columns
+    assert corpus_pipeline.near_duplicate_stage(spark, docs, SF).count() == 3
+    assert corpus_pipeline.decontamination_stage(spark, docs, SF).count() == 4
+    assert {r["score"] for r in corpus_pipeline.quality_stage(spark, docs, SF).collect()} <= {9.0, 8.0, 7.0}

@@ -25,7 +25,7 @@ SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math object select button".split())
+RAW = frozenset("script style title textarea template iframe xmp noembed noframes svg select button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ())}
@@ -43,7 +43,8 @@ AROUND_TOKENS = (
     frozenset("cookie cookies consent notice alert warning gdpr popup modal overlay paywall disclaimer message".split()),
     frozenset("form search login signup subscribe newsletter register contact input".split()),
 )
-FEATURES = 11 + len(TAG_KINDS) + 2 * (1 + len(AROUND_TOKENS))
+ABOVE = [KIND_OF[t] for t in ("article", "nav", "header", "footer", "aside", "form")]  # kinds of elements looked for among those above, too
+FEATURES = 11 + len(TAG_KINDS) + 2 * (1 + len(AROUND_TOKENS)) + len(ABOVE)
 
 
 class Node:
@@ -165,7 +166,7 @@ def features(nodes: list[Node], pieces: list[tuple[int, str]]) -> np.ndarray:
     x[:, 9] = chars / np.maximum(chars[up], 1)
     x[:, 10] = chars / max(chars[0], 1)
     wide = 1 + len(AROUND_TOKENS)
-    base = 11 + len(TAG_KINDS)
+    base, kinds = 11 + len(TAG_KINDS), [11 + k for k in ABOVE]
     for k, a in enumerate(nodes):
         if (kind := KIND_OF.get(a.tag)) is not None:
             x[k, 11 + kind] = 1
@@ -175,7 +176,8 @@ def features(nodes: list[Node], pieces: list[tuple[int, str]]) -> np.ndarray:
             for i, around in enumerate(AROUND_TOKENS):
                 x[k, base + 1 + i] = not s.isdisjoint(around)
         if k:  # the nearest ancestor's
-            x[k, base + wide :] = np.maximum(x[a.parent, base : base + wide], x[a.parent, base + wide :])
+            x[k, base + wide : base + 2 * wide] = np.maximum(x[a.parent, base : base + wide], x[a.parent, base + wide : base + 2 * wide])
+            x[k, base + 2 * wide :] = np.maximum(x[a.parent, kinds], x[a.parent, base + 2 * wide :])
     return x
 
 
@@ -281,7 +283,7 @@ PARTS = {
     "comments": ['<section class="comments"><h3>{s}</h3><div class="comment"><p>{t}</p></div><div class="comment"><p>{t}</p></div></section>', '<div id="comments"><ol><li><p>{t}</p></li><li><p>{t}</p></li></ol></div>', '<div class="discussion"><article class="comment"><p>{t}</p></article></div>'],
     "bottom": ['<footer>{s}</footer>', '<div class="footer"><p>{s}</p><ul>{a}</ul></div>', '<div id="copyright">{s}</div>'],
 }
-BODIES = ['<article>{x}</article>', '<main>{x}</main>', '<div class="content">{x}</div>', '<div id="story-body">{x}</div>', '<div class="post-entry">{x}</div>', '<main><article>{x}</article></main>', '<div class="text">{x}</div>']
+BODIES = ['<article>{x}</article>', '<main>{x}</main>', '<div class="content">{x}</div>', '<div id="story-body">{x}</div>', '<div class="post-entry">{x}</div>', '<main><article>{x}</article></main>', '<div class="text">{x}</div>', '<article>{x}</article>', '<div>{x}</div>', '{x}']
 BLOCKS = ['<p>{t}', '<p>{t}</p>', '<p>{t}</p>', '<p>{t}</p>', '<h2>{s}</h2>', '<p><b>{s}<br>', '<ul><li>{t}</li><li>{t}</li></ul>', '<blockquote><p>{t}</p></blockquote>', '<div><p>{t}</p></div>', '<p>{s}</p>', '<table><tr><td>{s}</td><td>{s}</td></tr></table>', '<p>{t} <a href="/x">{s}</a> {t}</p>']
 
 
@@ -300,14 +302,20 @@ def practice_page(rng: np.random.Generator, words: list[str]) -> str:
             outline = outline.replace("{s}", some(1, 12), 1)
         return outline
 
+    around = float(rng.choice([0.0, 0.3, 0.6, 0.9]))  # from bare articles to full pages
+
     def part(name: str) -> str:
         own = PARTS[name]
-        return fill(own[int(rng.integers(len(own)))]) if rng.random() < 0.6 else ""
-
-    inner = "<h1>{s}</h1>" * (rng.random() < 0.8)
-    short = rng.random() < 0.3
-    for _ in range(int(rng.integers(0, 2 if short else 12))):
-        inner += "<p><b>{s}<br>" if short else BLOCKS[int(rng.integers(len(BLOCKS)))]
+        return fill(own[int(rng.integers(len(own)))]) if rng.random() < around else ""
+
+    inner = "<h1>{s}</h1>" * (rng.random() < 0.6)
+    kind = rng.random()  # an article of line breaks, of one to three short paragraphs, or any
+    if kind < 0.2:
+        inner += "<p><b>{s}<br>" * int(rng.integers(0, 2))
+    elif kind < 0.45:
+        inner += "".join(("<p>{s}</p>", "<p>{s}", "<p>{t}</p>", "<div>{s}</div>", "{s}")[int(rng.integers(5))] for _ in range(int(rng.integers(1, 4))))
+    else:
+        inner += "".join(BLOCKS[int(rng.integers(len(BLOCKS)))] for _ in range(int(rng.integers(1, 12))))
     inner = re.sub(r"<(?!/|br|b>|a )([a-z0-9]+)", r"<\1 data-in", fill(inner))
     if rng.random() < 0.5:
         inner += part(("advert", "side", "comments", "form", "notice")[int(rng.integers(5))])
@@ -315,7 +323,8 @@ def practice_page(rng: np.random.Generator, words: list[str]) -> str:
     before = "".join(part(x) for x in ("notice", "top", "menu", "advert", "form"))
     after = "".join(part(x) for x in ("side", "comments", "advert", "form", "bottom"))
     page = f"{before}{body}{after}"
-    return f"<html><body>{'<div class=page>' * (wrap := int(rng.random() < 0.3))}{page}{'</div>' * wrap}</body></html>"
+    page = f"{'<div class=page>' * (wrap := int(rng.random() < 0.3))}{page}{'</div>' * wrap}"
+    return page if rng.random() < 0.3 else f"<html><body>{page}</body></html>"
 
 
 def practice_nodes(html: str) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +335,7 @@ def practice_nodes(html: str) -> tuple[np.ndarray, np.ndarray]:
     return features(nodes, pieces)[1:], np.array(inside, np.float64)
 
 
-def train(pages: DataFrame, practice: int = 600, sample: int = 300, seed: int = 3) -> Boosted:
+def train(pages: DataFrame, practice: int = 1200, sample: int = 300, seed: int = 3) -> Boosted:
     """Fit on made-up layouts and on a bounded sample of pages.
 
     practice: number of made-up pages (their words come from the sample). sample: the first so many

@@ -82,7 +82,7 @@ def signatures(texts: DataFrame) -> DataFrame:
             for i, j in blocks(off):
                 h, n = shingles(buf, off, i, j)
                 values = minhash(h, n)
-                keys = (values.reshape(len(values), -1, BAND) * weight).sum(axis=2, dtype=np.uint64) + np.arange(HASHES // BAND, dtype=np.uint64)
+                keys = (values.reshape(len(values), HASHES // BAND, BAND) * weight).sum(axis=2, dtype=np.uint64) + np.arange(HASHES // BAND, dtype=np.uint64)
                 own = pa.array(np.flatnonzero(n > 0) + i)
                 sig = values.astype("<u2")
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * (HASHES // BAND), pa.int32()), pa.array(mix(keys).view(np.int64).ravel(), pa.int64()))
