@@ -26,7 +26,7 @@ def fallback_seeds(requests: DataFrame, places: DataFrame, n: int = 5) -> DataFr
     """R2 (last source), R11: the n most popular places that match a request's interests (all places if it has none)."""
     fits = (F.size("interests") == 0) | F.arrays_overlap(F.transform("interests", lambda x: F.lower(x)), F.transform("categories", lambda x: F.lower(x)))
     w = W.partitionBy("request_id").orderBy(F.desc(F.round("popularity_raw", 6)), "location_id")
-    return requests.select("request_id", "interests").crossJoin(F.broadcast(places.select("location_id", "categories", "popularity_raw"))).where(fits).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("request_id", "location_id", "rank")
+    return requests.select("request_id", "interests").crossJoin(places.select("location_id", "categories", "popularity_raw")).where(fits).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("request_id", "location_id", "rank")
 
 
 def collect_seeds(requests: DataFrame, seen: DataFrame, returning: DataFrame, archetype_seeds: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from .vectors import unit
 
 # Names of archetypes by leading category.
-ARCHETYPES = {"Museums": "Culture Seeker", "Parks": "Outdoor Explorer", "Bars": "Night Owl", "Restaurants": "Foodie", "Shops": "Browser", "Tours": "Sightseer"}
+ARCHETYPES = {"Attractions": "Sightseeing Explorer", "Parks": "Outdoor Wanderer", "Museums": "Cultural Enthusiast", "Bars": "Nightlife Seeker", "Restaurants": "Foodie Wanderer", "Hotels": "Comfort Traveler", "Shops": "Retail Hunter", "Tours": "Tour-First Visitor", "HOT SPOTS": "Trend Hunter", "Favorites": "Loyal Fan"}
 
 
 def category_vectors(interactions: DataFrame, categories: DataFrame, score: str) -> DataFrame:
@@ -61,7 +61,10 @@ def cluster(vectors: DataFrame, k: int = 6, seed: int = 42) -> tuple[DataFrame,
     spark = vectors.sparkSession
     if not n:
         return spark.createDataFrame([], "user_key string, cluster int"), spark.createDataFrame([], "cluster int, category string, w double")
-    model = KMeans(k=max(2, min(k, n // 5)), seed=seed).fit(rows)
+    if min(k, n // 5) < 2:  # too few users for more than one cluster, whose centre is the mean
+        centre = vectors.join(wide.select("user_key"), "user_key", "left_semi").groupBy("category").agg((F.sum("w") / n).alias("w"))
+        return wide.select("user_key", F.lit(0).alias("cluster")), centre.select(F.lit(0).alias("cluster"), "category", "w")
+    model = KMeans(k=min(k, n // 5), seed=seed).fit(rows)
     centres = [(i, c, float(x)) for i, v in enumerate(model.clusterCenters()) for c, x in zip(names, v, strict=True)]
     return model.transform(rows).select("user_key", F.col("prediction").alias("cluster")), spark.createDataFrame(centres, "cluster int, category string, w double")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality
 from ..sources import fixtures as fx
+from ..sources.shared import working_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,7 +19,7 @@ def query(name: str, sql: str | None = None):
     """Register a function as a query, with its twin if SQL can express it."""
 
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, d: _run(f, spark, d)
         if sql is not None:
             ORACLE_SQL[name] = sql
         return f
@@ -26,6 +27,46 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_STEPS: dict[tuple, DataFrame] | None = None  # steps of the query that is being built
+
+
+def _run(f, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build a query; a step that several of its parts use is worked out once."""
+    global _STEPS
+    if _STEPS is not None:
+        return f(spark, sf_dir)
+    _STEPS = {}
+    try:
+        return f(spark, sf_dir)
+    finally:
+        _STEPS = None
+
+
+def step(f=None, *, write: bool = True):
+    """Mark a function of (spark, sf_dir) as a step of queries.
+
+    Within one query its frame is built once; write: it is stored in the shared folder too, so that what
+    follows starts from a table and not from the whole plan again.
+    """
+    if f is None:
+        return lambda g: step(g, write=write)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _STEPS is None:
+            return f(spark, sf_dir)
+        key = (f.__module__, f.__name__, sf_dir)
+        if key not in _STEPS:
+            df = f(spark, sf_dir)
+            if write:
+                path = working_folder(spark, f.__name__)
+                df.write.parquet(path)
+                df = spark.read.schema(df.schema).parquet(path)
+            _STEPS[key] = df
+        return _STEPS[key]
+
+    return run
+
+
 def r6(c):
     """Six decimals; -0.0 becomes 0.0."""
     c = F.col(c) if isinstance(c, str) else c
@@ -36,15 +77,17 @@ def micros(c):
     return F.unix_micros(F.col(c).cast("timestamp")) if isinstance(c, str) else F.unix_micros(c.cast("timestamp"))
 
 
+@step(write=False)
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached: most plans read it several times."""
-    return quality.enrich(fx.events(spark, sf_dir)).cache()
+    return quality.enrich(fx.events(spark, sf_dir))
 
 
+@step
 def effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.effective_scores(enriched(spark, sf_dir))
 
 
+@step
 def seen_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualified user-place pairs within the catalogue."""
-    return effective(spark, sf_dir).where("is_qualified").join(fx.locations(spark, sf_dir).select("location_id"), "location_id", "left_semi").select("user_key", "location_id", "effective_score").cache()
+    return effective(spark, sf_dir).where("is_qualified").join(fx.locations(spark, sf_dir).select("location_id"), "location_id", "left_semi").select("user_key", "location_id", "effective_score")

@@ -8,7 +8,7 @@ from ..functions import scalars as s
 from ..operators import frames, graphs, quality
 from ..sources import fixtures as fx
 from ..sources import sql as q
-from .base import effective, enriched, micros, query, r6, seen_places
+from .base import effective, enriched, micros, query, r6, seen_places, step
 
 ARRAY = "array_to_string({}, '|')"
 
@@ -349,6 +349,7 @@ def u02(spark, d):
     return frames.users_from_interactions(frames.interactions_from_events(fx.events(spark, d))).select("user_key", "total_user_interactions", "distinct_locations_interacted", r6("total_user_interaction_score").alias("score"), r6("avg_user_interaction_score").alias("avg_score"))
 
 
+@step(write=False)
 def categories(spark, d):
     return frames.place_categories(fx.locations(spark, d), ["location_id"])
 
@@ -444,6 +445,7 @@ def b06(spark, d):
 TREND = "ev AS (SELECT location_id, epoch_us(event_time)::DOUBLE AS t, quality_weight AS w FROM classed WHERE quality_weight>0), tc AS (SELECT median(t) AS cut FROM ev), ts AS (SELECT location_id, count(*) AS n_events, sum(CASE WHEN t<cut THEN w ELSE 0 END) AS early, sum(CASE WHEN t>=cut THEN w ELSE 0 END) AS late FROM ev, tc GROUP BY 1), tr AS (SELECT *, ln(1+(late+1)/(early+1)) AS raw FROM ts WHERE n_events>=3), trend AS (SELECT location_id, n_events, early, late, CASE WHEN max(raw) OVER ()-min(raw) OVER ()<1e-9 THEN 0.0 ELSE (raw-min(raw) OVER ())/(max(raw) OVER ()-min(raw) OVER ()) END AS trending_score FROM tr UNION ALL SELECT location_id, n_events, early, late, 0.0 FROM ts WHERE n_events<3)"
 
 
+@step
 def trend(spark, d):
     return graphs.trending(quality.modelling_events(enriched(spark, d)))
 

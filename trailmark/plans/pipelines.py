@@ -46,7 +46,7 @@ def click_lines(spark, d):
     """The click log as JSON lines, every 7th malformed."""
     c = fx.clicks(spark, d).withColumn("surface", F.lit("top")).withColumn("rank", (F.col("event_id") % 9).cast("int"))
     line = F.to_json(F.struct("ts", "location_id", "surface", "rank"))
-    return c.select("event_id", F.when(F.col("event_id") % 350 == 0, F.concat(F.lit("{broken "), line)).otherwise(line).alias("value"))
+    return c.select("event_id", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), line)).otherwise(line).alias("value"))
 
 
 def click_log(spark, d):
@@ -55,10 +55,10 @@ def click_log(spark, d):
     return path
 
 
-CLK = "clk AS (SELECT event_id, CASE WHEN event_id%150<>0 THEN event_time END AS t, location_id, CAST(event_id%9 AS INTEGER) AS rank FROM fx_events WHERE event_id%50=0 AND event_id%350<>0 AND location_id IN (SELECT location_id FROM fx_locations))"
+CLK = "clk AS (SELECT event_id, CASE WHEN event_id%3<>0 THEN event_time END AS t, location_id, CAST(event_id%9 AS INTEGER) AS rank FROM fx_events WHERE event_name='map-user-action' AND event_id%7<>0 AND location_id IN (SELECT location_id FROM fx_locations))"
 
 
-@query("s05_append_clicks", f"WITH {q.EVENTS}, {q.LOCATIONS} SELECT location_id, 2*count(*) AS n FROM fx_events WHERE event_id%50=0 AND location_id IN (SELECT location_id FROM fx_locations) GROUP BY 1")
+@query("s05_append_clicks", f"WITH {q.EVENTS}, {q.LOCATIONS} SELECT location_id, 2*count(*) AS n FROM fx_events WHERE event_name='map-user-action' AND location_id IN (SELECT location_id FROM fx_locations) GROUP BY 1")
 def s05(spark, d):
     path = working_folder(spark, "appended")
     for _ in range(2):

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import frames, graphs, quality, rank, users, vectors
 from ..sources import fixtures as fx
 from ..sources import sql as q
-from .base import effective, enriched, query, r6, seen_places
+from .base import effective, enriched, query, r6, seen_places, step
 from .core import INTER, MOVES, PRIORS, TREND, categories, jaccard_sql, trend
 
 
+@step
 def vecs(spark, d):
     return vectors.tfidf(categories(spark, d))
 
@@ -23,6 +24,7 @@ def behaviour(spark, d):
     return vectors.behaviour_profiles(seen_places(spark, d), vecs(spark, d))
 
 
+@step
 def profiles(spark, d):
     r = fx.requests(spark, d)
     own = r.join(behaviour(spark, d), "user_key").select("request_id", "token", "w")
@@ -90,14 +92,17 @@ KNN = "dots AS (SELECT a.user_key AS query, b.user_key, sum(a.w*b.w) AS sim FROM
 USERS = f"{VEC}, {NVEC}, {KNN}"
 
 
+@step
 def interactions(spark, d):
     return frames.interactions_from_events(fx.events(spark, d))
 
 
+@step
 def user_vectors(spark, d):
     return users.category_vectors(interactions(spark, d), categories(spark, d), "total_interaction_score")
 
 
+@step
 def neighbours(spark, d):
     v = user_vectors(spark, d)
     own = v.join(fx.requests(spark, d).select("user_key").distinct(), "user_key", "left_semi")
@@ -174,7 +179,7 @@ def c03(spark, d):
 # ---------------------------------------------------------------- ranking
 RET = "ret AS (SELECT user_key FROM effective WHERE is_qualified GROUP BY 1 HAVING count(*)>=14)"
 POLICY = quality.Policy(min_places_returning=14)
-PENALTY = "clk AS (SELECT event_id, CASE WHEN event_id%150<>0 THEN event_time END AS ts, location_id FROM fx_events WHERE event_id%50=0), pn AS (SELECT location_id, count(*) AS n FROM clk WHERE (ts IS NULL OR ts>=TIMESTAMP '2024-01-31 00:00:00'-INTERVAL 30 DAY) AND location_id IN (SELECT location_id FROM fx_locations) GROUP BY 1), pen AS (SELECT location_id, n, ln(1+n)/(SELECT max(ln(1+n)) FROM pn) AS feedback_penalty FROM pn)"
+PENALTY = "clk AS (SELECT event_id, CASE WHEN event_id%3<>0 THEN event_time END AS ts, location_id FROM fx_events WHERE event_name='map-user-action'), pn AS (SELECT location_id, count(*) AS n FROM clk WHERE (ts IS NULL OR ts>=TIMESTAMP '2024-01-31 00:00:00'-INTERVAL 30 DAY) AND location_id IN (SELECT location_id FROM fx_locations) GROUP BY 1), pen AS (SELECT location_id, n, ln(1+n)/(SELECT max(ln(1+n)) FROM pn) AS feedback_penalty FROM pn)"
 UNIV = "univ AS (SELECT l.*, [primary_category, brand] AS categories, coalesce(score,0.0) AS popularity_raw, coalesce(pop,0.0) AS popularity FROM fx_locations l LEFT JOIN scaled USING (location_id))"
 FALL = "fb AS (SELECT request_id, location_id, rank FROM (SELECT request_id, location_id, row_number() OVER (PARTITION BY request_id ORDER BY round(popularity_raw,6) DESC, location_id) AS rank FROM req, univ WHERE len(interests)=0 OR list_has_any(list_transform(interests, lambda x: lower(x)), list_transform(categories, lambda x: lower(x)))) WHERE rank<=5)"
 SEEDS = "sds AS (SELECT request_id, s.location_id, 'own' AS source FROM req JOIN ret USING (user_key) JOIN seen s USING (user_key) UNION ALL SELECT request_id, location_id, 'popular' FROM fb JOIN req USING (request_id) WHERE user_key IS NULL OR user_key NOT IN (SELECT user_key FROM ret))"
@@ -194,31 +199,46 @@ msk AS (SELECT * FROM fin WHERE NOT list_has_any(list_transform(categories, lamb
 FULL = f"{USERS}, {PRIORS}, {RET}, {PENALTY}, {UNIV}, {FALL}, {SEEDS}, {ITEM}, {SESS}, {MOVES}, {TREND}, {TERMS}, {SCORED}"
 
 
+@step
 def universe(spark, d):
     loc = fx.locations(spark, d)
     priors = frames.locations_from_events(fx.events(spark, d)).withColumn("location_name", F.lit(""))
     return frames.expand_universe(loc, priors).join(categories(spark, d), "location_id").withColumn("popularity", F.col("popularity_norm"))
 
 
+@step
 def returning(spark, d):
     return quality.returning_users(effective(spark, d), POLICY)
 
 
+@step(write=False)
 def penalty(spark, d):
     return rank.feedback_penalty(fx.clicks(spark, d), fx.locations(spark, d), "2024-01-31 00:00:00")
 
 
+@step
+def site_events(spark, d):
+    """Enriched events, stored: the ranking reads them several times."""
+    return enriched(spark, d)
+
+
+@step
+def seeds_of_requests(spark, d):
+    return request_seeds(spark, d, universe(spark, d))
+
+
 def request_seeds(spark, d, places):
     r = fx.requests(spark, d)
     none = spark.createDataFrame([], "request_id string, location_id string")
     return rank.collect_seeds(r, seen_places(spark, d), returning(spark, d), none, rank.fallback_seeds(r, places))
 
 
+@step
 def scored(spark, d):
     """Every request with every place and its terms; sparse terms are joined on once."""
-    places, r, e = universe(spark, d), fx.requests(spark, d), enriched(spark, d)
+    places, r, e = universe(spark, d), fx.requests(spark, d), site_events(spark, d)
     loc = fx.locations(spark, d)
-    own, ret = request_seeds(spark, d, places), returning(spark, d)
+    own, ret = seeds_of_requests(spark, d), returning(spark, d)
     item = graphs.divide_by_max(graphs.edge_scores(own, graphs.jaccard_pairs(seen_places(spark, d), "user_key", "location_id"), loc)).withColumnRenamed("score", "item_collab")
     jac = graphs.jaccard_pairs(quality.modelling_events(e), "session_key", "location_id", loc)
     session = graphs.session_blend(graphs.edge_scores(own, jac, loc), graphs.edge_scores(own, graphs.transitions(fx.with_previous(e), loc), loc)).withColumnRenamed("score", "session")
@@ -229,9 +249,10 @@ def scored(spark, d):
     terms = sim.unionByName(item, True).unionByName(session, True).groupBy("request_id", "location_id").agg(*[F.max(c).alias(c) for c in ("sim", "item_collab", "session")])
     out = base.join(terms, ["request_id", "location_id"], "left").join(near, ["user_key", "location_id"], "left").withColumn("user_collab", F.when(F.col("is_returning"), F.col("user_collab")))
     out = out.join(trend(spark, d).select("location_id", F.col("trending_score").alias("trending")), "location_id", "left").join(penalty(spark, d).select("location_id", "feedback_penalty"), "location_id", "left")
-    return out.withColumn("final_score", rank.final_score()).cache()
+    return out.withColumn("final_score", rank.final_score())
 
 
+@step
 def masked(spark, d):
     return rank.exclude_seen(scored(spark, d).where(rank.category_mask()), seen_places(spark, d), returning(spark, d))
 
@@ -286,6 +307,7 @@ def r08(spark, d):
 DEDUP = f"{POOLED}, nk AS (SELECT *, trim(regexp_replace(replace(lower(location_name),'&',' and '),'[^a-z0-9]+',' ','g')) AS nkey FROM pl), d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, nkey ORDER BY pool_rank) AS n1 FROM nk) WHERE n1=1), slate AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pool_rank) AS place FROM d1) WHERE place<=top_k)"
 
 
+@step
 def slate(spark, d):
     """Ranked slate without MMR (the SQL-checkable chain)."""
     return rank.unique_names(rank.top_pool(masked(spark, d)), "pool_rank", F.col("top_k"))

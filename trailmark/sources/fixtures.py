@@ -42,7 +42,7 @@ def with_previous(df: DataFrame) -> DataFrame:
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_locations: the official catalogue."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 120")
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     shown = k % 23 != 0
     return p.select(
@@ -65,17 +65,15 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_clicks: outbound clicks, time as ISO text, some missing."""
-    e = events(spark, sf_dir).where("event_id % 50 = 0")
-    return e.select("event_id", F.when(F.col("event_id") % 150 != 0, F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts"), "location_id")
+    """fx_clicks: the map clicks as outbound ones, time as ISO text, a third of them missing."""
+    e = events(spark, sf_dir).where("event_name = 'map-user-action'")
+    return e.select("event_id", F.when(F.col("event_id") % 3 != 0, F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts"), "location_id")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_requests: three kinds of preferences for each user with an id under 20 (and none for a new visitor)."""
-    users = table(spark, sf_dir, "events").select("user_id").distinct().where("user_id < 20")
+    """fx_requests: one for each user, of three kinds of preferences in turn; those of the third kind come as new visitors."""
     u = F.col("user_id")
-    kinds = F.array(F.lit(0), F.lit(1), F.lit(2))
-    r = users.select(u, F.explode(kinds).alias("v"))
+    r = table(spark, sf_dir, "events").select("user_id").distinct().select(u, (u % 3).alias("v"))
     return r.select(
         F.concat(F.lit("r"), u.cast("string"), F.lit("-"), F.col("v").cast("string")).alias("request_id"),
         F.when(F.col("v") < 2, F.concat(F.lit("u"), u.cast("string"))).alias("user_key"),

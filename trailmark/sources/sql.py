@@ -10,7 +10,7 @@ EVENTS = """fx_events AS (SELECT event_id, 'u'||user_id AS user_key, 'L'||json_e
 LOCATIONS = """fx_locations AS (SELECT 'L'||p_partkey AS location_id, p_name AS location_name, p_type||'; '||p_brand AS location_category_name, p_type AS primary_category, p_brand AS brand,
  CASE WHEN p_size%10=0 THEN 1 ELSE 0 END AS is_hot_spot_location, CASE WHEN p_size%7=0 THEN 1 ELSE 0 END AS is_favorite_location,
  CASE WHEN p_partkey%23<>0 THEN CAST(41.64 AS DOUBLE)+CAST(p_partkey*37%440 AS DOUBLE)/1000 END AS lat, CASE WHEN p_partkey%23<>0 THEN CAST(-87.95 AS DOUBLE)+CAST(p_partkey*61%430 AS DOUBLE)/1000 END AS lon
- FROM part WHERE p_partkey<120)"""
+ FROM part)"""
 BASKETS = """fx_baskets AS (SELECT o_custkey AS user_key, l_orderkey AS session_key, l_partkey AS location_id, l_linenumber AS position, o_orderdate AS event_time FROM lineitem JOIN orders ON l_orderkey=o_orderkey)"""
 KEPT = """kept AS (SELECT * FROM fx_events WHERE NOT contains(lower(page_location),'utm_source=site_recommender') AND session_key IS NOT NULL AND session_key IN (SELECT session_key FROM fx_events WHERE NOT contains(lower(page_location),'utm_source=site_recommender') GROUP BY 1 HAVING count(*)<=200)),
 dwelt AS (SELECT *, greatest(coalesce(engagement_time_msec_capped,0),0) AS dwell_used FROM kept)"""
@@ -32,7 +32,7 @@ effective AS (SELECT user_key, location_id, sum(m) AS effective_score, count_if(
 QUALIFIED = ",\n".join([EVENTS, LOCATIONS, KEPT, classified(), EFFECTIVE])
 SEEN = "seen AS (SELECT user_key, location_id, effective_score FROM effective WHERE is_qualified AND location_id IN (SELECT location_id FROM fx_locations))"
 REQUESTS = """req AS (SELECT 'r'||user_id||'-'||v AS request_id, CASE WHEN v<2 THEN 'u'||user_id END AS user_key, CASE v WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['ECONOMY','PROMO'] ELSE ['STANDARD'] END AS interests, CASE WHEN v=1 THEN ['Brand#11'] ELSE []::VARCHAR[] END AS avoid_categories, CAST(user_id%7+1 AS INTEGER) AS trip_days, 20 AS top_k,
- ['chill','foodie','nightlife'][user_id%3+1] AS vibe, CASE WHEN user_id%2=1 THEN 'family' ELSE 'solo' END AS traveler_type, CASE WHEN v=2 THEN 'Art and deep dish' END AS free_text FROM (SELECT DISTINCT user_id FROM events WHERE user_id<20) u, (VALUES (0),(1),(2)) t(v))"""
+ ['chill','foodie','nightlife'][user_id%3+1] AS vibe, CASE WHEN user_id%2=1 THEN 'family' ELSE 'solo' END AS traveler_type, CASE WHEN v=2 THEN 'Art and deep dish' END AS free_text FROM (SELECT DISTINCT user_id, user_id%3 AS v FROM events))"""
 TFIDF = """cats AS (SELECT location_id, unnest([primary_category, brand]) AS category FROM fx_locations),
 tok AS (SELECT location_id, trim(regexp_replace(lower(category),'[^a-z0-9]+','_','g'),'_') AS token, count(*) AS tf FROM cats GROUP BY ALL),
 idf AS (SELECT token, ln((1+(SELECT count(DISTINCT location_id) FROM tok))/(1+count(DISTINCT location_id)))+1 AS idf FROM tok GROUP BY 1),
