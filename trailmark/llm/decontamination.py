@@ -56,6 +56,7 @@ class Patterns:
         m = np.array([len(t) for _, t in whole], np.int64)
         self.k = np.minimum((edit_rate * m).astype(np.int64), (m - q) // q)
         self.need = m - q + 1 - self.k * q
+        self.fewest = int(np.maximum(self.need, 1).min(initial=1 << 60))
         self.width = int(max(self.k.max(initial=1), 16))
         self.longest = int(m.max(initial=0))
         hashes = [grams(a, q) for a in self.arrays]
@@ -82,8 +83,7 @@ class Patterns:
         same = self.keys[k] == h[pos]
         pos, k = pos[same], k[same]
         n = self.last[k] - self.first[k]
-        total = int(n.sum())
-        if not total:
+        if int(n.sum()) < self.fewest:  # no band can reach its bound
             return []
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         bands = (len(a) + self.longest) // self.width + 3
@@ -215,8 +215,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, q:
             short = p.short_finder()
             for b in batches:
                 found = []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    found += [(d, p.ids[i], e, len(p.texts[i]), lo, hi) for i, e, lo, hi in search(p, normal(t.as_py()), short)]
+                for at in range(0, b.num_rows, 500):
+                    part = b.slice(at, 500)
+                    for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        found += [(d, p.ids[i], e, len(p.texts[i]), lo, hi) for i, e, lo, hi in search(p, normal(t), short)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 6)], names=names)
 
         one = rows.mapInArrow(scan, kinds)
