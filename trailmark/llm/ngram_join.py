@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .components import connected_components
+from .components import connected_components, dealt_anew
 from .packed import LOWER, blocks, mix, prefix_sums, span_hashes, spaced, utf8, word_spans
 from .shared import renamed_aside, written
 
@@ -178,11 +178,11 @@ def class_table(texts: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     copies = texts.groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_copies"))
     banded = signed.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
-    ties = banded.join(shared, "band").where("id != low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
+    ties = banded.join(dealt_anew(shared, "band"), "band").where("id != low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
     groups = written(connected_components(ties), "candidate_groups")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     least_doc = signed.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    members = groups.join(sizes, "component").join(least_doc, "id")
+    members = groups.join(dealt_anew(sizes, "component"), "component").join(least_doc, "id")
     chosen = members.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))
     with_sig = chosen.alias("m").join(signed.select("id", "doc_id", "sig").alias("s"), (F.col("m.id") == F.col("s.id")) & F.col("m.doc_id").eqNullSafe(F.col("s.doc_id"))).select("m.*", "s.sig")
     full = with_sig.alias("m").join(texts.alias("t"), (F.col("m.id") == F.col("t.id")) & F.col("m.doc_id").eqNullSafe(F.col("t.doc_id"))).select("m.component", "m.blocks", "m.block", "m.id", "m.sig", "t.text")
@@ -239,7 +239,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     texts = rows.where(F.col("text").isNotNull()).select(F.col("_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = written(class_table(texts, threshold, tolerance, block), "classes")
     names = table.groupBy("class").agg(F.min("least_doc").alias("class_id"))
-    known = table.join(names, "class").select(F.col("id").alias("_id"), "class_id", F.col("class").alias("class_key"), "n_links", "n_copies")
+    known = table.join(dealt_anew(names, "class"), "class").select(F.col("id").alias("_id"), "class_id", F.col("class").alias("class_key"), "n_links", "n_copies")
     whole = rows.where(F.col("text").isNotNull()).join(known, "_id").select(*docs.columns, "class_id", "class_key", "n_links", "n_copies")
     alone = rows.where(F.col("text").isNull()).select(*docs.columns, F.col("doc_id").cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_key"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return whole.unionByName(alone)
