@@ -16,6 +16,9 @@ IMAGE_URL = r"https?://[^\s\"'<>)]+\.(?:jpe?g|png|webp|gif)"
 VIDEO_URL = r"https?://(?:www\.)?(?:youtube\.com/watch\?v=|youtu\.be/)[A-Za-z0-9_-]{6,}"
 VIDEO_ID = r"(?:v=|youtu\.be/|embed/)([A-Za-z0-9_-]{6,})"
 ADDRESS = r"\b\d{1,5} [NSEW]\.? [A-Z][a-z]+ (?:St|Ave|Blvd|Rd|Dr)\b"
+# fixed values: words that tell no place apart, parts of urls that are maps or page furniture
+GENERAL_WORDS = ("the", "a", "an", "and", "or", "of", "at", "in", "on", "for", "by", "hotel", "hotels", "restaurant", "restaurants", "illinois", "il", "usa", "co", "company", "llc", "inc")
+DENIED_PARTS = ("story/images/basemap", "maps.googleapis.com", "maps.gstatic.com", "google.com/maps", "webgl_logo")
 STOP_WORDS = ("the", "of", "and", "at", "in", "a", "an", "to", "for")
 
 
@@ -104,9 +107,9 @@ def video_links(url: Column) -> tuple[Column, Column]:
 
 
 def coordinates(text: Column, lats: tuple[float, float], lons: tuple[float, float]) -> Column:
-    """First pair in the box from map links: @lat,lon or !3dlat!4dlon."""
+    """First pair in the box from map links: @lat,lon or !3dlat!4dlon, with four decimals or more (fewer tell no place)."""
     at = lambda p, g: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), lambda x: x.cast("double"))
-    pairs = F.concat(*[F.arrays_zip(at(p, 1).alias("lat"), at(p, 2).alias("lon")) for p in (r"@(-?\d+\.\d+),(-?\d+\.\d+)", r"!3d(-?\d+\.\d+)!4d(-?\d+\.\d+)")])
+    pairs = F.concat(*[F.arrays_zip(at(p, 1).alias("lat"), at(p, 2).alias("lon")) for p in (r"@(-?\d{1,3}\.\d{4,}),(-?\d{1,3}\.\d{4,})", r"!3d(-?\d{1,3}\.\d{4,})!4d(-?\d{1,3}\.\d{4,})")])
     return F.try_element_at(F.filter(pairs, lambda x: x["lat"].between(*lats) & x["lon"].between(*lons)), F.lit(1))
 
 
@@ -135,13 +138,26 @@ def title_match(names: DataFrame, titles: DataFrame) -> DataFrame:
     return j.where(F.col("title").contains(F.col("name")) | F.col("name").contains(F.col("title")) | (F.col("hits") >= need)).select("name_id", "title_id", "hits")
 
 
-def identifies(text: Column, name: Column, city: str) -> Column:
-    """The page names the place (phrase, or all of up to three tokens, else max(3, floor((3n + 3) / 4))) and the city."""
-    low, toks = F.lower(text), name_tokens(name)
+def name_variants(name: Column) -> Column:
+    """Lower-case forms of a place's name: the whole, and what stands before " - ", " near ", "/" or " | "."""
+    base = F.lower(F.trim(name))
+    near = F.when(base.contains(" near "), F.element_at(F.split(base, r"\s+near\s+"), 1)).otherwise(base)
+    return F.transform(F.array(base, near, *[F.split_part(base, F.lit(x), F.lit(1)) for x in (" - ", "/", " | ")]), F.trim)
+
+
+def identifies(text: Column, name: Column, city: str, url: Column | None = None) -> Column:
+    """The page (text and url) names the city and the place.
+
+    The place is named by a variant of its name (of four characters or more), or by its tokens without general words and
+    the city: all of two or three, else max(3, floor((3n + 3) / 4)); one token alone is not enough.
+    """
+    low = F.lower(text if url is None else F.concat_ws("\n", text, url))
+    toks = F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda x: (x != "") & ~x.isin(*GENERAL_WORDS, city))
     n = F.size(toks)
     hits = F.size(F.filter(toks, lambda x: low.contains(x)))
     need = F.when(n <= 3, n).otherwise(F.greatest(F.lit(3), F.floor((3 * n + 3) / 4).cast("int")))
-    return (low.contains(F.lower(name)) | (hits >= need)) & low.contains(city)
+    phrase = F.exists(name_variants(name), lambda v: (F.length(v) >= 4) & low.contains(v))
+    return (phrase | ((n >= 2) & (hits >= need))) & low.contains(city)
 
 
 def audit(cards: DataFrame) -> DataFrame:
@@ -151,8 +167,8 @@ def audit(cards: DataFrame) -> DataFrame:
     return cards.select("location_id", (F.size(images) == 0).alias("needs_refresh"), F.coalesce(F.forall(m, lambda x: source_name(x["source"]).isin(*FALLBACK)), F.lit(True)).alias("low_quality"), (F.size(images) < 3).alias("needs_augmentation"))
 
 
-def denied_url(url: Column, words: tuple[str, ...] = ("logo", "sprite", "icon", "placeholder", "pixel")) -> Column:
-    """M15"""
+def denied_url(url: Column, words: tuple[str, ...] = DENIED_PARTS) -> Column:
+    """Whether a url has one of the words in it."""
     return reduce(lambda a, w: a | F.lower(url).contains(w), words, F.lit(False))
 
 

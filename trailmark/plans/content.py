@@ -106,13 +106,13 @@ def m09(spark, d):
     return items(spark, d).where("type = 'video'").select("pos", thumb.alias("thumbnail"), watch.alias("watch"))
 
 
-MAPS = "mp AS (SELECT p_partkey, CASE p_partkey%3 WHEN 0 THEN 'go https://m.example/@41.'||(p_partkey%900+100)||',-87.'||(p_partkey%700+100)||',15z' WHEN 1 THEN 'x!3d41.'||(p_partkey%900+100)||'!4d-87.'||(p_partkey%700+100) ELSE 'at @10.5,20.25 only' END AS body FROM part)"
+MAPS = "mp AS (SELECT p_partkey, CASE p_partkey%3 WHEN 0 THEN 'go https://m.example/@41.'||(p_partkey%900+100)||'25,-87.'||(p_partkey%700+100)||'75,15z' WHEN 1 THEN 'x!3d41.'||(p_partkey%900+100)||'25!4d-87.'||(p_partkey%700+100)||'75' ELSE 'at @41.9,-87.7 only' END AS body FROM part)"
 
 
-@query("m10_coordinates", f"WITH {MAPS}, c AS (SELECT p_partkey, TRY_CAST(coalesce(nullif(regexp_extract(body,'@(-?\\d+\\.\\d+),(-?\\d+\\.\\d+)',1),''),nullif(regexp_extract(body,'!3d(-?\\d+\\.\\d+)!4d(-?\\d+\\.\\d+)',1),'')) AS DOUBLE) AS lat, TRY_CAST(coalesce(nullif(regexp_extract(body,'@(-?\\d+\\.\\d+),(-?\\d+\\.\\d+)',2),''),nullif(regexp_extract(body,'!3d(-?\\d+\\.\\d+)!4d(-?\\d+\\.\\d+)',2),'')) AS DOUBLE) AS lon FROM mp) SELECT p_partkey, CASE WHEN lat BETWEEN 41.5 AND 42.2 AND lon BETWEEN -88.1 AND -87.3 THEN lat END AS lat, CASE WHEN lat BETWEEN 41.5 AND 42.2 AND lon BETWEEN -88.1 AND -87.3 THEN lon END AS lon FROM c")
+@query("m10_coordinates", f"WITH {MAPS}, c AS (SELECT p_partkey, TRY_CAST(coalesce(nullif(regexp_extract(body,'@(-?\\d{{1,3}}\\.\\d{{4,}}),(-?\\d{{1,3}}\\.\\d{{4,}})',1),''),nullif(regexp_extract(body,'!3d(-?\\d{{1,3}}\\.\\d{{4,}})!4d(-?\\d{{1,3}}\\.\\d{{4,}})',1),'')) AS DOUBLE) AS lat, TRY_CAST(coalesce(nullif(regexp_extract(body,'@(-?\\d{{1,3}}\\.\\d{{4,}}),(-?\\d{{1,3}}\\.\\d{{4,}})',2),''),nullif(regexp_extract(body,'!3d(-?\\d{{1,3}}\\.\\d{{4,}})!4d(-?\\d{{1,3}}\\.\\d{{4,}})',2),'')) AS DOUBLE) AS lon FROM mp) SELECT p_partkey, CASE WHEN lat BETWEEN 41.5 AND 42.2 AND lon BETWEEN -88.1 AND -87.3 THEN lat END AS lat, CASE WHEN lat BETWEEN 41.5 AND 42.2 AND lon BETWEEN -88.1 AND -87.3 THEN lon END AS lon FROM c")
 def m10(spark, d):
     k, s = F.col(K), lambda n: (F.col(K) % n + 100).cast("string")
-    body = F.when(k % 3 == 0, F.concat(F.lit("go https://m.example/@41."), s(900), F.lit(",-87."), s(700), F.lit(",15z"))).when(k % 3 == 1, F.concat(F.lit("x!3d41."), s(900), F.lit("!4d-87."), s(700))).otherwise("at @10.5,20.25 only")
+    body = F.when(k % 3 == 0, F.concat(F.lit("go https://m.example/@41."), s(900), F.lit("25,-87."), s(700), F.lit("75,15z"))).when(k % 3 == 1, F.concat(F.lit("x!3d41."), s(900), F.lit("25!4d-87."), s(700), F.lit("75"))).otherwise("at @41.9,-87.7 only")
     c = m.coordinates(body, (41.5, 42.2), (-88.1, -87.3))
     return fx.table(spark, d, "part").select(k, c["lat"].alias("lat"), c["lon"].alias("lon"))
 
@@ -137,12 +137,13 @@ def m12(spark, d):
     return m.title_match(n, part.select(F.col(K).alias("title_id"), F.concat("p_name", F.lit(" "), "p_brand").alias("title")))
 
 
-@query("m13_page_identifies", "WITH b AS (SELECT item_id, 'the and of in' AS name FROM benchmark), d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, contains(t,'the big of') OR (contains(t,'big') AND contains(t,'thin')) AS named, (contains(t,'the thin big') OR (contains(t,'thin') AND contains(t,'big'))) AND contains(t,'with') AS identified FROM d")
+@query("m13_page_identifies", "WITH b AS (SELECT item_id, 'the and of in' AS name FROM benchmark), d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, contains(t,'the big of') OR (contains(t,'big') AND contains(t,'thin')) AS named, CASE doc_id%3 WHEN 0 THEN contains(t,'the thin big') OR (contains(t,'thin') AND contains(t,'big')) WHEN 1 THEN contains(t,'thin big') OR (contains(t,'thin') AND contains(t,'big') AND contains(t,'old')) ELSE contains(t,'open') END AND contains(t,'with') AS identified FROM d")
 def m13(spark, d):
     docs = fx.table(spark, d, "documents")
     low = F.lower("text")
     named = low.contains("the big of") | (low.contains("big") & low.contains("thin"))
-    return docs.select("doc_id", named.alias("named"), m.identifies(F.col("text"), F.lit("The Thin Big"), "with").alias("identified"))
+    name = F.when(F.col("doc_id") % 3 == 0, "The Thin Big").when(F.col("doc_id") % 3 == 1, "Thin Big - Restaurant of Old").otherwise("Open near Water")
+    return docs.select("doc_id", named.alias("named"), m.identifies(F.col("text"), name, "with").alias("identified"))
 
 
 CARDS = "cards AS (SELECT location_id, list({'type':type,'source':source,'file':CASE WHEN pos%2=0 THEN 'f'||pos END,'url':url} ORDER BY pos) AS media FROM items GROUP BY 1)"
