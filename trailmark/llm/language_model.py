@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import LOWER, SPACE, blocks, mix, prefix_sums, span_hashes, spaced, utf8, word_spans
+from .packed import LOWER, SPACE, blocks, mix, span_hashes, spaced, utf8, word_spans
 from .shared import written
 
 TOKEN, TRIE, TOP = 0, 1, 2  # kinds of counts
@@ -188,7 +188,7 @@ def unit_counts(rows: DataFrame, units: int) -> DataFrame:
                 text[begin[1:] - 1] = 32
                 start, end = word_spans(text)
                 own = learn[i:j]
-                for (keys, sums), key, weight in ((tokens, span_hashes(prefix_sums(text), start, end), own[np.searchsorted(begin, start, side="right") - 1]), (codes, trie_codes(b, begin), np.repeat(own, np.diff(begin)))):
+                for (keys, sums), key, weight in ((tokens, span_hashes(text, start, end), own[np.searchsorted(begin, start, side="right") - 1]), (codes, trie_codes(b, begin), np.repeat(own, np.diff(begin)))):
                     learned, n = np.unique(key[weight], return_counts=True)
                     rest = np.setdiff1d(key[~weight], learned)
                     keys += [learned, rest]
@@ -320,7 +320,7 @@ def score_texts(docs: DataFrame, unit_bytes: int = 24 << 20) -> DataFrame:
                 ppm = np.add.reduceat(value[np.searchsorted(code, each)].astype(np.float64)[inverse], begin[:-1])
                 b[begin[1:] - 1] = 32
                 start, end = word_spans(b)
-                at = np.searchsorted(key, span_hashes(prefix_sums(b), start, end))
+                at = np.searchsorted(key, span_hashes(b, start, end))
                 doc = np.searchsorted(begin, start, side="right") - 1
                 n = np.bincount(doc, minlength=j - i)
                 for col, x in zip(cols, (n + 1, np.bincount(doc, weights=c[at] > 0, minlength=j - i) + (n_train > 0), np.bincount(doc, weights=worth[at], minlength=j - i) + end_score, ppm), strict=True):

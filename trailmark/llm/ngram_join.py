@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .components import connected_components, dealt_anew
-from .packed import LOWER, blocks, mix, prefix_sums, span_hashes, spaced, utf8, word_spans
+from .packed import LOWER, blocks, mix, span_hashes, spaced, utf8, word_spans
 from .shared import renamed_aside, written
 
 N = 5  # words in a shingle
@@ -36,7 +36,7 @@ def shingles(buf: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.ndarr
     b, begin = spaced(buf, off, i, j)
     b = LOWER[b]
     start, end = word_spans(b)
-    words = span_hashes(prefix_sums(b), start, end)
+    words = span_hashes(b, start, end)
     doc = np.searchsorted(begin, start, side="right") - 1
     n = np.bincount(doc, minlength=j - i)
     k = np.uint64(0x9FB21C651E98DF25)
@@ -174,18 +174,19 @@ def linked(ids: np.ndarray, block: np.ndarray, sig: np.ndarray, texts: list[byte
 
 def class_table(texts: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 512) -> DataFrame:
     """(id, least_doc, n_copies, n_links, class) of each different text in texts(id, doc_id, text)."""
-    signed = written(signatures(texts), "signatures")
+    each = signatures(texts).groupBy("id")  # one row of each text from here on, however often it is repeated
+    signed = written(each.agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "signatures")
     copies = texts.groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_copies"))
     banded = signed.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
     ties = banded.join(dealt_anew(shared, "band"), "band").where("id != low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
     groups = written(connected_components(ties), "candidate_groups")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    least_doc = signed.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    members = groups.join(dealt_anew(sizes, "component"), "component").join(least_doc, "id")
+    members = groups.join(dealt_anew(sizes, "component"), "component").join(signed.select("id", "doc_id", "sig"), "id")
     chosen = members.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))
-    with_sig = chosen.alias("m").join(signed.select("id", "doc_id", "sig").alias("s"), (F.col("m.id") == F.col("s.id")) & F.col("m.doc_id").eqNullSafe(F.col("s.doc_id"))).select("m.*", "s.sig")
-    full = with_sig.alias("m").join(texts.alias("t"), (F.col("m.id") == F.col("t.id")) & F.col("m.doc_id").eqNullSafe(F.col("t.doc_id"))).select("m.component", "m.blocks", "m.block", "m.id", "m.sig", "t.text")
+    found = chosen.alias("m").join(texts.alias("t"), (F.col("m.id") == F.col("t.id")) & F.col("m.doc_id").eqNullSafe(F.col("t.doc_id")))
+    own = ["component", "blocks", "block", "sig"]
+    full = found.select("m.id", "m.doc_id", *[f"m.{c}" for c in own], "t.text").groupBy("id", "doc_id").agg(*[F.first(c).alias(c) for c in (*own, "text")])  # repeated rows have one id and doc_id
     spread = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "blocks", "sig", "text")
     least = least_matches(threshold, tolerance)
 

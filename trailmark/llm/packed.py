@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
+LONG = 64  # bytes of a long span
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -80,10 +82,34 @@ def prefix_sums(b: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each span start:end, from prefix sums; equal bytes, equal hash."""
-    _, q = powers(len(h))
-    return mix((h[end] - h[start]) * q[start] + (end - start).astype(np.uint64))
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span b[start:end]; equal bytes, equal hash.
+
+    Up to 64 bytes by prefix sums; longer ones by XXH3, as regular strings of a thousand bytes can share a polynomial modulo 2^64.
+    """
+    h, (_, q) = prefix_sums(b), powers(len(b) + 1)
+    out = mix((h[end] - h[start]) * q[start] + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(b[start[k] : end[k]].tobytes())
+    return out
+
+
+def same_spans(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, n: np.ndarray, spare: bool = False) -> np.ndarray:
+    """Whether a[i : i + n] and b[j : j + n] are the same bytes, for each of many spans; eight bytes at a time, long ones whole.
+
+    spare: b has eight bytes more than the spans reach, so it isn't copied.
+    """
+    same = np.ones(len(n), bool)
+    for k in np.flatnonzero(n > LONG).tolist():
+        same[k] = np.array_equal(a[i[k] : i[k] + n[k]], b[j[k] : j[k] + n[k]])
+    a8, b8 = (np.ndarray(len(x) - 7, "<u8", x, strides=(1,)) for x in (np.append(a, np.zeros(8, np.uint8)), b if spare else np.append(b, np.zeros(8, np.uint8))))
+    rows, t = np.flatnonzero((n > 0) & (n <= LONG)), 0
+    while len(rows):
+        keep = np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(8, n[rows] - t))).astype(np.uint64)
+        same[rows[((a8[i[rows] + t] ^ b8[j[rows] + t]) & keep) != 0]] = False
+        t += 8
+        rows = rows[n[rows] > t]
+    return same
 
 
 def word_spans(b: np.ndarray, is_space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:

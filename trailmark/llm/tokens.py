@@ -7,10 +7,9 @@ import re
 
 import numpy as np
 
-from .packed import LOWER, prefix_sums, span_hashes
+from .packed import LONG, LOWER, same_spans, span_hashes
 
-CACHE_CHUNKS = 4_000_000  # per Python worker, about 25 bytes each (results don't depend on it)
-LONG = 64  # bytes; longer chunks are encoded where they stand and not kept
+CACHE_CHUNKS = 4_000_000  # per Python worker, about 45 bytes each (results don't depend on it); chunks over LONG bytes are not kept
 JOINED = 64  # plain chunks encoded in one string, parted by a sign that stays a token of its own
 ODD_SPACE = re.compile(r" (?=\s|$)")
 NEAR_LINE_END = re.compile(r"\n\s|\s\n")
@@ -33,40 +32,56 @@ def letter_mask(b: np.ndarray) -> np.ndarray:
     return out
 
 
+class Store:
+    """An array that grows; put() gives the place of what it adds."""
+
+    def __init__(self, kind):
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+
+    def put(self, x: np.ndarray) -> int:
+        if self.used + len(x) + 8 > len(self.data):  # eight are always spare
+            grown = np.zeros(max(self.used + len(x) + 8, len(self.data) * 3 // 2), self.data.dtype)
+            grown[: self.used] = self.data[: self.used]
+            self.data = grown
+        self.data[self.used : self.used + len(x)] = x
+        self.used += len(x)
+        return self.used - len(x)
+
+
 class ChunkCache:
-    """Ids of chunks by their 64-bit hash: sorted keys beside places and lengths in one array of ids."""
+    """Ids and bytes of chunks by their 64-bit hash: sorted keys beside places and lengths in two stores. What is found has the same bytes, not only the hash."""
 
     def __init__(self, limit: int, kind=np.uint16):
         self.limit, self.kind = limit, kind
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
-        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in range(2)]  # old ones, recent ones
+        self.ids, self.raw = Store(self.kind), Store(np.uint8)
+        self.levels = [(np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)) for _ in range(2)]  # old ones, recent ones; place and length of ids and of bytes
 
     def __len__(self) -> int:
         return sum(len(x[0]) for x in self.levels)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and length of each of the sorted keys; the length of an unknown one is -1."""
-        place, length = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int32)
-        for have, at, size in self.levels:
+    def find(self, keys: np.ndarray, b: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and length of the ids of each of the chunks b[start : start + size], by their sorted keys; the length of an unknown one is -1."""
+        place, length = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for have, at in self.levels:
             if len(have):
                 k = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                same = have[k] == keys
-                place[same], length[same] = at[k[same]], size[k[same]]
+                hit = np.flatnonzero((have[k] == keys) & (at[k, 3] == size))
+                found = at[k[hit]]
+                same = same_spans(b, start[hit], self.raw.data, found[:, 2], found[:, 3], spare=True)
+                place[hit[same]], length[hit[same]] = found[same, 0], found[same, 1]
         return place, length
 
-    def put(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Keep the ids (one after another, sizes of them for each sorted key); return their places."""
-        if self.used + len(ids) > len(self.ids):
-            grown = np.zeros(max(self.used + len(ids), len(self.ids) * 3 // 2), self.kind)
-            grown[: self.used] = self.ids[: self.used]
-            self.ids = grown
-        self.ids[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        self.levels[1] = self._merged(self.levels[1], (keys, at, sizes))
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Whether some chunk is kept under each key (one of other bytes, where find() found none)."""
+        return np.logical_or.reduce([np.isin(keys, have) for have, _ in self.levels])
+
+    def put(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, raw_sizes: np.ndarray) -> np.ndarray:
+        """Keep ids and bytes (one chunk's after another's, sizes of them for each sorted key); return the places of the ids."""
+        at = self.ids.put(ids) + np.cumsum(sizes) - sizes
+        self.levels[1] = self._merged(self.levels[1], (keys, np.column_stack([at, sizes, self.raw.put(raw) + np.cumsum(raw_sizes) - raw_sizes, raw_sizes])))
         if len(self.levels[1][0]) > max(100_000, len(self.levels[0][0]) // 8):
             self.levels[0] = self._merged(*self.levels)
             self.levels[1] = tuple(x[:0] for x in self.levels[0])
@@ -76,7 +91,7 @@ class ChunkCache:
     def _merged(a: tuple, b: tuple) -> tuple:
         keys = np.concatenate([a[0], b[0]])
         order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]]).astype(np.int32)[order]
+        return keys[order], np.concatenate([a[1], b[1]])[order]
 
 
 class ChunkEncoder:
@@ -85,15 +100,17 @@ class ChunkEncoder:
     Both vocabularies split a text before each single space that a visible character follows, at a line end
     between visible characters, and between a letter and a sign (other than an apostrophe, which may begin a
     contraction, and a bar, which stands in special tokens), and no merge crosses such a place. So a text is cut
-    there and each distinct chunk is encoded once, told apart by a 64-bit hash.
+    there and each distinct chunk is encoded once, found by a 64-bit hash and told apart by its bytes.
     keep_space: the space belongs to the chunk after it (byte-level); else white space is dropped and A-Z are lower case.
     A text with other runs of white space is encoded whole where the space is kept.
+    plain_specials: strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, keep_space: bool, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, keep_space: bool, cache_chunks: int = CACHE_CHUNKS, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep_space = Tokenizer.from_file(path), keep_space
+        self.tokenizer.encode_special_tokens = plain_specials
         self.cache = ChunkCache(cache_chunks, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.sign = "\n" if keep_space else " \x00 "
         (self.sign_id,) = self.tokenizer.encode(self.sign.strip(" "), add_special_tokens=False).ids
@@ -166,23 +183,34 @@ class ChunkEncoder:
         """Ids (uint32) of the texts at off in buf, each with end_id after it, and where each text's ids begin (with the end as last)."""
         begin, docs = off - off[0], len(off) - 1
         b, start, end = self._spans(buf[off[0] : off[-1]], begin)
-        hashes = span_hashes(prefix_sums(b), start, end)
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        size = end - start
+        keys, first, inverse = np.unique(span_hashes(b, start, end), return_index=True, return_inverse=True)
+        again = np.flatnonzero(first[inverse] != np.arange(len(start)))
+        like = first[inverse[again]]
+        other = again[(size[again] != size[like]) | ~same_spans(b, start[again], b, start[like], np.minimum(size[again], size[like]))]
         if len(self.cache) > self.cache.limit:
             self.cache.clear()
-        place, length = self.cache.find(keys)
-        ids = self.cache.ids
+        place, length = self.cache.find(keys, b, start[first], size[first])
+        known = len(keys)
+        if len(other):  # other bytes with the hash of the first: chunks of their own
+            inverse[other] = known + np.arange(len(other))
+            first, place, length = np.append(first, other), np.append(place, np.zeros(len(other), np.int64)), np.append(length, np.full(len(other), -1))
+        ids = self.cache.ids.data
         new = np.flatnonzero(length < 0)
         if len(new):
-            made, sizes = self._encode([b[s:e].tobytes().decode() for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            short = (end - start)[first[new]] <= LONG
+            lo, hi = start[first[new]], end[first[new]]
+            made, sizes = self._encode([b[s:e].tobytes().decode() for s, e in zip(lo.tolist(), hi.tolist(), strict=True)])
+            short = (hi - lo <= LONG) & (new < known)
+            short[short] &= ~self.cache.holds(keys[new[short]])
             length[new] = sizes
             of = np.repeat(short, sizes)
-            place[new[short]] = self.cache.put(keys[new[short]], made[of], sizes[short])
-            ids = self.cache.ids
+            wide = (hi - lo)[short]
+            raw = b[np.repeat(lo[short] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))]
+            place[new[short]] = self.cache.put(keys[new[short]], made[of], sizes[short], raw, wide)
+            ids = self.cache.ids.data
             if not short.all():
-                place[new[~short]] = self.cache.used + np.cumsum(sizes[~short]) - sizes[~short]
-                ids = np.concatenate([ids[: self.cache.used], made[~of].astype(ids.dtype)])
+                place[new[~short]] = self.cache.ids.used + np.cumsum(sizes[~short]) - sizes[~short]
+                ids = np.concatenate([ids[: self.cache.ids.used], made[~of].astype(ids.dtype)])
         n, at = length[inverse].astype(np.int64), place[inverse]
         total = int(n.sum())
         token = np.arange(total)
@@ -202,12 +230,13 @@ class ChunkEncoder:
         return [ids[lo:hi].tobytes() for lo, hi in zip(at, at[1:], strict=False)]
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+_ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool, cache_chunks: int = CACHE_CHUNKS) -> ChunkEncoder:
+def encoder(path: str, keep_space: bool, cache_chunks: int = CACHE_CHUNKS, plain_specials: bool = False) -> ChunkEncoder:
     """The worker's own encoder for this file."""
-    if (path, keep_space) not in _ENCODERS:
+    key = (path, keep_space, plain_specials)
+    if key not in _ENCODERS:
         gc.set_threshold(50_000, 20, 100)
-        _ENCODERS[path, keep_space] = ChunkEncoder(path, keep_space, cache_chunks)
-    return _ENCODERS[path, keep_space]
+        _ENCODERS[key] = ChunkEncoder(path, keep_space, cache_chunks, plain_specials)
+    return _ENCODERS[key]
