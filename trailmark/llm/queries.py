@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_model, licences, media, ngram_join, packing, quality, sharding, token_files
+from . import decontamination, html_text, language_model, licences, media, mixing, ngram_join, packing, quality, sharding, token_files
+from .components import dealt_anew
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,5 +65,32 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op8_html_text, op9_licence_scan, op10_media_columns)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality weights: 2 where a label says 1, 0.5 where it says 0, else 1."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.text_digest(F.col("text")).alias("digest"))
+    marks = _read(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("mark"))
+    marked = docs.where("doc_id is not null").join(dealt_anew(marks, "doc_id"), "doc_id", "left").unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
+    weighed = marked.withColumn("quality", F.when(F.col("mark") == 1, 2.0).when(F.col("mark") == 0, 0.5).otherwise(1.0))
+    taken = mixing.mix(weighed, quality_col="quality", key_col="digest")
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "quality")
+
+
+OP11_SQL = """WITH d0 AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, coalesce(md5(text), 'null') AS digest FROM documents),
+m AS (SELECT doc_id, max(quality) AS mark FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+d AS (SELECT d0.*, CASE mark WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS quality FROM d0 LEFT JOIN m USING (doc_id)),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM d GROUP BY 1),
+o AS (SELECT *, sum(source_size) OVER () AS t, coalesce(sum(3.0::DOUBLE * source_size) OVER e, 0) AS caps, sum(w) OVER () - coalesce(sum(w) OVER e, 0) AS share, row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS k FROM s WINDOW e AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT CAST(t AS DOUBLE) - caps AS l, share FROM o WHERE (CAST(t AS DOUBLE) - caps) * w / share <= 3.0::DOUBLE * source_size ORDER BY k LIMIT 1),
+g AS (SELECT source, source_size, least(l * w / f.share, 3.0::DOUBLE * source_size) AS target FROM s, f),
+h AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, digest) - 1 AS no FROM d),
+k AS (SELECT n.*, source_size, target, epochs, target - epochs * source_size AS rest, -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || digest || ':' || no), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / quality AS key FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source),
+p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY key, digest, doc_id, no) <= rest AS INTEGER) AS picked FROM k),
+a AS (SELECT source, any_value(rest) - sum(picked * size) AS gap FROM p GROUP BY 1),
+b AS (SELECT p.source, p.doc_id, p.digest, p.no, row_number() OVER (PARTITION BY p.source ORDER BY abs(gap - size), key, digest, doc_id, no) AS r FROM p JOIN a ON p.source IS NOT DISTINCT FROM a.source WHERE picked = 0 AND size > 0 AND abs(gap - size) < gap),
+z AS (SELECT p.*, epochs + picked + CASE WHEN b.r = 1 THEN 1 ELSE 0 END AS copies FROM p LEFT JOIN b ON b.r = 1 AND b.source IS NOT DISTINCT FROM p.source AND b.doc_id IS NOT DISTINCT FROM p.doc_id AND b.digest = p.digest AND b.no = p.no)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, quality FROM z"""
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op8_html_text, op9_licence_scan, op10_media_columns, op11_source_mix)}
+ORACLE_SQL: dict[str, str] = {"op11_source_mix": OP11_SQL}
