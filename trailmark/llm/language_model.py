@@ -136,7 +136,7 @@ def code_scores(top: Top, code: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def packed_numbers(x: np.ndarray) -> bytes:
     """Fixed-width numbers, compressed byte by byte."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def numbers(data: bytes, kind) -> np.ndarray:

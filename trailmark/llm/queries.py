@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_model, licences, media, mixing, ngram_join, packing, quality, sharding, token_files
+from . import alignment, decontamination, html_text, language_model, licences, media, mixing, ngram_join, packing, quality, sharding, token_files
 from .components import dealt_anew
 
 
@@ -92,5 +92,10 @@ z AS (SELECT p.*, epochs + picked + CASE WHEN b.r = 1 THEN 1 ELSE 0 END AS copie
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, quality FROM z"""
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op8_html_text, op9_licence_scan, op10_media_columns, op11_source_mix)}
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op8_html_text, op9_licence_scan, op10_media_columns, op11_source_mix, op12_tokenizer_alignment)}
 ORACLE_SQL: dict[str, str] = {"op11_source_mix": OP11_SQL}

@@ -76,7 +76,11 @@ class ChunkCache:
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """Whether some chunk is kept under each key (one of other bytes, where find() found none)."""
-        return np.logical_or.reduce([np.isin(keys, have) for have, _ in self.levels])
+        out = np.zeros(len(keys), bool)
+        for have, _ in self.levels:
+            if len(have):
+                out |= have[np.minimum(np.searchsorted(have, keys), len(have) - 1)] == keys
+        return out
 
     def put(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, raw_sizes: np.ndarray) -> np.ndarray:
         """Keep ids and bytes (one chunk's after another's, sizes of them for each sorted key); return the places of the ids."""
