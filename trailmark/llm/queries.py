@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, html_text, language_model, licences, media, mixing, ngram_join, packing, quality, sharding, token_files
+from . import alignment, collocations, decontamination, html_text, language_model, licences, media, mixing, ngram_join, packing, quality, sharding, token_files
 from .components import dealt_anew
 
 
@@ -75,6 +75,23 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "quality")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = """WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, w[i:i + m - 1] AS g, count(*) AS n FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, g, n AS a FROM f WHERE len(g) > 1),
+k AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+s AS (SELECT k.lang, k.g, k.a, k, l.n AS l, r.n AS r, (k.a::HUGEINT * 2000000) // (l.n + r.n) AS score FROM k JOIN f l ON l.lang = k.lang AND l.g = k.g[1:k.k] JOIN f r ON r.lang = k.lang AND r.g = k.g[k.k + 1:len(k.g)]),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM s) WHERE o = 1),
+i AS (SELECT lang, g[i:i + m - 1] AS g, max(a) AS longer FROM (SELECT lang, g, a, unnest(range(1, len(g))) AS i FROM c) CROSS JOIN (SELECT unnest([2, 3]) AS m) WHERE m < len(g) AND i + m - 1 <= len(g) GROUP BY ALL),
+z AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN i USING (lang, g) WHERE longer IS NULL OR 100 * longer < 80 * a),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM y JOIN t USING (lang) WHERE rank <= 2000"""
+
+
 OP11_SQL = """WITH d0 AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, coalesce(md5(text), 'null') AS digest FROM documents),
 m AS (SELECT doc_id, max(quality) AS mark FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 d AS (SELECT d0.*, CASE mark WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS quality FROM d0 LEFT JOIN m USING (doc_id)),
@@ -97,5 +114,5 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op8_html_text, op9_licence_scan, op10_media_columns, op11_source_mix, op12_tokenizer_alignment)}
-ORACLE_SQL: dict[str, str] = {"op11_source_mix": OP11_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op4_best_fit_packing, op3_quality_classifier, op5_token_files, op6_ppm_scoring, op7_decontamination, op8_html_text, op9_licence_scan, op10_media_columns, op11_source_mix, op12_tokenizer_alignment, op13_collocations)}
+ORACLE_SQL: dict[str, str] = {"op11_source_mix": OP11_SQL, "op13_collocations": OP13_SQL}
