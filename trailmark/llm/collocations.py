@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .language_model import numbers, packed_numbers
+from .packed_sums import ROWS_SQL, part_rows, sum_packed
 from .shared import written
 
 LEAST, LONGEST, INSIDE = 30, 4, 80  # occurrences of a candidate; words; percent of a phrase within a longer one
 TRIE_PHRASES = 500_000  # in one trie, at most: about 60 MB
+COUNT, MOST = np.uint64(1 << 63), np.uint64((1 << 31) - 1)  # marks a phrase's own count among keys; the greatest number of a word
 BREAKS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 BLOCK = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
@@ -174,14 +176,13 @@ def found_pairs(coded: DataFrame, least: int) -> DataFrame:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column("codes").to_pylist():
-                c = numbers(data, np.int32).astype(np.int64)
-                both = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
-                code, n = np.unique(c[both] << 32 | c[both + 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+            for block, data in zip(b.column("block").to_pylist(), b.column("codes").to_pylist(), strict=True):
+                c = numbers(data, np.int32).astype(np.uint64)
+                both = np.flatnonzero((c[:-1] <= MOST) & (c[1:] <= MOST))
+                yield part_rows(block, *np.unique(c[both] << np.uint64(32) | c[both + 1], return_counts=True))
 
-    sums = coded.select("codes").mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return sums.select(F.array(F.shiftright("code", 32).cast("int"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("words"), "n")
+    sums = sum_packed(coded.mapInArrow(pairs, ROWS_SQL), coded.count(), least)
+    return sums.select(F.array(F.shiftright("key", 32).cast("int"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("words"), "n")
 
 
 def tries(phrases: DataFrame, limit: int = TRIE_PHRASES) -> Iterator[tuple[Trie, DataFrame, bool]]:
@@ -210,8 +211,9 @@ def next_level(spark: SparkSession, coded: DataFrame, phrases: DataFrame, words:
         def advance(batches: Iterator[pa.RecordBatch], held=held, alone=alone) -> Iterator[pa.RecordBatch]:
             trie = held.value
             sums = np.zeros(int(trie.accept.max(initial=-1)) + 1, np.int64)
+            task = TaskContext.get().partitionId()
             for b in batches:
-                for data in b.column("codes").to_pylist():
+                for block, data in zip(b.column("block").to_pylist(), b.column("codes").to_pylist(), strict=True):
                     c = numbers(data, np.int32).astype(np.int64)
                     state = last_state(trie, c, words)
                     hit = np.flatnonzero(state >= 0)
@@ -224,15 +226,15 @@ def next_level(spark: SparkSession, coded: DataFrame, phrases: DataFrame, words:
                     go = hit[then[hit] >= 0]
                     if alone:  # the phrase at the next position is in this trie too, if it is frequent
                         go = go[number[go + 1] >= 0]
-                    code, n = np.unique(number[go] << 32 | then[go], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(code), np.int32)), pa.array(code), pa.array(n.astype(np.int64))], names=["kind", "code", "n"])
-            some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int32)), pa.array(some), pa.array(sums[some])], names=["kind", "code", "n"])
+                    yield part_rows(block, *np.unique((number[go] << 32 | then[go]).astype(np.uint64), return_counts=True))
+            some = np.flatnonzero(sums).astype(np.uint64)
+            yield part_rows(-1 - task, some | COUNT, sums[some])
 
-        made = written(coded.select("codes").mapInArrow(advance, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).where((F.col("kind") == 0) | (F.col("n") >= least)), "level")
+        n = coded.count()
+        made = written(sum_packed(coded.mapInArrow(advance, ROWS_SQL), 2 * n), "level")  # a task's counts are one more block
         names = names.select(F.col("number").cast("long").alias("number"), "words")
-        totals.append(made.where("kind = 0").join(names, F.col("code") == F.col("number")).select("words", "n"))
-        longer.append(made.where("kind = 1").join(names, F.shiftright("code", 32) == F.col("number")).select(F.concat("words", F.array(F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("words"), "n"))
+        totals.append(made.where("key < 0").join(names, F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("number")).select("words", "n"))
+        longer.append(made.where("key >= 0").where(F.col("n") >= least).join(names, F.shiftright("key", 32) == F.col("number")).select(F.concat("words", F.array(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("words"), "n"))
     return written(reduce(DataFrame.unionByName, totals), f"phrases_{words}"), None if last else written(reduce(DataFrame.unionByName, longer), f"candidates_{words + 1}")
 
 
