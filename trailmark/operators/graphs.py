@@ -7,22 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import min_max
+from ..sources.shared import written
 
 
-def jaccard_pairs(df: DataFrame, basket: str, item: str, catalogue: DataFrame | None = None, max_items: int | None = None) -> DataFrame:
+def jaccard_pairs(df: DataFrame, basket: str, item: str, catalogue: DataFrame | None = None, max_items: int | None = None, block: int = 500) -> DataFrame:
     """B1, B2: Jaccard of the basket sets of each two items that share a basket; both directions, no diagonal.
 
-    Pairs are made distinct first and larger baskets than max_items (a stated limit, off by default) left out, so the
-    self-join grows with the squares of basket sizes only; both sides are hash-partitioned on the basket.
+    Pairs are made distinct first and larger baskets than max_items (a stated limit, off by default) left out. A basket of more than
+    `block` items is dealt into blocks of about so many, and each pair of its blocks is a join key of its own: an item goes to every pair that its block
+    is in, so a basket of n items is n * n / block rows over as many tasks, and no task has more than two blocks of it.
     """
     pairs = df.select(F.col(basket).alias("b"), F.col(item).alias("i")).where("b is not null and i is not null").distinct()
     if catalogue is not None:
         pairs = pairs.join(catalogue.select(F.col(item).alias("i")).distinct(), "i", "left_semi")
+    pairs = written(pairs, "basket_items")
+    sizes = pairs.groupBy("b").agg(F.count("*").alias("_n"))
     if max_items is not None:
-        sizes = pairs.groupBy("b").agg(F.count("*").alias("_n")).where(F.col("_n") <= max_items)
-        pairs = pairs.join(sizes.select("b"), "b", "left_semi")
+        pairs = pairs.join(sizes.where(F.col("_n") <= max_items).select("b"), "b", "left_semi")
     n = pairs.groupBy("i").agg(F.count("*").alias("n"))
-    both = pairs.alias("x").join(pairs.alias("y"), F.col("x.b") == F.col("y.b")).where("x.i < y.i").groupBy(F.col("x.i").alias("src"), F.col("y.i").alias("dst")).agg(F.count("*").alias("n_both"))
+    large = sizes.where(F.col("_n") > block).select("b", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    own = pairs.join(large, "b", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("g", F.pmod(F.xxhash64("i"), F.col("_blocks")).cast("int"))
+    dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("b", "i", "g", F.least("g", "_o").alias("p"), F.greatest("g", "_o").alias("q"))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    meet = (F.col("x.b") == F.col("y.b")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q")) & (F.col("x.i") < F.col("y.i")) & ((F.col("x.p") == F.col("x.q")) | (F.col("x.g") != F.col("y.g")))
+    both = x.join(y, meet).groupBy(F.col("x.i").alias("src"), F.col("y.i").alias("dst")).agg(F.count("*").alias("n_both"))
     j = both.join(n.select(F.col("i").alias("src"), F.col("n").alias("n_src")), "src").join(n.select(F.col("i").alias("dst"), F.col("n").alias("n_dst")), "dst")
     half = j.select("src", "dst", (F.col("n_both") / (F.col("n_src") + F.col("n_dst") - F.col("n_both"))).alias("weight"))
     return half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -59,12 +67,38 @@ def session_blend(session: DataFrame, moves: DataFrame, share: float = 0.6) -> D
     return a.unionByName(b).groupBy("request_id", "location_id").agg(F.sum("score").alias("score"))
 
 
+def exact_median(df: DataFrame, column: str, buckets: int = 16_384) -> float | None:
+    """The median of a long column (nulls left out), the mean of the two middle values where their number is even; None without values.
+
+    Distributed selection: a histogram of equal widths tells in which bucket the lower middle value lies, and the next one divides that bucket, until
+    its width is 1 (three rounds for times of a month in microseconds). Each round is a small aggregate of at most `buckets` counts; no rows are sorted and none goes to one task.
+    """
+    v = df.select(F.col(column).cast("long").alias("v")).where("v is not null")
+    n, low, high = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    rank = before = (n - 1) // 2  # values before the lower middle one in all, and then in the bucket
+    while high > low:
+        width = -(-(high - low + 1) // buckets)
+        part = v.where(F.col("v").between(low, high)).groupBy(F.expr(f"(v - {low}L) div {width}L").alias("k")).count()
+        for k, count in sorted(part.collect()):
+            if before < count:
+                low, high = low + k * width, min(high, low + k * width + width - 1)
+                break
+            before -= count
+    if n % 2:
+        return float(low)
+    upto, above = v.agg(F.count_if(F.col("v") <= low), F.min(F.when(F.col("v") > low, F.col("v")))).first()
+    return float(low) if upto > rank + 1 else (low + above) / 2
+
+
 def trending(events: DataFrame, weight: str | None = "quality_weight", least: int = 3) -> DataFrame:
     """Log of late over early weight around the median event time, scaled; 0 for places with fewer than `least` events."""
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.5)) if weight else F.lit(1.0)
-    e = events.where("location_id is not null and event_time is not null").select("location_id", F.unix_micros(F.col("event_time").cast("timestamp")).cast("double").alias("t"), w.alias("w"))
-    cut = e.agg(F.percentile("t", F.lit(0.5)).alias("cut"))
-    sums = e.crossJoin(F.broadcast(cut)).groupBy("location_id").agg(F.sum(F.when(F.col("t") < F.col("cut"), F.col("w")).otherwise(0.0)).alias("early"), F.sum(F.when(F.col("t") >= F.col("cut"), F.col("w")).otherwise(0.0)).alias("late"), F.count("*").alias("n_events"))
+    e = written(events.where("location_id is not null and event_time is not null").select("location_id", F.unix_micros(F.col("event_time").cast("timestamp")).alias("t"), w.alias("w")), "event_times")
+    cut = exact_median(e, "t")
+    late = F.col("t") >= F.lit(cut)
+    sums = e.groupBy("location_id").agg(F.sum(F.when(~late, F.col("w")).otherwise(0.0)).alias("early"), F.sum(F.when(late, F.col("w")).otherwise(0.0)).alias("late"), F.count("*").alias("n_events"))
     some = sums.where(F.col("n_events") >= least).withColumn("raw", F.log1p((F.col("late") + 1) / (F.col("early") + 1)))
     scaled = min_max(some, "raw", "trending_score")
     return scaled.select("location_id", "n_events", "early", "late", "trending_score").unionByName(sums.where(F.col("n_events") < least).select("location_id", "n_events", "early", "late", F.lit(0.0).alias("trending_score")))

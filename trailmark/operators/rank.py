@@ -22,11 +22,29 @@ def expand_candidates(requests: DataFrame, places: DataFrame) -> DataFrame:
     return requests.crossJoin(places)
 
 
+def by_interests(requests: DataFrame, places: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """(request_id, location_id, rank): for each request(request_id, interests) the first n places in the given order that bear one of its interests (whatever their case), of all places where it has none.
+
+    A place among a request's first n is among the first n of one of its interests, so requests meet only the categories' lists:
+    n rows an interest. Those without interests share one list of n. Where both sides have a column draw, lists are made for each draw.
+    """
+    if "draw" not in requests.columns:
+        requests, places = requests.withColumn("draw", F.lit(0)), places.withColumn("draw", F.lit(0))
+    names = [f"o{k}" for k in range(len(order))]
+    cols = [c.alias(x) for c, x in zip(order, names, strict=True)]
+    each = places.select("draw", "location_id", F.explode(F.array_distinct(F.transform("categories", lambda x: F.lower(x)))).alias("category"), *cols)
+    lists = each.withColumn("_r", F.row_number().over(W.partitionBy("draw", "category").orderBy(*names))).where(F.col("_r") <= n).drop("_r")
+    own = requests.where(F.size("interests") > 0).select("request_id", "draw", F.explode(F.array_distinct(F.transform("interests", lambda x: F.lower(x)))).alias("category"))
+    some = own.join(lists, ["draw", "category"]).groupBy("request_id", "location_id").agg(*[F.first(c).alias(c) for c in names])
+    ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy(*names))).where(F.col("rank") <= n).select("request_id", "location_id", "rank")
+    first = places.select("draw", "location_id", *cols).withColumn("rank", F.row_number().over(W.partitionBy("draw").orderBy(*names))).where(F.col("rank") <= n)  # each task keeps its own first n
+    rest = requests.where(F.size("interests") == 0).select("request_id", "draw").join(first, "draw").select("request_id", "location_id", "rank")
+    return ranked.unionByName(rest)
+
+
 def fallback_seeds(requests: DataFrame, places: DataFrame, n: int = 5) -> DataFrame:
     """R2 (last source), R11: the n most popular places that match a request's interests (all places if it has none)."""
-    fits = (F.size("interests") == 0) | F.arrays_overlap(F.transform("interests", lambda x: F.lower(x)), F.transform("categories", lambda x: F.lower(x)))
-    w = W.partitionBy("request_id").orderBy(F.desc(F.round("popularity_raw", 6)), "location_id")
-    return requests.select("request_id", "interests").crossJoin(places.select("location_id", "categories", "popularity_raw")).where(fits).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("request_id", "location_id", "rank")
+    return by_interests(requests, places, [-F.round("popularity_raw", 6), F.col("location_id")], n)
 
 
 def collect_seeds(requests: DataFrame, seen: DataFrame, returning: DataFrame, archetype_seeds: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .rank import by_interests
+
 
 def daily_active(events: DataFrame) -> DataFrame:
     """E1"""
@@ -90,8 +92,13 @@ def baseline_popular(users: DataFrame, places: DataFrame, k: int = 10) -> DataFr
     return users.crossJoin(F.broadcast(top))
 
 
-def baseline_random(requests: DataFrame, places: DataFrame, k: int = 10, seed: int = 7) -> DataFrame:
-    """K places of the request's interests in the order of a seeded hash."""
-    fits = (F.size("interests") == 0) | F.arrays_overlap(F.transform("interests", lambda x: F.lower(x)), F.transform("categories", lambda x: F.lower(x)))
-    w = W.partitionBy("request_id").orderBy(F.xxhash64(F.lit(seed), "request_id", "location_id"), "location_id")
-    return requests.select("request_id", "interests").crossJoin(places.select("location_id", "categories")).where(fits).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("request_id", "location_id", "place")
+def baseline_random(requests: DataFrame, places: DataFrame, k: int = 10, seed: str = "7", draws: int = 16) -> DataFrame:
+    """K places of the request's interests (all places without any) in the order of a seeded hash.
+
+    A request takes one of `draws` orders of the catalogue, each the order of a hash of seed, draw and place; so requests meet lists of k
+    places a category and draw, never the whole catalogue.
+    """
+    drawn = requests.select("request_id", "interests", (F.conv(F.substring(F.md5(F.encode(F.concat_ws(":", F.lit(seed), "request_id"), "UTF-8")), 1, 7), 16, 10).cast("long") % draws).cast("int").alias("draw"))
+    every = places.select("location_id", "categories", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    order = [F.md5(F.encode(F.concat_ws(":", F.lit(seed), F.col("draw").cast("string"), "location_id"), "UTF-8")), F.col("location_id")]
+    return by_interests(drawn, every, order, k).withColumnRenamed("rank", "place")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .nearest import nearest_users  # noqa: F401  N2, N3
 from .vectors import unit
 
 # Names of archetypes by leading category.
@@ -19,17 +20,6 @@ def category_vectors(interactions: DataFrame, categories: DataFrame, score: str)
     return unit(j.select("user_key", F.explode("categories").alias("category"), per.alias("w")).groupBy("user_key", "category").agg(F.sum("w").alias("w")), "user_key")
 
 
-def nearest_users(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(query, user_key, sim, rank): the k users of the greatest cosine above 0, oneself excluded.
-
-    queries: (query, self, category, w). The work is queries times users that share a category; restrict
-    queries to the users that are scored.
-    """
-    dots = queries.join(vectors.withColumnRenamed("w", "v"), "category").where(F.coalesce(F.col("self") != F.col("user_key"), F.lit(True))).groupBy("query", "user_key").agg(F.sum(F.col("w") * F.col("v")).alias("sim"))
-    w = W.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "user_key")
-    return dots.where("sim > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def neighbour_scores(neighbours: DataFrame, interactions: DataFrame, score: str) -> DataFrame:
     """(query, location_id, score): sum of sim times score over neighbours, over the query's greatest."""
     s = neighbours.join(interactions, "user_key").groupBy("query", "location_id").agg(F.sum(F.col("sim") * F.col(score)).alias("score"))
