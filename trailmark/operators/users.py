@@ -82,3 +82,19 @@ def assign_nearest(vectors: DataFrame, centres: DataFrame, key: str = "user_key"
     best = every.groupBy(key).agg(F.min_by(F.struct("cluster", "dot", "vv", "cc"), F.struct(dist, F.col("cluster"))).alias("b"))
     conf = F.when(F.sqrt(F.col("b.cc") * F.col("b.vv")) > 1e-12, F.col("b.dot") / F.sqrt(F.col("b.cc") * F.col("b.vv"))).otherwise(0.0)
     return best.select(key, "b.cluster", F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+
+
+def interest_vectors(requests: DataFrame, categories: DataFrame) -> DataFrame:
+    """(request_id, category, w): unit vectors of the requests' interests, as far as they are categories(category) of the users' vectors; a repeated interest counts once."""
+    own = requests.select("request_id", F.explode(F.array_distinct("interests")).alias("category")).join(categories.select("category").distinct(), "category", "left_semi")
+    return unit(own.withColumn("w", F.lit(1.0)), "request_id").select("request_id", "category", "w")
+
+
+def archetype_seeds(requests: DataFrame, labels: DataFrame, centres: DataFrame, interactions: DataFrame, score: str) -> DataFrame:
+    """R2 (second source): (request_id, location_id) of the seed places of the archetype nearest to a request's interests.
+
+    Requests without a known interest have none.
+    """
+    near = assign_nearest(interest_vectors(requests, centres), centres, "request_id")
+    seeds = cluster_meta(labels, centres, interactions, score).select("cluster", F.explode("seeds").alias("location_id"))
+    return near.join(F.broadcast(seeds), "cluster").select("request_id", "location_id")  # five places a cluster

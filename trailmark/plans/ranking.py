@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import frames, graphs, quality, rank, users, vectors
 from ..sources import fixtures as fx
 from ..sources import sql as q
+from ..sources.shared import written
 from .base import effective, enriched, query, r6, seen_places, step
 from .core import INTER, MOVES, PRIORS, TREND, categories, jaccard_sql, trend
 
@@ -159,12 +160,16 @@ def c02(spark, d):
 
 @query("c02_fixed_archetype_meta", f"{USERS}, lab AS (SELECT user_key, CAST(CAST(substr(user_key,2) AS INTEGER)%4 AS INTEGER) AS cluster FROM (SELECT DISTINCT user_key FROM ucv)), cen AS (SELECT cluster, category, sum(w)/max(n) AS w FROM ucv JOIN lab USING (user_key) JOIN (SELECT cluster, count(*) AS n FROM lab GROUP BY 1) USING (cluster) GROUP BY ALL), tp AS (SELECT cluster, string_agg(category,'|' ORDER BY r) AS tops FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(w,9) DESC, category) AS r FROM cen WHERE w>1e-6) WHERE r<=5 GROUP BY 1), pp AS (SELECT cluster, location_id, sum(score) AS s FROM inter JOIN lab USING (user_key) GROUP BY ALL), sd AS (SELECT cluster, string_agg(location_id,'|' ORDER BY r) AS seeds FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(s,6) DESC, location_id) AS r FROM pp) WHERE r<=5 GROUP BY 1) SELECT cluster, (SELECT count(*) FROM lab l WHERE l.cluster=tp.cluster) AS size, tops, seeds FROM tp JOIN sd USING (cluster)")
 def c02_fixed(spark, d):
+    m = users.cluster_meta(*fixed_archetypes(spark, d), interactions(spark, d), "total_interaction_score")
+    return m.select("cluster", "size", F.array_join("top_categories", "|").alias("tops"), F.array_join("seeds", "|").alias("seeds"))
+
+
+def fixed_archetypes(spark, d):
+    """Labels (the user's number modulo 4) and centres (the means of their vectors)."""
     v = user_vectors(spark, d)
     labels = v.select("user_key").distinct().withColumn("cluster", (F.substring("user_key", 2, 9).cast("int") % 4).cast("int"))
     n = labels.groupBy("cluster").agg(F.count("*").alias("n"))
-    centres = v.join(labels, "user_key").join(n, "cluster").groupBy("cluster", "category").agg((F.sum("w") / F.max("n")).alias("w"))
-    m = users.cluster_meta(labels, centres, interactions(spark, d), "total_interaction_score")
-    return m.select("cluster", "size", F.array_join("top_categories", "|").alias("tops"), F.array_join("seeds", "|").alias("seeds"))
+    return labels, v.join(labels, "user_key").join(n, "cluster").groupBy("cluster", "category").agg((F.sum("w") / F.max("n")).alias("w"))
 
 
 FIXED = "cen(cluster,category,w) AS (VALUES (0,'ECONOMY',0.8::DOUBLE),(0,'PROMO',0.3::DOUBLE),(1,'STANDARD',0.9::DOUBLE),(2,'LARGE',0.5::DOUBLE),(2,'SMALL',0.6::DOUBLE),(3,'MEDIUM',0.7::DOUBLE))"
@@ -182,7 +187,14 @@ POLICY = quality.Policy(min_places_returning=14)
 PENALTY = "clk AS (SELECT event_id, CASE WHEN event_id%3<>0 THEN event_time END AS ts, location_id FROM fx_events WHERE event_name='map-user-action'), pn AS (SELECT location_id, count(*) AS n FROM clk WHERE (ts IS NULL OR ts>=TIMESTAMP '2024-01-31 00:00:00'-INTERVAL 30 DAY) AND location_id IN (SELECT location_id FROM fx_locations) GROUP BY 1), pen AS (SELECT location_id, n, ln(1+n)/(SELECT max(ln(1+n)) FROM pn) AS feedback_penalty FROM pn)"
 UNIV = "univ AS (SELECT l.*, [primary_category, brand] AS categories, coalesce(score,0.0) AS popularity_raw, coalesce(pop,0.0) AS popularity FROM fx_locations l LEFT JOIN scaled USING (location_id))"
 FALL = "fb AS (SELECT request_id, location_id, rank FROM (SELECT request_id, location_id, row_number() OVER (PARTITION BY request_id ORDER BY round(popularity_raw,6) DESC, location_id) AS rank FROM req, univ WHERE len(interests)=0 OR list_has_any(list_transform(interests, lambda x: lower(x)), list_transform(categories, lambda x: lower(x)))) WHERE rank<=5)"
-SEEDS = "sds AS (SELECT request_id, s.location_id, 'own' AS source FROM req JOIN ret USING (user_key) JOIN seen s USING (user_key) UNION ALL SELECT request_id, location_id, 'popular' FROM fb JOIN req USING (request_id) WHERE user_key IS NULL OR user_key NOT IN (SELECT user_key FROM ret))"
+ARCH = """lab AS (SELECT user_key, CAST(CAST(substr(user_key,2) AS INTEGER)%4 AS INTEGER) AS cluster FROM (SELECT DISTINCT user_key FROM ucv)),
+cen AS (SELECT cluster, category, sum(w)/max(n) AS w FROM ucv JOIN lab USING (user_key) JOIN (SELECT cluster, count(*) AS n FROM lab GROUP BY 1) USING (cluster) GROUP BY ALL),
+asd AS (SELECT cluster, location_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(s,6) DESC, location_id) AS r FROM (SELECT cluster, location_id, sum(score) AS s FROM inter JOIN lab USING (user_key) GROUP BY ALL)) WHERE r<=5),
+ccn AS (SELECT cluster, sum(w*w) AS cc FROM cen GROUP BY 1), inl AS (SELECT DISTINCT request_id, category FROM (SELECT request_id, unnest(interests) AS category FROM req) WHERE category IN (SELECT category FROM cen)),
+inv AS (SELECT request_id, category, 1/sqrt(count(*) OVER (PARTITION BY request_id)) AS w FROM inl), idt AS (SELECT request_id, cluster, sum(inv.w*cen.w) AS dot FROM inv JOIN cen USING (category) GROUP BY ALL),
+ian AS (SELECT request_id, cluster FROM (SELECT r.request_id, ccn.cluster, row_number() OVER (PARTITION BY r.request_id ORDER BY round(vv-2*coalesce(dot,0)+cc,9), ccn.cluster) AS k FROM (SELECT request_id, sum(w*w) AS vv FROM inv GROUP BY 1) r CROSS JOIN ccn LEFT JOIN idt ON idt.request_id=r.request_id AND idt.cluster=ccn.cluster) WHERE k=1),
+ars AS (SELECT request_id, location_id FROM ian JOIN asd USING (cluster))"""
+SEEDS = f"{ARCH}, nwr AS (SELECT request_id FROM req WHERE user_key IS NULL OR user_key NOT IN (SELECT user_key FROM ret)), sds AS (SELECT request_id, s.location_id, 'own' AS source FROM req JOIN ret USING (user_key) JOIN seen s USING (user_key) UNION ALL SELECT request_id, location_id, 'archetype' FROM ars SEMI JOIN nwr USING (request_id) UNION ALL SELECT request_id, location_id, 'popular' FROM fb SEMI JOIN nwr USING (request_id) WHERE request_id NOT IN (SELECT request_id FROM ars))"
 ITEM = jaccard_sql("SELECT DISTINCT user_key AS b, location_id AS i FROM seen", "ij")
 SESS = jaccard_sql("SELECT DISTINCT session_key AS b, location_id AS i FROM classed WHERE quality_weight>0 AND location_id IN (SELECT location_id FROM fx_locations)", "sj")
 
@@ -222,23 +234,47 @@ def site_events(spark, d):
     return enriched(spark, d)
 
 
+@step
+def fixed_seeds(spark, d):
+    """Seeds of archetypes with given labels (the user's number modulo 4), which SQL can follow."""
+    return users.archetype_seeds(fx.requests(spark, d), *fixed_archetypes(spark, d), interactions(spark, d), "total_interaction_score")
+
+
+@step
+def learned_seeds(spark, d):
+    """Seeds of the learned archetypes."""
+    return users.archetype_seeds(fx.requests(spark, d), *users.cluster(user_vectors(spark, d)), interactions(spark, d), "total_interaction_score")
+
+
+def request_seeds(spark, d, archetypes):
+    r, places = fx.requests(spark, d), universe(spark, d)
+    return rank.collect_seeds(r, seen_places(spark, d), returning(spark, d), archetypes, rank.fallback_seeds(r, places))
+
+
 @step
 def seeds_of_requests(spark, d):
-    return request_seeds(spark, d, universe(spark, d))
+    return request_seeds(spark, d, fixed_seeds(spark, d))
 
 
-def request_seeds(spark, d, places):
-    r = fx.requests(spark, d)
-    none = spark.createDataFrame([], "request_id string, location_id string")
-    return rank.collect_seeds(r, seen_places(spark, d), returning(spark, d), none, rank.fallback_seeds(r, places))
+@step
+def seeds_by_archetypes(spark, d):
+    return request_seeds(spark, d, learned_seeds(spark, d))
 
 
 @step
 def scored(spark, d):
-    """Every request with every place and its terms; sparse terms are joined on once."""
+    return scored_with(spark, d, seeds_of_requests(spark, d))
+
+
+@step
+def scored_by_archetypes(spark, d):
+    return scored_with(spark, d, seeds_by_archetypes(spark, d))
+
+
+def scored_with(spark, d, own):
+    """Every request with every place and its terms; sparse terms are joined on once. own: the requests' seeds."""
     places, r, e = universe(spark, d), fx.requests(spark, d), site_events(spark, d)
-    loc = fx.locations(spark, d)
-    own, ret = seeds_of_requests(spark, d), returning(spark, d)
+    loc, ret = fx.locations(spark, d), returning(spark, d)
     item = graphs.divide_by_max(graphs.edge_scores(own, graphs.jaccard_pairs(seen_places(spark, d), "user_key", "location_id"), loc)).withColumnRenamed("score", "item_collab")
     jac = graphs.jaccard_pairs(quality.modelling_events(e), "session_key", "location_id", loc)
     session = graphs.session_blend(graphs.edge_scores(own, jac, loc), graphs.edge_scores(own, graphs.transitions(fx.with_previous(e), loc), loc)).withColumnRenamed("score", "session")
@@ -254,7 +290,11 @@ def scored(spark, d):
 
 @step
 def masked(spark, d):
-    return rank.exclude_seen(scored(spark, d).where(rank.category_mask()), seen_places(spark, d), returning(spark, d))
+    return masked_of(spark, d, scored(spark, d))
+
+
+def masked_of(spark, d, rows):
+    return rank.exclude_seen(rows.where(rank.category_mask()), seen_places(spark, d), returning(spark, d))
 
 
 @query("r01_candidates", f"WITH {q.REQUESTS}, {q.LOCATIONS} SELECT request_id, location_id FROM req, fx_locations")
@@ -264,7 +304,7 @@ def r01(spark, d):
 
 @query("r02_seeds", f"{FULL} SELECT request_id, location_id, source FROM sds")
 def r02(spark, d):
-    return request_seeds(spark, d, universe(spark, d))
+    return seeds_of_requests(spark, d)
 
 
 SCORE_COLS = "request_id, location_id, round(sim,6) AS sim, round(popularity,6) AS popularity, round(item_collab,6) AS item_collab, round(user_collab,6) AS user_collab, round(trending,6) AS trending, round(session,6) AS session, round(final_score,6) AS final_score"
@@ -323,7 +363,7 @@ def r10(spark, d):
     """End to end: all terms, masks, MMR, unique names, evidence."""
     from ..functions import scalars as s
 
-    pool = rank.top_pool(masked(spark, d))
+    pool = written(rank.top_pool(masked_of(spark, d, scored_by_archetypes(spark, d))), "pool")
     picked = pool.join(rank.mmr(pool, vecs(spark, d)), ["request_id", "location_id"])
     inferred = vectors.inferred_interests(vectors.with_tag_signal(fx.requests(spark, d)))
     out = rank.unique_names(picked, "mmr_rank", F.col("top_k")).join(inferred, "request_id", "left")
