@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import written
+
 # Kinds of sources.
 SAFE = ("site", "official", "wikipedia", "wikimedia", "youtube")
 FALLBACK = ("yelp", "tripadvisor", "openverse")
@@ -66,24 +69,42 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_pairs(hashes: DataFrame, most: int = 6, bands: int = 7) -> DataFrame:
-    """M6: pairs (a, b, distance) of hashes(id, h) within `most` bits; by the pigeonhole principle they agree in one of most + 1 bands."""
-    width = -(-64 // bands)
-    assert bands > most
-    part = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col("h"), k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1)).alias("key")) for k in range(bands)])
-    own = hashes.select("id", "h", F.explode(part).alias("p")).select("id", "h", "p.band", "p.key")
+def near_pairs(hashes: DataFrame, most: int = 6, bands: int = 9, group: str | None = None) -> DataFrame:
+    """M6: pairs (a, b, distance) of hashes(id, h) within `most` bits, of one group if a group column is named.
+
+    Of `bands` parts of 64 bits at least bands - most are equal in such a pair, so it meets under every combination of so many parts that agree
+    (9 parts, 3 at a time: 84 keys of 21 bits, each far rarer than one part of 7). A pair is told under the first combination only.
+    """
+    take = bands - most
+    assert take >= 1
+    lows = [64 * k // bands for k in range(bands + 1)]
+    parts = lambda h: F.array(*[F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(lows, lows[1:], strict=False)])
+    every = F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(bands), take)])
+    own = hashes.select("id", "h", (F.col(group) if group else F.lit(0)).alias("g"), parts(F.col("h")).alias("p"), F.explode(every).alias("c"))
+    own = own.select("id", "h", "g", "c", F.xxhash64("g", "c", F.transform("c", lambda i: F.get("p", i))).alias("key"))
     a, b = own.alias("a"), own.alias("b")
-    hit = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    hit = a.join(b, (F.col("a.key") == F.col("b.key")) & F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.id") < F.col("b.id")))
     d = hamming(F.col("a.h"), F.col("b.h"))
-    return hit.where(d <= most).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance")).distinct()
+    agree = F.filter(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.get(parts(F.col("a.h")), i) == F.get(parts(F.col("b.h")), i))
+    return hit.where(d <= most).where(F.slice(agree, 1, take) == F.col("a.c")).where(F.col("a.c") == F.col("b.c")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance"))
 
 
 def keep_first_similar(items: DataFrame, most: int = 6) -> DataFrame:
-    """M6: of each group's items in order (group, pos, h) those within `most` bits of a kept one go; a fold over the group's array."""
-    rows = items.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("p"))
-    zero = F.array().cast("array<struct<pos:bigint,h:bigint>>")
-    kept = F.aggregate("p", zero, lambda a, x: F.when(F.exists(a, lambda y: hamming(y["h"], x["h"]) <= most), a).otherwise(F.concat(a, F.array(F.struct(x["pos"].cast("long").alias("pos"), x["h"].alias("h"))))))
-    return rows.select("group", F.explode(kept).alias("k")).select("group", "k.pos", "k.h")
+    """M6: of each group's items in order (group, pos, h) those within `most` bits of a kept one before them go.
+
+    A fixed point over the near pairs: in each round items without an undecided near one before them are kept and those near
+    to them go, until all are decided. Of equal hashes in a group only the first can stay, so they are folded first. No group is one task's.
+    """
+    first = written(items.groupBy("group", "h").agg(F.min("pos").alias("pos")).withColumn("id", F.struct("group", "pos")), "first_items")
+    edges = written(near_pairs(first, most, group="group").select("a", "b"), "near_edges")
+    gone = []
+    while not edges.isEmpty():
+        kept = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")), "id", "left_anti")
+        out = written(edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "near_dropped")
+        gone.append(out)
+        left = edges.join(kept.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti")
+        edges = written(left.select("a", "b"), "near_edges")
+    return reduce(lambda x, y: x.join(y, "id", "left_anti"), gone, first).select("group", "pos", "h")
 
 
 def primary_media(items: DataFrame) -> DataFrame:

@@ -77,7 +77,13 @@ def m06(spark, d):
     return m.near_pairs(copies(spark, d))
 
 
-@query("m06_keep_first")
+KEEPSQL = f"""WITH RECURSIVE {AHASH}, cp AS (SELECT vec_id AS id, h FROM hs UNION ALL SELECT vec_id+1000000, xor(h, (1::BIGINT << (vec_id%60)::INTEGER) | (vec_id%8)) FROM hs),
+it AS (SELECT id%50 AS grp, id, h, row_number() OVER (PARTITION BY id%50 ORDER BY id) AS n FROM cp),
+fold AS (SELECT DISTINCT grp, 0::BIGINT AS n, []::STRUCT(id BIGINT, h BIGINT)[] AS kept FROM it UNION ALL SELECT f.grp, f.n+1, CASE WHEN len(list_filter(f.kept, lambda y: bit_count(xor(y.h, it.h))<=6))>0 THEN f.kept ELSE list_append(f.kept, {{'id': it.id, 'h': it.h}}) END FROM fold f JOIN it ON it.grp=f.grp AND it.n=f.n+1)
+SELECT grp AS "group", k.id AS pos, k.h AS h FROM (SELECT grp, unnest(kept) AS k FROM (SELECT grp, max_by(kept, n) AS kept FROM fold GROUP BY grp))"""
+
+
+@query("m06_keep_first", KEEPSQL)
 def m06_keep(spark, d):
     return m.keep_first_similar(copies(spark, d).select((F.col("id") % 50).alias("group"), F.col("id").alias("pos"), "h"))
 

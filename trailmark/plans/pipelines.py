@@ -84,11 +84,11 @@ def event_stream(spark, d):
     return fx.events_of(spark.readStream.schema(raw.schema).parquet(f"{d}/events.parquet*"))
 
 
-@query("t01_hourly_clicks", f"WITH {q.EVENTS}, {q.LOCATIONS}, {CLK} SELECT epoch_us(date_trunc('hour',t)) AS hour, location_id, count(*) AS clicks FROM (SELECT DISTINCT date_trunc('second',t) AS t, location_id, rank FROM clk WHERE t IS NOT NULL) GROUP BY 1,2")
+@query("t01_hourly_clicks", f"WITH {q.EVENTS}, {q.LOCATIONS}, {CLK} SELECT epoch_us(date_trunc('hour',t)) AS hour, location_id, count(*) AS clicks FROM (SELECT DISTINCT date_trunc('second',t) AS t, location_id, rank FROM clk WHERE t IS NOT NULL) GROUP BY 1,2 HAVING date_trunc('hour',any_value(t))+INTERVAL 1 HOUR<=(SELECT max(date_trunc('second',t)) FROM clk)-INTERVAL 1 HOUR")
 def t01(spark, d):
-    """Each micro-batch's state lasts past the end of input, so the complete result is read from foreachBatch's last version."""
-    s = streams.hourly_clicks(streams.click_stream(spark, click_log(spark, d), fx.locations(spark, d)), "3650 days")
-    return last_version(spark, s).select(micros("hour").alias("hour"), "location_id", "clicks")
+    """The hours that the watermark has closed by the end of the input; those still open stay in the stream's state."""
+    s = streams.hourly_clicks(streams.click_stream(spark, click_log(spark, d), fx.locations(spark, d)))
+    return streams.run_to_table(s, working_folder(spark, "hours"), working_folder(spark, "state")).select(micros("hour").alias("hour"), "location_id", "clicks")
 
 
 def last_version(spark, stream):
@@ -112,9 +112,10 @@ def t02(spark, d):
 SESSION = "gs AS (SELECT user_key, event_time, CASE WHEN lag(event_time) OVER w IS NULL OR event_time>=lag(event_time) OVER w+INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM fx_events WINDOW w AS (PARTITION BY user_key ORDER BY event_time)), gn AS (SELECT user_key, event_time, sum(fresh) OVER (PARTITION BY user_key ORDER BY event_time) AS n FROM gs)"
 
 
-@query("t03_gap_sessions", f"WITH {q.EVENTS}, {SESSION} SELECT user_key, epoch_us(min(event_time)) AS t0, epoch_us(max(event_time)+INTERVAL 30 MINUTE) AS t1, count(*) AS events FROM gn GROUP BY user_key, n")
+@query("t03_gap_sessions", f"WITH {q.EVENTS}, {SESSION} SELECT user_key, epoch_us(min(event_time)) AS t0, epoch_us(max(event_time)+INTERVAL 30 MINUTE) AS t1, count(*) AS events FROM gn GROUP BY user_key, n HAVING max(event_time)+INTERVAL 30 MINUTE<=(SELECT max(event_time) FROM fx_events)-INTERVAL 1 HOUR")
 def t03(spark, d):
-    s = last_version(spark, streams.gap_sessions(event_stream(spark, d), late="3650 days"))
+    """The sessions that the watermark has closed by the end of the input."""
+    s = streams.run_to_table(streams.gap_sessions(event_stream(spark, d)), working_folder(spark, "sessions"), working_folder(spark, "state"))
     return s.select("user_key", micros("start").alias("t0"), micros("end").alias("t1"), "events")
 
 

@@ -17,7 +17,11 @@ def click_stream(spark: SparkSession, path: str, places: DataFrame) -> DataFrame
 
 
 def hourly_clicks(clicks: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Clicks by place and hour, repeats dropped within the watermark."""
+    """Clicks by place and hour, repeats dropped within the watermark.
+
+    In append mode an hour is told once, when the watermark (the latest time less `late`) has passed its end; its state goes then, and a click that comes after
+    is refused.
+    """
     timed = clicks.withColumn("t", F.try_to_timestamp("ts")).where("t is not null").withWatermark("t", late)
     once = timed.dropDuplicatesWithinWatermark(["ts", "location_id", "surface", "rank"]) if timed.isStreaming else timed.dropDuplicates(["ts", "location_id", "surface", "rank"])
     return once.groupBy(F.window("t", "1 hour").alias("w"), "location_id").agg(F.count("*").alias("clicks")).select(F.col("w.start").alias("hour"), "location_id", "clicks")
@@ -29,7 +33,7 @@ def qualified_stream(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 
 def gap_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of each user by gaps; rows later than the watermark are dropped."""
+    """Sessions of each user by gaps, told in append mode once the watermark has passed their end; later rows are refused and closed sessions leave the state."""
     return events.withWatermark("event_time", late).groupBy(F.session_window("event_time", gap).alias("w"), "user_key").agg(F.count("*").alias("events")).select("user_key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
@@ -39,7 +43,10 @@ def running_priors(events: DataFrame) -> DataFrame:
 
 
 def window_trending(events: DataFrame, width: str = "7 days", late: str = "1 day") -> DataFrame:
-    """T5: weight of each place in fixed event-time windows; the median cut of B7 stays a batch job."""
+    """T5: weight of each place in fixed event-time windows; the median cut of B7 stays a batch job.
+
+    In update mode a window is told whenever it changes (newest() keeps the last word) and leaves the state once the watermark has passed its end.
+    """
     return events.withWatermark("event_time", late).groupBy(F.window("event_time", width).alias("w"), "location_id").agg(F.count("*").alias("events"), F.sum("quality_weight").alias("weight")).select(F.col("w.start").alias("start"), "location_id", "events", "weight")
 
 
@@ -52,6 +59,22 @@ def rebuild_on_batches(stream: DataFrame, build: Callable[[DataFrame], DataFrame
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run an update-mode stream over all there is; each micro-batch's changed rows are one version under path. The same checkpoint goes on where a run has ended."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={epoch:06d}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last version of each key among the updates under path."""
+    every = spark.read.parquet(path)
+    rest = [c for c in every.columns if c not in (*keys, "version")]
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_r")).select(*keys, "_r.*")
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all there is into a table in memory (tests and small reports)."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
