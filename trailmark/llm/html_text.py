@@ -25,7 +25,8 @@ SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template iframe xmp noembed noframes svg select button".split())
+RAW = frozenset("script style title textarea template iframe noembed noframes svg select button".split())
+LITERAL = frozenset("xmp listing plaintext".split())  # their content is text, tags and references included
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ())}
@@ -97,6 +98,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     inline = 0
                     break
             continue
+        if tag in LITERAL and not closing:
+            end = None if tag == "plaintext" else re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            say(" " + html[at : end.start() if end else n].replace("&", "&amp;") + " ")
+            at = end.end() if end else n
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = end.end() if end else n
@@ -234,8 +240,8 @@ class Boosted:
         return z
 
 
-def decode(nodes: list[Node], odds: np.ndarray, opening: float = 0.5) -> np.ndarray:
-    """Whether each node is inside: the most likely labelling of outside, inside and cut without contradictions."""
+def decode(nodes: list[Node], odds: np.ndarray, opening: float = 0.5, page: bool = False) -> np.ndarray:
+    """Whether each node is inside: the most likely labelling of outside, inside and cut without contradictions. page: the page itself may be the article."""
     n = len(nodes)
     z = np.clip(odds, -8, 8)
     yes, no = -np.logaddexp(0, -z), -np.logaddexp(0, z)
@@ -253,13 +259,34 @@ def decode(nodes: list[Node], odds: np.ndarray, opening: float = 0.5) -> np.ndar
     for k in range(n):
         above = state[nodes[k].parent] if k else 0
         if above == 0:
-            state[k] = 1 if k and into[k] - opening > out[k] else 0
+            state[k] = 1 if (k or page) and into[k] - opening > out[k] else 0
         else:
             state[k] = 1 if above == 1 and into[k] >= cut[k] else 2
         inside[k] = state[k] == 1
     return inside
 
 
+def unmarked(nodes: list[Node], x: np.ndarray) -> np.ndarray:
+    """Whether a node is neither a part around an article (by tag or attribute tokens), nor hidden, nor within such a one."""
+    base, wide = 11 + len(TAG_KINDS), 1 + len(AROUND_TOKENS)
+    around = x[:, base + 1 : base + wide].any(axis=1) | x[:, [11 + KIND_OF[t] for t in ("nav", "header", "footer", "aside", "form")]].any(axis=1)
+    out = np.ones(len(nodes), bool)
+    for k, a in enumerate(nodes):
+        out[k] = not (around[k] or a.hidden) and (k == 0 or out[a.parent])
+    return out
+
+
+def chosen(nodes: list[Node], x: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """decode(), and where that leaves no text though the page has some outside marked parts, those nodes: a bare page is its own article."""
+    inside = decode(nodes, odds)
+    own = np.array([a.own[0] for a in nodes])
+    if not own[inside].any():
+        free = unmarked(nodes, x)
+        if own[free].any():
+            return decode(nodes, np.where(free, 4.0, -4.0), page=True)
+    return inside
+
+
 def gather(nodes: list[Node], pieces: list[tuple[int, str]], inside: np.ndarray) -> str:
     """Text of inside nodes: references decoded, white space made one space, blocks parted by one space."""
     parts, last = [], -1
@@ -367,8 +394,8 @@ def extract_texts(model: Boosted, htmls: list[str]) -> list[str]:
     x = [features(*p) for p in parsed]
     odds = model.decide(np.concatenate(x)) if x else np.zeros(0)
     out, at = [], 0
-    for nodes, pieces in parsed:
-        out.append(gather(nodes, pieces, decode(nodes, odds[at : at + len(nodes)])))
+    for (nodes, pieces), own in zip(parsed, x, strict=True):
+        out.append(gather(nodes, pieces, chosen(nodes, own, odds[at : at + len(nodes)])))
         at += len(nodes)
     return out
 
