@@ -164,6 +164,43 @@ def g13(spark, d):
     return geo.day_core(stops(spark, d)).select("request_id", "pos")
 
 
+PART_SLOTS = SLOTS.replace("p_partkey", "CAST(split_part(location_id,'-',2) AS BIGINT)")
+TIER = "CASE WHEN km<=4 THEN 0 WHEN km IS NOT NULL THEN 1 ELSE 2 END"
+FILL = f"""sl AS (SELECT *, {PART_SLOTS} AS slots FROM bd), a0 AS (SELECT request_id, location_id, slots[1] AS slot, lat, lon FROM sl WHERE pos=1),
+e1 AS (SELECT b.*, list_filter(b.slots, lambda x: x<>a.slot)[1] AS slot, round({KM.format(a='a', b='b')},9) AS km FROM sl b JOIN a0 a USING (request_id) WHERE b.pos>1),
+a1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {TIER}, CASE WHEN km>4 THEN km ELSE 0 END, pos) AS r FROM e1 WHERE slot IS NOT NULL) WHERE r=1),
+m1 AS (SELECT request_id, p.location_id AS taken, a.slot AS s0, p.slot AS s1, CASE WHEN a.lat IS NOT NULL AND a.lon IS NOT NULL THEN a.lat ELSE p.lat END AS lat, CASE WHEN a.lat IS NOT NULL AND a.lon IS NOT NULL THEN a.lon ELSE p.lon END AS lon FROM a0 a JOIN a1 p USING (request_id)),
+e2 AS (SELECT b.*, list_filter(b.slots, lambda x: x<>a.s0 AND x<>a.s1)[1] AS slot, round({KM.format(a='a', b='b')},9) AS km FROM sl b JOIN m1 a USING (request_id) WHERE b.pos>1 AND b.location_id<>a.taken),
+a2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {TIER}, CASE WHEN km>4 THEN km ELSE 0 END, pos) AS r FROM e2 WHERE slot IS NOT NULL) WHERE r=1)"""
+
+
+def slotted(spark, d):
+    """The basket stops with the slots that suit their part."""
+    k = F.split_part("location_id", F.lit("-"), F.lit(2)).cast("long")
+    return stops(spark, d).withColumn("p_partkey", k).withColumn("slots", geo.suitable_slots(kinds())).withColumn("location_name", F.col("location_id"))
+
+
+@query("g14_backfill", f"WITH {ONE}, {FILL} SELECT request_id, 1 AS pos, location_id, slot, 'plan' AS source FROM a0 UNION ALL SELECT request_id, 2, location_id, slot, 'backfill' FROM a1 UNION ALL SELECT request_id, 3, location_id, slot, 'backfill' FROM a2")
+def g14(spark, d):
+    """Each basket's first line is a day of one stop, its other lines are the pool."""
+    s = slotted(spark, d)
+    thin = s.where("pos = 1").withColumn("slot", F.element_at("slots", 1))
+    return it.backfill(thin, s.where("pos > 1").withColumn("rank", F.col("pos"))).drop("day")
+
+
+ROUTE = f"""st AS (SELECT *, ['morning','afternoon','lunch','morning','afternoon','evening','morning'][(pos-1)%7+1] AS slot FROM bd),
+sq AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY list_position(['breakfast','morning','lunch','afternoon','dinner','evening','drinks'], slot), pos) AS i, slot IN ('morning','afternoon') AS own, lat IS NOT NULL AND lon IS NOT NULL AS ok FROM st),
+pl AS (SELECT *, count(*) FILTER (own AND ok) OVER (PARTITION BY request_id) AS n, row_number() OVER (PARTITION BY request_id, own ORDER BY i) AS w, row_number() OVER (PARTITION BY request_id, own, ok ORDER BY i) AS v FROM sq),
+walk AS (SELECT request_id, i, lat, lon, [i] AS seen, 1 AS k FROM pl WHERE own AND ok AND v=1 AND n>=2 UNION ALL SELECT * FROM (SELECT a.request_id, b.i, b.lat, b.lon, list_append(a.seen, b.i) AS seen, a.k+1 AS k FROM walk a JOIN pl b ON b.request_id=a.request_id AND b.own AND b.ok AND NOT list_contains(a.seen, b.i) QUALIFY row_number() OVER (PARTITION BY a.request_id ORDER BY round({KM.format(a='a', b='b')},9), b.i)=1)),
+sn AS (SELECT pl.*, CASE WHEN n<2 THEN w WHEN ok THEN walk.k ELSE n+v END AS nth FROM pl LEFT JOIN walk ON own AND walk.request_id=pl.request_id AND walk.i=pl.i)"""
+
+
+@query("g15_route_order", f"WITH RECURSIVE {ONE}, {ROUTE} SELECT a.request_id, CAST(b.i AS INTEGER) AS pos, a.location_id, a.slot FROM sn a JOIN sn b ON a.own AND b.own AND b.request_id=a.request_id AND b.w=a.nth UNION ALL SELECT request_id, CAST(i AS INTEGER), location_id, slot FROM sn WHERE NOT own")
+def g15(spark, d):
+    slot = F.element_at(F.array(*map(F.lit, ("morning", "afternoon", "lunch", "morning", "afternoon", "evening", "morning"))), ((F.col("pos") - 1) % 7 + 1).cast("int"))
+    return it.route_order(stops(spark, d).withColumn("slot", slot)).drop("day")
+
+
 @query("g16_legs", f"WITH {ONE}, nx AS (SELECT *, lead(location_id) OVER w AS to_id, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM bd WINDOW w AS (PARTITION BY request_id ORDER BY pos)), kk AS (SELECT a.request_id, a.pos, a.location_id AS from_id, a.to_id, {KM.format(a='a', b='b')} AS km FROM nx a, LATERAL (SELECT a.lat2 AS lat, a.lon2 AS lon) b WHERE a.to_id IS NOT NULL) SELECT request_id, pos, from_id, to_id, round(km,2) AS km, {MODE} AS mode, CASE WHEN km IS NULL THEN 1 ELSE {MINUTES} END AS minutes FROM kk")
 def g16(spark, d):
     return geo.legs(stops(spark, d)).drop("day")

@@ -164,6 +164,89 @@ def assemble(proposed: DataFrame, pool: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("request_id").applyInPandas(plan, "request_id string, day int, pos int, location_id string, location_name string, slot string, source string, lat double, lon double")
 
 
+STOP = "array<struct<pos:int,location_id:string,nkey:string,slot:string,lat:double,lon:double,source:string>>"
+
+
+def _stop(x, slot, pos, source: str):
+    return F.struct(pos.cast("int").alias("pos"), x["location_id"].alias("location_id"), x["nkey"].alias("nkey"), slot.alias("slot"), x["lat"].alias("lat"), x["lon"].alias("lon"), F.lit(source).alias("source"))
+
+
+def _centre(stops):
+    """The first located stop with the least sum of distances to the day's located ones, or null."""
+    own = F.filter(stops, lambda x: x["lat"].isNotNull() & x["lon"].isNotNull())
+    far = lambda x: F.round(F.aggregate(own, F.lit(0.0), lambda a, y: a + geo.haversine(x["lat"], x["lon"], y["lat"], y["lon"])), 9)
+    return F.array_min(F.transform(own, lambda x, i: F.struct(far(x).alias("s"), i.alias("i"), x["lat"].alias("lat"), x["lon"].alias("lon"))))
+
+
+def backfill(days: DataFrame, pool: DataFrame, target: int = MIN_STOPS) -> DataFrame:
+    """Thin days filled up to `target` stops from the request's pool, day after day; (request_id, day, pos, location_id, slot, source).
+
+    days: (request_id, day, pos, location_id, location_name, slot, lat, lon), pool: (request_id, rank, location_id, location_name, slots, lat, lon), both bounded for a
+    request. A pick is new to the plan by id and name and has a suitable slot that the day has not used. Of these the first by one
+    key is taken: within NEAR_KM of the day's medoid by rank, then the nearest, then those without a distance by rank; the medoid moves with each pick.
+    A fold over the request's days that stays in the JVM. A day that nothing fits stays short; a request without a pool keeps its days.
+    """
+    key = canonical_name(F.col("location_name"))
+    own = days.groupBy("request_id", "day").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "location_id", key.alias("nkey"), "slot", "lat", "lon", F.lit("plan").alias("source")))).cast(STOP).alias("stops"))
+    own = own.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("day", "stops"))).alias("days"))
+    picks = pool.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "location_id", key.alias("nkey"), "slots", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))).alias("picks"))
+    rows = own.join(picks, "request_id", "left")
+    names = lambda stops: F.filter(F.concat(F.transform(stops, lambda x: x["location_id"]), F.transform(stops, lambda x: x["nkey"])), lambda x: x != "")
+
+    def pick(stops, used):
+        centre = _centre(stops)
+        slots = F.transform(stops, lambda x: x["slot"])
+        open_slot = lambda x: F.try_element_at(F.array_except(x["slots"], slots), F.lit(1))
+        fresh = F.filter(F.col("picks"), lambda x: ~F.array_contains(used, x["location_id"]) & ~F.array_contains(used, x["nkey"]) & open_slot(x).isNotNull())
+        km = lambda x: F.round(geo.haversine(centre["lat"], centre["lon"], x["lat"], x["lon"]), 9)
+        tier = lambda x: F.when(km(x) <= NEAR_KM, 0).when(km(x).isNotNull(), 1).otherwise(2)
+        order = lambda x: F.when(tier(x) == 1, km(x)).otherwise(0.0)
+        return F.array_min(F.transform(fresh, lambda x: F.struct(tier(x).alias("tier"), order(x).alias("km"), x["rank"].alias("rank"), _stop(x, open_slot(x), F.size(stops) + 1, "backfill").alias("stop"))))
+
+    def fill(acc, _):
+        x = pick(acc["stops"], acc["used"])
+        more = F.array(x["stop"]).cast(STOP)
+        return F.when((F.size(acc["stops"]) >= target) | x.isNull(), acc).otherwise(F.struct(F.concat(acc["stops"], more).alias("stops"), F.concat(acc["used"], names(more)).alias("used")))
+
+    def day_after_day(acc, day):
+        start = F.struct(day["stops"].alias("stops"), acc["used"].alias("used"))
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(target)), start, fill)
+        return F.struct(F.concat(acc["days"], F.array(F.struct(day["day"].alias("day"), done["stops"].alias("stops")))).alias("days"), done["used"].alias("used"))
+
+    given = names(F.flatten(F.transform("days", lambda d: d["stops"])))
+    zero = F.struct(F.array().cast(f"array<struct<day:int,stops:{STOP}>>").alias("days"), given.alias("used"))
+    out = rows.withColumn("picks", F.coalesce("picks", F.array().cast(picks.schema["picks"].dataType)))
+    out = out.select("request_id", F.explode(F.aggregate("days", zero, day_after_day)["days"]).alias("d")).select("request_id", "d.day", F.explode("d.stops").alias("x"))
+    return out.select("request_id", "day", "x.pos", "x.location_id", "x.slot", "x.source")
+
+
+def route_order(stops: DataFrame) -> DataFrame:
+    """stops(request_id, day, pos, location_id, slot, lat, lon) in the day's order of slots, morning and afternoon ones from the first on to the nearest next; pos anew from 1.
+
+    Stops of other slots keep their places; unlocated ones come after the located; ties by the order before. One fold over a day's few stops, in the JVM.
+    """
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, geo.DAY)), F.col("slot")), F.lit(0)), F.lit(99)).cast("int")
+    one = F.struct(place.alias("s"), F.col("pos").cast("int").alias("pos"), "location_id", "slot", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    rows = stops.groupBy("request_id", "day").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    kind = "array<struct<s:int,pos:int,location_id:string,slot:string,lat:double,lon:double>>"
+    visit = lambda x: x["slot"].isin("morning", "afternoon")
+    located = lambda x: x["lat"].isNotNull() & x["lon"].isNotNull()
+    rows = rows.withColumn("own", F.filter("p", visit).cast(kind)).withColumn("some", F.filter("own", located))
+
+    def nearest_next(acc, _):
+        last = F.element_at(acc["order"], -1)
+        best = F.array_min(F.transform(acc["left"], lambda x, i: F.struct(F.round(geo.haversine(last["lat"], last["lon"], x["lat"], x["lon"]), 9).alias("d"), i.alias("i"), x.alias("x"))))
+        return F.struct(F.concat(acc["order"], F.array(best["x"]).cast(kind)).alias("order"), F.filter(acc["left"], lambda x, i: i != best["i"]).alias("left"))
+
+    n = F.size("some")
+    steps = F.when(n >= 2, F.sequence(F.lit(2), F.greatest(n, F.lit(2)))).otherwise(F.array().cast("array<int>"))
+    walked = F.aggregate(steps, F.struct(F.slice("some", 1, 1).alias("order"), F.slice("some", F.lit(2), F.greatest(n, F.lit(1))).alias("left")), nearest_next)["order"]
+    rows = rows.withColumn("walk", F.when(n >= 2, F.concat(walked, F.filter("own", lambda x: ~located(x)))).otherwise(F.col("own")))
+    ordered = F.transform("p", lambda x, i: F.when(visit(x), F.get("walk", F.size(F.filter(F.slice("p", F.lit(1), i), visit)))).otherwise(x))
+    out = rows.select("request_id", "day", F.posexplode(ordered).alias("i", "x"))
+    return out.select("request_id", "day", (F.col("i") + 1).alias("pos"), "x.location_id", "x.slot")
+
+
 def stop_links(stops: DataFrame, pages: DataFrame, sites: DataFrame) -> DataFrame:
     """Link of each stop: its page, else its official site, else none."""
     j = stops.join(pages.select("location_id", "page_url"), "location_id", "left").join(sites.select("location_id", "official_site"), "location_id", "left")
