@@ -40,12 +40,13 @@ def g03(spark, d):
 
 
 def attached(spark, d):
-    places = fx.locations(spark, d).withColumn("location_name", F.concat(F.lit(" "), F.upper("location_name"), F.lit(" "), "location_id"))
-    index = fx.locations(spark, d).where("lat is not null").select(F.concat("location_name", F.lit(" "), F.lower("location_id")).alias("location_name"), "lat", "lon")
+    """Places by name; many bear the same one."""
+    places = fx.locations(spark, d).withColumn("location_name", F.concat(F.lit(" "), F.upper("location_name"), F.lit(" ")))
+    index = fx.locations(spark, d).where("lat is not null").select("location_id", F.lower("location_name").alias("location_name"), "lat", "lon")
     return geo.attach_geo(places, index, (41.88, -87.63))
 
 
-ATT = "att AS (SELECT location_id, coalesce(lat,41.88) AS lat, coalesce(lon,-87.63) AS lon, CASE WHEN lat IS NULL THEN 'fallback' ELSE 'index' END AS geo_source FROM fx_locations)"
+ATT = "gix AS (SELECT lower(location_name) AS k, min_by(lat, location_id) AS lat, min_by(lon, location_id) AS lon FROM fx_locations WHERE lat IS NOT NULL GROUP BY 1), att AS (SELECT location_id, coalesce(g.lat,41.88) AS lat, coalesce(g.lon,-87.63) AS lon, CASE WHEN g.lat IS NULL THEN 'fallback' ELSE 'index' END AS geo_source FROM fx_locations l LEFT JOIN gix g ON g.k=lower(l.location_name))"
 
 
 @query("g04_attach_geo", f"WITH {q.LOCATIONS}, {ATT} SELECT location_id, round(lat,6) AS lat, round(lon,6) AS lon, geo_source FROM att")

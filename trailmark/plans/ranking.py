@@ -78,7 +78,10 @@ def v08(spark, d):
     return vectors.parse_intent(fx.table(spark, d, "documents"), NAMES, "doc_id").withColumn("interests", F.array_join("interests", "|"))
 
 
-@query("v09_merge_delta", f"WITH {q.REQUESTS}, dl AS (SELECT request_id, ['SMALL','PROMO'] AS add, ['ECONOMY'] AS rem, ['Brand#2'] AS avoid, CASE WHEN user_key IS NULL THEN 'chill' END AS nv FROM req WHERE trip_days%2=0) SELECT request_id, array_to_string(list_filter(CASE WHEN add IS NULL THEN interests WHEN len(interests)=0 THEN ['SMALL','PROMO'] WHEN interests[1]='ECONOMY' THEN ['PROMO','SMALL'] ELSE ['STANDARD','SMALL','PROMO'] END, lambda x: true),'|') AS interests, array_to_string(CASE WHEN avoid IS NULL THEN avoid_categories WHEN len(avoid_categories)>0 THEN ['Brand#11','Brand#2'] ELSE ['Brand#2'] END,'|') AS avoid_categories, coalesce(nv,vibe) AS vibe FROM req LEFT JOIN dl USING (request_id)")
+ONCE = "list_filter(list_filter({l}, lambda x, i: list_position({l}, x)=i), lambda x: NOT list_contains({out}, x))"  # distinct in order, without some
+
+
+@query("v09_merge_delta", f"WITH {q.REQUESTS}, dl AS (SELECT request_id, ['SMALL','PROMO'] AS add, ['ECONOMY'] AS rem, ['Brand#2'] AS avoid, CASE WHEN user_key IS NULL THEN 'chill' END AS nv FROM req WHERE trip_days%2=0), j AS (SELECT request_id, interests || coalesce(add, []) AS l, coalesce(rem, []) AS rem, avoid_categories || coalesce(avoid, []) AS a, coalesce(nv, vibe) AS vibe FROM req LEFT JOIN dl USING (request_id)) SELECT request_id, array_to_string({ONCE.format(l='l', out='rem')},'|') AS interests, array_to_string({ONCE.format(l='a', out='[]::VARCHAR[]')},'|') AS avoid_categories, vibe FROM j")
 def v09(spark, d):
     r = fx.requests(spark, d)
     arr = lambda *x: F.array(*map(F.lit, x))
@@ -339,7 +342,13 @@ def r07(spark, d):
     return rank.top_pool(masked(spark, d)).select("request_id", "location_id", F.col("pool_rank").cast("long").alias("pool_rank"))
 
 
-@query("r08_mmr")
+DOT = "coalesce(list_sum(list_transform(vs, lambda x: coalesce(list_sum(list_transform(list_filter(pv, lambda y: y.token=x.token), lambda y: x.w*y.w)), 0))), 0)"
+MMR = f"""{POOLED}, vl AS (SELECT location_id, list({{'token': token, 'w': w}}) AS vs FROM vec GROUP BY 1),
+mp AS (SELECT request_id, pl.location_id, round(final_score,6) AS s, least(nm,greatest(4*top_k,top_k+20)) AS target, vs FROM pl JOIN vl ON vl.location_id=pl.location_id WHERE pool_rank<=greatest(60,2*least(nm,greatest(4*top_k,top_k+20)))),
+walk AS (SELECT request_id, location_id, s, target, vs, 0::DOUBLE AS near, NULL::BIGINT AS mmr_rank, 0::BIGINT AS n FROM mp UNION ALL SELECT request_id, location_id, s, target, vs, greatest(near, {DOT}) AS near, CASE WHEN location_id=p THEN n+1 ELSE mmr_rank END AS mmr_rank, n+1 AS n FROM (SELECT *, first_value(location_id) OVER w AS p, first_value(vs) OVER w AS pv FROM walk WHERE n<target WINDOW w AS (PARTITION BY request_id ORDER BY mmr_rank IS NOT NULL, round(0.7*s-0.3*near,9) DESC, s DESC, location_id)))"""
+
+
+@query("r08_mmr", f"{FULL.replace('WITH ', 'WITH RECURSIVE ', 1)}, {MMR} SELECT request_id, location_id, max(mmr_rank) AS mmr_rank FROM walk WHERE mmr_rank IS NOT NULL GROUP BY 1,2")
 def r08(spark, d):
     return rank.mmr(rank.top_pool(masked(spark, d)), vecs(spark, d))
 

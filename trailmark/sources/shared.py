@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def working_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under an own folder only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new path under spark.checkpoint.dir; under an own folder only where that is unset and Spark runs within one process (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/trailmark-{name}-{uuid.uuid4().hex}"
 
 
