@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .packed import LONG, blocks, same_spans, span_hashes, utf8
 from .language_model import numbers, packed_numbers
 from .shared import written
-from .tokens import ChunkCache, encoder
+from .tokens import ChunkCache, encoder, release
 
 PARTS = 128  # of the pair counts, by B id; fixed, so rows grow with the number of blocks only
 LANE = 512  # A tokens in a lane, about
@@ -71,7 +71,7 @@ class PieceEncoder:
     encoded once, found by a hash and told apart by its bytes. The model's own leading space is the chunk's first one.
     """
 
-    def __init__(self, path: str, cache_chunks: int = 2_000_000):
+    def __init__(self, path: str, cache_chunks: int = 1_000_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -253,11 +253,11 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return distinct, total
 
 
-def stored_alignments(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 16 << 20) -> DataFrame:
+def stored_alignments(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 6 << 20) -> DataFrame:
     """Align docs(doc_id, text) and store, for each block of about block_bytes, its documents with their links (part -1) and its distinct pairs by part."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc_a, words_a, enc_b = encoder(path_a, True, 2_000_000, True), vocabulary_a(path_a), piece_encoder(path_b)
+        enc_a, words_a, enc_b = encoder(path_a, True, 1_000_000, True), vocabulary_a(path_a), piece_encoder(path_b)
         task, block, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -307,6 +307,8 @@ def piece_encoder(path: str) -> PieceEncoder:
 
 def runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], function) -> Iterator[pa.RecordBatch]:
     """Apply function to a list of rows (dicts) for each run of equal values in the columns."""
+    release()
+    _PIECES.clear()
     now, held = None, []
     for b in batches:
         for row in b.to_pylist():
@@ -372,7 +374,7 @@ def counts_for_blocks(stored: DataFrame, totals: DataFrame, blocks_at_once: int
     return rows.mapInArrow(answer, "block long, part int, keys binary, worth binary")
 
 
-def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 16 << 20) -> DataFrame:
+def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 6 << 20) -> DataFrame:
     """Alignment of the tokens of byte-level path_a and sentencepiece path_b in each whole text of docs(doc_id, text).
 
     doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair's count over the corpus is its B id's highest, ties
@@ -394,6 +396,7 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, block_bytes: int
             order = np.argsort(keys)
             ranked = worth[order][np.searchsorted(keys[order], numbers(own["keys"], np.uint32))]
             links = ranked[numbers(own["counts"], np.uint32)]
+            del keys, worth, order
             t = pa.ipc.open_stream(own["docs"]).read_all()
             at = np.append(0, np.cumsum(np.asarray(t.column("n_links"))))
             best, total = np.append(0, np.cumsum(links & 1))[at], np.append(0, np.cumsum(links >> 1))[at]
