@@ -32,7 +32,7 @@ BREAKS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 BLOCK = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
-def number_words(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+def number_words(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     """(block, lang, codes, words, counts) of docs(lang, text): a block's words by their place in its list of distinct words; -1 between pieces."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
