@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from .packed import LONG, blocks, same_spans, span_hashes, utf8
 from .language_model import numbers, packed_numbers
 from .shared import written
-from .tokens import ChunkCache, encoder, release
+from .tokens import ChunkCache, encoder
 
 PARTS = 128  # of the pair counts, by B id; fixed, so rows grow with the number of blocks only
+CACHE = 400_000  # chunks kept for each tokenizer in a worker
 LANE = 512  # A tokens in a lane, about
 JOINED = 1000  # chunks encoded in one string
 DOC = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string())]
@@ -71,7 +72,7 @@ class PieceEncoder:
     encoded once, found by a hash and told apart by its bytes. The model's own leading space is the chunk's first one.
     """
 
-    def __init__(self, path: str, cache_chunks: int = 1_000_000):
+    def __init__(self, path: str, cache_chunks: int = CACHE):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -257,7 +258,7 @@ def stored_alignments(docs: DataFrame, path_a: str, path_b: str, block_bytes: in
     """Align docs(doc_id, text) and store, for each block of about block_bytes, its documents with their links (part -1) and its distinct pairs by part."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc_a, words_a, enc_b = encoder(path_a, True, 1_000_000, True), vocabulary_a(path_a), piece_encoder(path_b)
+        enc_a, words_a, enc_b = encoder(path_a, True, CACHE, True), vocabulary_a(path_a), piece_encoder(path_b)
         task, block, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -283,7 +284,7 @@ def stored_alignments(docs: DataFrame, path_a: str, path_b: str, block_bytes: in
 
         for b in batches:
             buf, off = utf8(b.column(1))
-            for i, j in blocks(off, 2 << 20):
+            for i, j in blocks(off):
                 held.append((b.column(0).slice(i, j - i), aligned(enc_a, words_a, enc_b, buf, off[i : j + 1])))
                 size += int(off[j] - off[i])
                 if size >= block_bytes:
@@ -307,8 +308,6 @@ def piece_encoder(path: str) -> PieceEncoder:
 
 def runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], function) -> Iterator[pa.RecordBatch]:
     """Apply function to a list of rows (dicts) for each run of equal values in the columns."""
-    release()
-    _PIECES.clear()
     now, held = None, []
     for b in batches:
         for row in b.to_pylist():

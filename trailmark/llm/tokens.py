@@ -245,7 +245,3 @@ def encoder(path: str, keep_space: bool, cache_chunks: int = CACHE_CHUNKS, plain
         _ENCODERS[key] = ChunkEncoder(path, keep_space, cache_chunks, plain_specials)
     return _ENCODERS[key]
 
-
-def release() -> None:
-    """Drop this worker's encoders with their caches; a stage that encodes nothing needs no such memory."""
-    _ENCODERS.clear()
