@@ -244,4 +244,3 @@ def encoder(path: str, keep_space: bool, cache_chunks: int = CACHE_CHUNKS, plain
         gc.set_threshold(50_000, 20, 100)
         _ENCODERS[key] = ChunkEncoder(path, keep_space, cache_chunks, plain_specials)
     return _ENCODERS[key]
-
