@@ -156,3 +156,48 @@ def test_updates_keep_the_last_word(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(src)
         streams.run_updates(streams.window_trending(spark.readStream.schema(df.schema).parquet(src)), out, state)
     assert rows(streams.newest(spark, out, ["start", "location_id"]), "events", "weight") == [(1, 4.0), (2, 3.0)]  # the last row came a month late
+
+
+def test_title_match_meets_all_pairs_that_match(spark):
+    r = random.Random(7)
+    words = ["park", "the", "inn", "art", "museum", "of", "old", "town", "xa", "b", "grand", "hotel", "pier"]
+    text = lambda most: r.choice([" ", "-", ", "]).join(r.choice(words) for _ in range(r.randint(1, most)))
+    names = [(k, text(5)) for k in range(150)] + [(900, "a-b"), (901, "b"), (902, ""), (903, None), (904, "the of"), (905, "Town Inn")]
+    titles = [(k, text(8)) for k in range(200)] + [(900, "xa-b"), (901, "Oldtown innkeeper town"), (902, None), (903, "park"), (904, "town inn")]
+    toks = lambda s: {w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in s.lower()).split()} - set(media.STOP_WORDS)
+    want = []
+    for i, n in names:
+        for j, t in titles:
+            if not n or not t:
+                continue
+            size, hits = len(toks(n)), len(toks(n) & toks(t))
+            need = size if size <= 2 else max(2, (3 * size + 4) // 5)
+            if hits and (n.lower() in t.lower() or t.lower() in n.lower() or hits >= need):
+                want.append((i, j, hits))
+    n, t = spark.createDataFrame(names, "name_id int, name string"), spark.createDataFrame(titles, "title_id int, title string")
+    for q in (3, 5):
+        assert rows(media.title_match(n, t, q)) == sorted(want)
+    assert media.title_match(n.limit(0), t).count() == 0 and media.title_match(n, t.limit(0)).count() == 0
+
+
+def test_addresses_by_points_then_form(spark):
+    df = spark.createDataFrame([(1, "See 5 S. Main Ave, or 12 Lake\nStreet. Tickets at 9 Way"), (2, None), (3, "no number here"), (4, "1 Oak Rd 1 Oak Rd; 40 pier springfield, il 60601")], "k int, t string")
+    assert rows(media.addresses(df, "t", "k", "Springfield", "IL", "Main"), "k", "r", "address") == [
+        (1, 1, "5 S. Main Ave, Springfield, IL"), (1, 2, "12 Lake Street, Springfield, IL"), (4, 1, "1 Oak Rd, Springfield, IL"), (4, 2, "40 pier springfield, il 60601")]
+
+
+def test_refined_clusters_are_steps_of_nearest_and_mean(spark):
+    r = np.random.default_rng(3)
+    x = r.random((80, 3)) * (r.random((80, 3)) < 0.7)
+    x = x[x.sum(1) > 0]
+    df = spark.createDataFrame([(f"u{i:03d}", f"c{j}", float(x[i, j])) for i in range(len(x)) for j in range(3) if x[i, j]], "user_key string, category string, w double")
+    c = np.array([[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0], [9.0, 9.0, 9.0]])  # the last one is nearest to nobody
+    start = spark.createDataFrame([(k, f"c{j}", float(c[k, j])) for k in range(4) for j in range(3) if c[k, j]], "cluster int, category string, w double")
+    labels, centres = users.refined_clusters(df, start, 4)
+    near = lambda: ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    for _ in range(4):
+        own = near()
+        c = np.array([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(4)])
+    assert rows(labels) == [(f"u{i:03d}", int(k)) for i, k in enumerate(near())]
+    got = {(a, b): w for a, b, w in rows(centres)}
+    assert all(abs(got.get((k, f"c{j}"), 0.0) - c[k, j]) < 1e-9 for k in range(4) for j in range(3)) and got[(3, "c0")] == 9.0

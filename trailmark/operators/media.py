@@ -18,7 +18,8 @@ DENIED = ("web", "llm")
 IMAGE_URL = r"https?://[^\s\"'<>)]+\.(?:jpe?g|png|webp|gif)"
 VIDEO_URL = r"https?://(?:www\.)?(?:youtube\.com/watch\?v=|youtu\.be/)[A-Za-z0-9_-]{6,}"
 VIDEO_ID = r"(?:v=|youtu\.be/|embed/)([A-Za-z0-9_-]{6,})"
-ADDRESS = r"\b\d{1,5} [NSEW]\.? [A-Z][a-z]+ (?:St|Ave|Blvd|Rd|Dr)\b"
+STREET_KINDS = r"Street|St\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Road|Rd\.?|Drive|Dr\.?|Way|Place|Plaza|Court|Ct\.?|Lane|Ln\.?|Highway|Hwy\.?"
+NO_ADDRESS = ("more info", " is ", "ticket", "tilt", "optional", "last entry", "feet above")
 # fixed values: words that tell no place apart, parts of urls that are maps or page furniture
 GENERAL_WORDS = ("the", "a", "an", "and", "or", "of", "at", "in", "on", "for", "by", "hotel", "hotels", "restaurant", "restaurants", "illinois", "il", "usa", "co", "company", "llc", "inc")
 DENIED_PARTS = ("story/images/basemap", "maps.googleapis.com", "maps.gstatic.com", "google.com/maps", "webgl_logo")
@@ -134,29 +135,79 @@ def coordinates(text: Column, lats: tuple[float, float], lons: tuple[float, floa
     return F.try_element_at(F.filter(pairs, lambda x: x["lat"].between(*lats) & x["lon"].between(*lons)), F.lit(1))
 
 
-def addresses(pages: DataFrame, text: str, key: str, top: int = 5) -> DataFrame:
-    """Street addresses of a text, best first (a longer one is better, then the earlier)."""
-    found = pages.select(key, F.posexplode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ADDRESS), F.lit(0)))).alias("pos", "address"))
-    w = W.partitionBy(key).orderBy(F.desc(F.length("address")), "pos")
-    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select(key, "address", "r")
+def address_forms(city: str, state: str, avenue: str) -> tuple[str, ...]:
+    """M11, fixed values: patterns (group 1, any case) of addresses on the main avenue, with a direction, of any street, and before the city's name."""
+    number, side, words, town = r"\d{1,5}\s+", r"[NSEW]\.?\s+", r"[\w\s\.'\-]", rf"{city},?\s*{state}(?:\s+\d{{5}})?"
+    return (
+        rf"({number}{side}{avenue}(?:\s+Ave(?:nue)?\.?)?)",
+        rf"({number}{side}{words}{{2,40}}?(?:{STREET_KINDS})\.?)",
+        rf"(?:Located at|Address[:\s]+|at\s+)?({number}(?:{side})?{words}+?(?:{STREET_KINDS})(?:\s*,?\s*{town})?)",
+        rf"({number}{words}+?,?\s*{town})",
+    )
+
+
+def addresses(pages: DataFrame, text: str, key: str, city: str, state: str, avenue: str, top: int = 5) -> DataFrame:
+    """(key, address, r): valid street addresses of a text, best first, then by form and place; the city is added where it isn't named.
+
+    Points: 3 a direction with a dot, 2 a kind of street, 1 the avenue, 1 the city. Valid ones have at most 70 characters and no words of
+    NO_ADDRESS. A text without any (or null) gives no row. All within a row: no shuffle.
+    """
+    body, low = F.regexp_replace(F.col(text), r"\s+", " "), F.lower
+    valid = lambda x: reduce(lambda a, w: a & ~low(x).contains(w), NO_ADDRESS, (F.length(x) <= 70) & (F.length(x) > 0))
+    every = F.concat(*[F.transform(F.regexp_extract_all(body, F.lit(f"(?i){p}"), F.lit(1)), lambda x: F.rtrim(F.trim(x), F.lit(".,;"))) for p in address_forms(city, state, avenue)])
+    point = lambda c, n: F.when(c, n).otherwise(0)
+    points = lambda x: point(x.rlike(r"(?i)\b[NSEW]\."), 3) + point(x.rlike(f"(?i){STREET_KINDS}"), 2) + point(low(x).contains(avenue.lower()), 1) + point(low(x).contains(city.lower()), 1)
+    ranked = F.array_sort(F.transform(F.array_distinct(F.filter(every, valid)), lambda x, i: F.struct((-points(x)).alias("p"), i.alias("i"), x.alias("a"))))
+    named = F.transform(F.slice(ranked, 1, top), lambda x: F.when(low(x["a"]).contains(city.lower()), x["a"]).otherwise(F.concat(x["a"], F.lit(f", {city}, {state}"))))
+    return pages.select(key, F.posexplode(named).alias("r", "address")).select(key, "address", (F.col("r") + 1).alias("r"))
 
 
 def name_tokens(c: Column) -> Column:
     return F.array_except(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")), F.array(*map(F.lit, STOP_WORDS)))
 
 
-def title_match(names: DataFrame, titles: DataFrame) -> DataFrame:
-    """(name_id, title_id): one contains the other, or enough tokens agree (all of up to two, else max(2, floor((3n + 4) / 5))).
+def by_rarity(side: DataFrame, seen: DataFrame) -> DataFrame:
+    """(id, size, at, tok): a row's tokens, the rarest of seen(tok, df) first; tokens that weren't seen come before all."""
+    own = side.select("id", F.explode("toks").alias("tok")).join(seen, "tok", "left")
+    order = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("o"))
+    return order.select("id", F.size("o").alias("size"), F.posexplode("o").alias("at", "o")).select("id", "size", "at", "o.tok")
+
+
+def overlap_need(n: Column) -> Column:
+    """Tokens that must agree: all of up to two, else max(2, floor((3n + 4) / 5))."""
+    return F.when(n <= 2, n).otherwise(F.greatest(F.lit(2), F.floor((3 * n + 4) / 5).cast("int")))
+
+
+def containing(inner: DataFrame, outer: DataFrame, q: int) -> DataFrame:
+    """(inner, outer): ids of pairs that may hold inner's string within outer's and share a token: met under inner's rarest run of q characters.
+
+    Strings under q characters have a token or two, and meet under these.
+    """
+    runs = lambda side: side.where(F.length("s") >= q).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - q + 1), lambda i: F.substr("s", i, F.lit(q))))).alias("run"))
+    all_runs = runs(outer)
+    df = all_runs.groupBy("run").agg(F.count("*").alias("df"))
+    rarest = runs(inner).join(df, "run", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run")).alias("k")).select(F.col("id").alias("inner"), F.col("k.run").alias("run"))
+    short = inner.where(F.length("s") < q).select(F.col("id").alias("inner"), F.explode("toks").alias("tok")).join(outer.select(F.col("id").alias("outer"), F.explode("toks").alias("tok")), "tok")
+    return rarest.join(all_runs.withColumnRenamed("id", "outer"), "run").select("inner", "outer").unionByName(short.select("inner", "outer"))
+
+
+def title_match(names: DataFrame, titles: DataFrame, q: int = 5) -> DataFrame:
+    """(name_id, title_id, hits) with a token in common where one string contains the other, or enough tokens agree (overlap_need).
 
-    Joined on a shared token, so only pairs with one in common meet.
+    Prefix filter: a pair with enough in common shares one of the name's n - need + 1 rarest tokens, which is among the title's
+    m - need + 1 rarest, so a token that many titles have is no join key unless the titles have little else; titles with fewer
+    than `need` tokens are left out. Strings that hold one another meet under a rare run of q characters. Ids are unique; rows
+    without tokens or text match nothing.
     """
-    n = names.select("name_id", F.lower("name").alias("name"), name_tokens(F.col("name")).alias("nt"))
-    t = titles.select("title_id", F.lower("title").alias("title"), name_tokens(F.col("title")).alias("tt"))
-    a, b = n.withColumn("tok", F.explode("nt")), t.withColumn("tok", F.explode("tt"))
-    pairs = a.join(b.select("title_id", "tok"), "tok").groupBy("name_id", "title_id").agg(F.count("*").alias("hits"), F.first("name").alias("name"), F.first(F.size("nt")).alias("n"))
-    need = F.when(F.col("n") <= 2, F.col("n")).otherwise(F.greatest(F.lit(2), F.floor((3 * F.col("n") + 4) / 5)))
-    j = pairs.join(t.select("title_id", "title"), "title_id")
-    return j.where(F.col("title").contains(F.col("name")) | F.col("name").contains(F.col("title")) | (F.col("hits") >= need)).select("name_id", "title_id", "hits")
+    side = lambda df, key, c: df.select(F.col(key).alias("id"), F.lower(c).alias("s"), name_tokens(F.col(c)).alias("toks")).where(F.size("toks") > 0)
+    n, t = side(names, "name_id", "name"), side(titles, "title_id", "title")
+    seen = t.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    a, b = by_rarity(n, seen).withColumn("need", overlap_need(F.col("size"))).where("at <= size - need").alias("a"), by_rarity(t, seen).alias("b")
+    enough = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("b.at") <= F.col("b.size") - F.col("a.need"))).select(F.col("a.id").alias("name_id"), F.col("b.id").alias("title_id"))
+    within = containing(n, t, q).toDF("name_id", "title_id").unionByName(containing(t, n, q).toDF("title_id", "name_id"))
+    full = enough.unionByName(within).distinct().join(n.toDF("name_id", "name", "nt"), "name_id").join(t.toDF("title_id", "title", "tt"), "title_id")
+    hits = full.withColumn("hits", F.size(F.array_intersect("nt", "tt")).cast("long")).where("hits > 0")
+    return hits.where(F.col("title").contains(F.col("name")) | F.col("name").contains(F.col("title")) | (F.col("hits") >= overlap_need(F.size("nt")))).select("name_id", "title_id", "hits")
 
 
 def name_variants(name: Column) -> Column:

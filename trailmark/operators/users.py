@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import written
 from .nearest import nearest_users  # noqa: F401  N2, N3
 from .vectors import unit
 
@@ -84,6 +85,20 @@ def assign_nearest(vectors: DataFrame, centres: DataFrame, key: str = "user_key"
     return best.select(key, "b.cluster", F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
 
 
+def refined_clusters(vectors: DataFrame, centres: DataFrame, steps: int) -> tuple[DataFrame, DataFrame]:
+    """C1 from given centres: so many steps of nearest centre and mean. Returns (user_key, cluster) and (cluster, category, w).
+
+    Equally near centres (to nine places): the lower cluster. A cluster that loses all users keeps its centre. Each step is
+    one join and an aggregate with partial sums, stored before the next.
+    """
+    for _ in range(steps):
+        labels = written(assign_nearest(vectors, centres).select("user_key", "cluster"), "labels")
+        n = labels.groupBy("cluster").agg(F.count("*").alias("n"))
+        moved = vectors.join(labels, "user_key").groupBy("cluster", "category").agg(F.sum("w").alias("w")).join(n, "cluster").select("cluster", "category", (F.col("w") / F.col("n")).alias("w"))
+        centres = written(moved.unionByName(centres.join(n, "cluster", "left_anti").select("cluster", "category", "w")), "centres")
+    return assign_nearest(vectors, centres).select("user_key", "cluster"), centres
+
+
 def interest_vectors(requests: DataFrame, categories: DataFrame) -> DataFrame:
     """(request_id, category, w): unit vectors of the requests' interests, as far as they are categories(category) of the users' vectors; a repeated interest counts once."""
     own = requests.select("request_id", F.explode(F.array_distinct("interests")).alias("category")).join(categories.select("category").distinct(), "category", "left_semi")

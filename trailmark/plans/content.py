@@ -123,14 +123,20 @@ def m10(spark, d):
     return fx.table(spark, d, "part").select(k, c["lat"].alias("lat"), c["lon"].alias("lon"))
 
 
-ADDR = "ad AS (SELECT c_custkey, 'Meet at '||(c_custkey%900+1)||' N. Clark St or 12 S Lake Ave, not '||c_name||'; again 12 S Lake Ave. '||CASE WHEN c_custkey%2=0 THEN '4500 W Fullerton Blvd' ELSE '' END AS body FROM customer)"
+ADDR = "ad AS (SELECT c_custkey, CASE c_custkey%4 WHEN 0 THEN 'Meet at '||(c_custkey%900+1)||' N. Clark St or 12  S Lake Ave., not '||c_name||'; again 12 S Lake Ave' WHEN 1 THEN 'Address: '||(c_custkey%900+1)||' East Grand Avenue, Springfield, IL 60601. More: 7 w. hill rd, '||c_mktsegment WHEN 2 THEN (c_custkey%900+1)||' n main ave. and then 30 tickets at 40 Plaza; it is at 9 N. Main' ELSE (c_custkey%900+1)||' navy pier springfield il, floor 3 is 400 feet above 5 lake st' END AS body FROM customer)"
+PLACE = ("Springfield", "IL", "Main")
+FOUR = " || ".join("regexp_extract_all(body,'" + p.replace("'", "''") + "',1,'i')" for p in m.address_forms(*PLACE))
+BARRED = " AND ".join(f"NOT contains(lower(a),'{w}')" for w in m.NO_ADDRESS)
 
 
-@query("m11_addresses", f"WITH {ADDR}, f AS (SELECT c_custkey, list_distinct(regexp_extract_all(body,'\\b\\d{{1,5}} [NSEW]\\.? [A-Z][a-z]+ (?:St|Ave|Blvd|Rd|Dr)\\b')) AS l, body FROM ad), e AS (SELECT c_custkey, body, unnest(l) AS address FROM f) SELECT c_custkey, address, row_number() OVER (PARTITION BY c_custkey ORDER BY length(address) DESC, position(address IN body)) AS r FROM e")
+@query("m11_addresses", f"WITH {ADDR}, t AS (SELECT c_custkey, regexp_replace(body,'\\s+',' ','g') AS body FROM ad), l AS (SELECT c_custkey, {FOUR} AS l FROM t), e AS (SELECT c_custkey, rtrim(trim(unnest(l)),'.,;') AS a, generate_subscripts(l,1) AS pos FROM l), u AS (SELECT c_custkey, a, min(pos) AS pos FROM e WHERE length(a) BETWEEN 1 AND 70 AND {BARRED} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY CASE WHEN regexp_matches(a,'\\b[NSEW]\\.','i') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(a,'{m.STREET_KINDS}','i') THEN 2 ELSE 0 END + CASE WHEN contains(lower(a),'main') THEN 1 ELSE 0 END + CASE WHEN contains(lower(a),'springfield') THEN 1 ELSE 0 END DESC, pos) AS r FROM u) SELECT c_custkey, CASE WHEN contains(lower(a),'springfield') THEN a ELSE a||', Springfield, IL' END AS address, r FROM r WHERE r<=5")
 def m11(spark, d):
     k = F.col("c_custkey")
-    body = F.concat(F.lit("Meet at "), (k % 900 + 1).cast("string"), F.lit(" N. Clark St or 12 S Lake Ave, not "), F.col("c_name"), F.lit("; again 12 S Lake Ave. "), F.when(k % 2 == 0, "4500 W Fullerton Blvd").otherwise(""))
-    return m.addresses(fx.table(spark, d, "customer").select(k, body.alias("body")), "body", "c_custkey").withColumn("r", F.col("r").cast("long"))
+    n = (k % 900 + 1).cast("string")
+    body = F.when(k % 4 == 0, F.concat(F.lit("Meet at "), n, F.lit(" N. Clark St or 12  S Lake Ave., not "), F.col("c_name"), F.lit("; again 12 S Lake Ave")))
+    body = body.when(k % 4 == 1, F.concat(F.lit("Address: "), n, F.lit(" East Grand Avenue, Springfield, IL 60601. More: 7 w. hill rd, "), F.col("c_mktsegment")))
+    body = body.when(k % 4 == 2, F.concat(n, F.lit(" n main ave. and then 30 tickets at 40 Plaza; it is at 9 N. Main"))).otherwise(F.concat(n, F.lit(" navy pier springfield il, floor 3 is 400 feet above 5 lake st")))
+    return m.addresses(fx.table(spark, d, "customer").select(k, body.alias("body")), "body", "c_custkey", *PLACE).withColumn("r", F.col("r").cast("long"))
 
 
 TOKS = "list_filter(list_distinct(regexp_split_to_array(lower({0}),'[^a-z0-9]+')), lambda x: x<>'' AND x NOT IN ('the','of','and','at','in','a','an','to','for'))"

@@ -154,6 +154,21 @@ def c01(spark, d):
     return labels
 
 
+def _refined(steps: int) -> str:
+    """CTEs lab0, cen0 (users by number modulo 4) to lab{steps}, cen{steps}, and the last labels."""
+    mean = "cen{0} AS MATERIALIZED (SELECT cluster, category, sum(w)/max(n) AS w FROM ucv JOIN lab{0} USING (user_key) JOIN (SELECT cluster, count(*) AS n FROM lab{0} GROUP BY 1) USING (cluster) GROUP BY ALL{1})"
+    near = "lab{0} AS MATERIALIZED (SELECT user_key, cluster FROM (SELECT v.user_key, c.cluster, row_number() OVER (PARTITION BY v.user_key ORDER BY round(vv-2*coalesce(dot,0)+cc,9), c.cluster) AS r FROM (SELECT user_key, sum(w*w) AS vv FROM ucv GROUP BY 1) v CROSS JOIN (SELECT cluster, sum(w*w) AS cc FROM cen{1} GROUP BY 1) c LEFT JOIN (SELECT user_key, cluster, sum(ucv.w*cen{1}.w) AS dot FROM ucv JOIN cen{1} USING (category) GROUP BY ALL) e ON e.user_key=v.user_key AND e.cluster=c.cluster) WHERE r=1)"
+    own = ["lab0 AS (SELECT user_key, CAST(CAST(substr(user_key,2) AS INTEGER)%4 AS INTEGER) AS cluster FROM (SELECT DISTINCT user_key FROM ucv))", mean.format(0, "")]
+    for k in range(1, steps + 1):
+        own += [near.format(k, k - 1), mean.format(k, f" UNION ALL SELECT * FROM cen{k - 1} ANTI JOIN lab{k} USING (cluster)")]
+    return ", ".join([*own, near.format(steps + 1, steps)])
+
+
+@query("c01_refined_archetypes", f"{USERS}, {_refined(3)} SELECT user_key, cluster FROM lab4")
+def c01_refined(spark, d):
+    return users.refined_clusters(user_vectors(spark, d), fixed_archetypes(spark, d)[1], 3)[0]
+
+
 @query("c02_archetype_meta")
 def c02(spark, d):
     v = user_vectors(spark, d)
