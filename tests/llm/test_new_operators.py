@@ -235,3 +235,13 @@ def test_packed_sums_over_levels(spark):
     for fan in (3, 1000):
         assert {k: n for k, n in packed_sums.sum_packed(df, 40, fan=fan).collect()} == dict(want)
     assert all(n >= 20 for _, n in packed_sums.sum_packed(df, 40, 20).collect()) and math.isfinite(sum(want.values()))
+
+
+def test_licence_headers_people_write(spark):
+    from trailmark.llm import licences
+
+    data = [(1, "Apache License, Version 2.0 (the text)"), (2, "This is licensed under GPL v3."), (3, "see the MIT License"), (4, "Licensed under the terms of the MIT license"), (5, "released under the BSD license, released under the BSD license"), (6, "a limit licence; submit licenses")]
+    got = {r["doc_id"]: (r["labels"], r["n_notices"], r["spans"]) for r in licences.scan_licences(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: ("apache", 1, "apache:0-4:0"), 2: ("gpl-notice", 1, "gpl-notice:2-4:0"), 3: ("mit", 1, "mit:2-3:0"), 4: ("mit", 1, "mit:6-7:0"), 5: ("bsd", 2, "bsd:0-4:0,bsd:5-9:0"), 6: ("", 0, "")}
+    hits = [("a", "x" * 10, 0, 10, 1), ("a", "x" * 5, 3, 8, 0), ("a", "x" * 5, 8, 13, 0), ("b", "x" * 10, 0, 10, 1)]
+    assert licences.one_a_place(hits) == [hits[3], hits[1], hits[2]]

@@ -22,15 +22,20 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 # Short notices of public licences, searched with edits, and their labels. Words in braces tell one licence from another and must stand unchanged.
 NOTICES = (
     ("licensed under the {apache} license", "apache"),
+    ("{apache} license version 2 0", "apache"),
     ("permission is hereby granted free of charge", "mit"),
     ("released under the {mit} license", "mit"),
     ("licensed under the {mit} license", "mit"),
+    ("{mit} license", "mit"),
     ("redistribution and use in source and binary forms", "bsd"),
     ("released under the {bsd} license", "bsd"),
     ("licensed under the {bsd} license", "bsd"),
+    ("{bsd} license", "bsd"),
     ("permission to use copy modify and or distribute", "isc"),
     ("licensed under the {isc} license", "isc"),
+    ("{isc} license", "isc"),
     ("released under the {gpl} license", "gpl-notice"),
+    ("licensed under {gpl}", "gpl-notice"),
     ("licensed under the {gpl}", "gpl-notice"),
     ("{gnu general} public license", "gpl-notice"),
     ("gnu {lesser general} public license", "lgpl"),
@@ -129,13 +134,26 @@ class Scanner:
         return found
 
 
+def one_a_place(found: list[tuple[str, str, int, int, int]]) -> list[tuple[str, str, int, int, int]]:
+    """Of one label's occurrences that overlap, the one with the fewest edits a character (then the longer, then the earlier), in order of place."""
+    kept: list[tuple[str, str, int, int, int]] = []
+    taken: dict[str, list[tuple[int, int]]] = {}
+    for hit in sorted(found, key=lambda x: (x[4] / len(x[1]), x[2] - x[3], x[2])):
+        own = taken.setdefault(hit[0], [])
+        at = bisect.bisect(own, hit[2:4])
+        if not ((at and own[at - 1][1] > hit[2]) or (at < len(own) and own[at][0] < hit[3])):
+            own.insert(at, hit[2:4])
+            kept.append(hit)
+    return sorted(kept, key=lambda x: (x[2:4], x[0]))
+
+
 RESULT = [("doc_id", "long"), ("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double"), ("n_notices", "long"), ("spans", "string")]
 
 
 def scan_text(scanner: Scanner, doc_id: int | None, text: str) -> tuple:
     t = folded(text)
     places = [(at, label) for phrase, label in BASE for at in exact_places(t, phrase)]
-    notices = sorted(scanner.scan(t), key=lambda x: (x[2:4], x[0]))
+    notices = one_a_place(scanner.scan(t))
     spaces = np.flatnonzero(np.frombuffer(t.encode("utf-32-le"), np.uint32) == 32) if places or notices else np.zeros(0, np.int64)
     word = lambda at: int(np.searchsorted(spaces, at, side="left"))  # noqa: E731  of the word after the space at `at`
     base = sorted({label for _, label in places})
@@ -150,7 +168,8 @@ def scan_licences(docs: DataFrame, edit_rate: float = 0.1) -> DataFrame:
 
     One row for each input row: n_words, n_base (places of base phrases), first_word, last_word (null
     if none), base_labels, labels (with those of fuzzy notices), score (best match: 1 less its edits
-    per character; 0 if none), n_notices, spans (label:first word-last word:edits, in order of place). A null text is an empty one;
+    per character; 0 if none), n_notices, spans (label:first word-last word:edits, in order of place; one where several
+    notices of a label stand in one place). A null text is an empty one;
     repeated rows are repeated; an empty table gives no rows; other columns are not read. Work is linear in a text's length and its seeds.
     """
     schema = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[k]) for n, k in RESULT])
