@@ -28,7 +28,7 @@ def norm(v):
     return repr(round(float(v), 5) + 0.0) if isinstance(v, int | float) else str(v)
 
 
-@pytest.mark.parametrize("name", [*QUICK, "r09_unique_names"])
+@pytest.mark.parametrize("name", [*QUICK, "r09_unique_names", "c01_refined_archetypes"])
 def test_twin(spark, con, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
