@@ -32,3 +32,37 @@ def test_map_links(spark):
 def test_denied(spark):
     df = spark.createDataFrame([("https://maps.googleapis.com/a.png", True), ("https://a.example/logo.png", False), ("https://A.example/WEBGL_LOGO.png", True)], "url string, want boolean")
     assert all(r["got"] == r["want"] for r in df.select("want", m.denied_url(F.col("url")).alias("got")).collect())
+
+
+def test_audit(spark):
+    good = [("image", "official", f"g{k}.jpg", "u") for k in range(3)]
+    clip = ("video", "official", "v.mp4", "u")
+    cards = [
+        ("whole", [*good, clip], "g0.jpg", "u", "official", None, None),
+        ("thin", good[:2], None, None, "official", None, None),
+        ("tried", good[:2], None, None, "official", True, 0),
+        ("again", good[:2], None, None, "official", True, 2),
+        ("empty", [], None, None, None, None, None),
+        ("null", None, None, None, "none", None, None),
+        ("bare", [*good, ("image", "official", "", "u")], None, None, "official", None, None),
+        ("other", [("image", "yelp", "g0.jpg", "u"), *good], None, None, "yelp", None, None),
+        ("single", [good[0], ("image", None, "g1.jpg", None)], None, None, "official", None, None),
+        ("lost", [("image", "official", "gone.jpg", "u"), *good], None, None, "official", None, None),
+        ("small", [("image", "official", "small.jpg", "u"), *good], None, None, "official", None, None),
+        ("narrow", [("image", "official", "narrow.jpg", "u"), *good], None, None, "official", None, None),
+        ("unread", [("image", "official", "unread.jpg", "u"), *good], None, None, "official", None, None),
+        ("film", [*good, ("video", "official", "long.mp4", "u")], None, None, "official", None, None),
+        ("linked", [*good, ("video", "official", None, "u")], None, None, "official", None, None),
+        ("url", good, None, "u", "official", None, None),
+    ]
+    media = "array<struct<type:string,source:string,file:string,url:string>>"
+    df = spark.createDataFrame(cards, f"location_id string, media {media}, image_file string, image_url string, media_source string, augmentation_attempted boolean, augmentation_added int")
+    files = [*[(f"g{k}.jpg", 20_000, 400, 300) for k in range(3)], ("g0.jpg", 10, 1, 1), ("v.mp4", 24_999_999, None, None), ("long.mp4", 25_000_000, None, None), ("small.jpg", 11_999, None, 300), ("narrow.jpg", 20_000, 900, 219), ("unread.jpg", None, 400, 300)]
+    store = spark.createDataFrame(files, "file string, bytes long, width int, height int")
+    got = {r["location_id"]: (r["needs_refresh"], r["low_quality"], r["needs_augmentation"]) for r in m.audit(df, store).collect()}
+    assert len(got) == len(cards)
+    assert {k for k, v in got.items() if v[0]} == {"empty", "null", "bare", "other", "single", "url"}
+    assert {k for k, v in got.items() if v[1]} == {"empty", "null", "lost", "small", "narrow", "unread", "film"}
+    assert {k for k, v in got.items() if v[2]} == {"thin", "again", "single"}
+    assert m.audit(df.limit(0), store).count() == 0
+    assert m.audit(df, store.limit(0)).where("low_quality").count() == len(cards)

@@ -23,6 +23,8 @@ NO_ADDRESS = ("more info", " is ", "ticket", "tilt", "optional", "last entry", "
 # fixed values: words that tell no place apart, parts of urls that are maps or page furniture
 GENERAL_WORDS = ("the", "a", "an", "and", "or", "of", "at", "in", "on", "for", "by", "hotel", "hotels", "restaurant", "restaurants", "illinois", "il", "usa", "co", "company", "llc", "inc")
 DENIED_PARTS = ("story/images/basemap", "maps.googleapis.com", "maps.gstatic.com", "google.com/maps", "webgl_logo")
+# fixed values: least area, shorter side and bytes of an image, greatest bytes of a video
+IMAGE_AREA, IMAGE_SIDE, IMAGE_BYTES, VIDEO_BYTES = 90_000, 220, 12_000, 25_000_000
 STOP_WORDS = ("the", "of", "and", "at", "in", "a", "an", "to", "for")
 
 
@@ -232,11 +234,36 @@ def identifies(text: Column, name: Column, city: str, url: Column | None = None)
     return (phrase | ((n >= 2) & (hits >= need))) & low.contains(city)
 
 
-def audit(cards: DataFrame) -> DataFrame:
-    """Which cards (media: array<struct<type,source,file,url>>) lack images, hold fallback media only, or files."""
+def audit(cards: DataFrame, files: DataFrame, primary: str = "official", target: int = 3) -> DataFrame:
+    """What each card needs: its media fetched again, better files, or more images.
+
+    cards: one row for each location_id, with media (array<struct<type,source,file,url>>), image_file, image_url, media_source,
+    augmentation_attempted and augmentation_added; files: what is stored (file, bytes, width, height; null bytes: unreadable, null
+    sizes: unknown; of repeated names the largest counts). needs_refresh: no media, no stored image, an image (or image_url) without a file, not from the primary
+    source, or one item of it at most and no video among them. low_quality: the first image is missing, unreadable or small, a stored video
+    is missing or too large, or media_source is 'none'; such a card without any media and fields is low in quality too.
+    needs_augmentation: it has a stored image, fewer than target images and no video, unless the last attempt added nothing.
+    """
     m = F.coalesce(F.col("media"), F.array().cast("array<struct<type:string,source:string,file:string,url:string>>"))
-    images = F.filter(m, lambda x: x["type"] == "image")
-    return cards.select("location_id", (F.size(images) == 0).alias("needs_refresh"), F.coalesce(F.forall(m, lambda x: source_name(x["source"]).isin(*FALLBACK)), F.lit(True)).alias("low_quality"), (F.size(images) < 3).alias("needs_augmentation"))
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    image, video = (lambda x: F.coalesce(x["type"] == "image", F.lit(False))), (lambda x: F.coalesce(x["type"] == "video", F.lit(False)))
+    stored_image = given(F.col("image_file")) | F.exists(m, lambda x: image(x) & given(x["file"]))
+    own_source = F.filter(m, lambda x: source_name(x["source"]) == primary)
+    refresh = (F.size(m) == 0) | ~stored_image | F.exists(m, lambda x: image(x) & ~given(x["file"])) | (given(F.col("image_url")) & ~given(F.col("image_file")))
+    refresh = refresh | (source_name(F.col("media_source")) != primary) | ((F.size(own_source) <= 1) & ~F.exists(own_source, video))
+    idle = (F.coalesce("augmentation_attempted", F.lit(False)) | F.col("augmentation_added").isNotNull()) & (F.coalesce("augmentation_added", F.lit(0)) == 0)
+    few = F.size(F.filter(m, lambda x: image(x) & (given(x["file"]) | given(x["url"])))) < target
+    first = F.coalesce(F.try_element_at(F.filter(m, lambda x: image(x) & given(x["file"])), F.lit(1))["file"], F.col("image_file"))
+    flagged = cards.select("location_id", m.alias("_m"), first.alias("_first"), (F.col("media_source") == "none").alias("_none"), refresh.alias("needs_refresh"), (~idle & stored_image & few & ~F.exists(m, video)).alias("needs_augmentation"))
+    store = files.groupBy("file").agg(F.max_by(F.struct("bytes", "width", "height"), F.coalesce("bytes", F.lit(-1))).alias("_f"))
+    small = (F.col("_f.width") * F.col("_f.height") < IMAGE_AREA) | (F.least("_f.width", "_f.height") < IMAGE_SIDE)
+    sized = F.col("_f.width").isNotNull() & F.col("_f.height").isNotNull()
+    bad_image = store.select(F.col("file").alias("_first"), (F.coalesce(F.col("_f.bytes") < IMAGE_BYTES, F.lit(True)) | (sized & F.coalesce(small, F.lit(False)))).alias("_bad"))
+    videos = flagged.select("location_id", F.explode(F.filter("_m", lambda x: video(x) & given(x["file"]))).alias("_v")).select("location_id", F.col("_v.file").alias("file"))
+    bad_video = videos.join(store, "file", "left").where(F.coalesce(F.col("_f.bytes") >= VIDEO_BYTES, F.lit(True))).select("location_id").distinct().withColumn("_bad_video", F.lit(True))
+    every = flagged.join(bad_image, "_first", "left").join(bad_video, "location_id", "left")
+    low = F.coalesce("_bad", F.lit(True)) | F.coalesce("_bad_video", F.lit(False)) | F.coalesce("_none", F.lit(False))
+    return every.select("location_id", F.coalesce("needs_refresh", F.lit(True)).alias("needs_refresh"), low.alias("low_quality"), "needs_augmentation")
 
 
 def denied_url(url: Column, words: tuple[str, ...] = DENIED_PARTS) -> Column:

@@ -166,9 +166,28 @@ def cards(spark, d):
     return own.groupBy("location_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("type", "source", "file", "url").alias("m")))), lambda x: x["m"]).alias("media"))
 
 
-@query("m14_card_audit", f"WITH {ITEMS}, {CARDS} SELECT location_id, len(list_filter(media, lambda x: x.type='image'))=0 AS needs_refresh, len(list_filter(media, lambda x: lower(x.source) NOT IN ('yelp','tripadvisor','openverse')))=0 AS low_quality, len(list_filter(media, lambda x: x.type='image'))<3 AS needs_augmentation FROM cards")
+AUDIT = f"""WITH {ITEMS}, st AS (SELECT 'f'||p_partkey AS file, CASE WHEN p_partkey%8=5 AND p_partkey%3=0 THEN p_size*600000 WHEN p_partkey%22<>0 THEN p_size*1000 END AS bytes, CASE WHEN p_partkey%9<>0 THEN p_size*20 END AS width, 100+p_size*10 AS height FROM part WHERE p_partkey%11<>0),
+it AS (SELECT *, CASE WHEN pos%2=1 OR pos%97%2=1 THEN 'f'||pos END AS file, substr(location_id,2)::INTEGER AS n, CASE WHEN lower(source)='wiki' THEN 'wikipedia' ELSE lower(source) END AS s FROM items),
+g AS (SELECT location_id, any_value(n) AS n, count_if(type='image') AS imgs, count_if(type='image' AND file IS NOT NULL) AS filed, count_if(type='image' AND file IS NULL) AS bare, count_if(type='video') AS vids, count_if(s='official') AS own, count_if(s='official' AND type='video') AS ownv, min_by(file,pos) FILTER (type='image' AND file IS NOT NULL) AS ff, min_by(url,pos) FILTER (type='image') AS first_url FROM it GROUP BY 1),
+c AS (SELECT *, CASE WHEN n%5=0 THEN 'f'||n END AS image_file, CASE WHEN n%4=0 THEN first_url END AS image_url, CASE WHEN n%7=0 THEN 'none' ELSE 'Official' END AS src, n%6=0 AS tried, CASE WHEN n%12=0 THEN n%24 WHEN n%9=0 THEN 0 END AS added FROM g),
+bv AS (SELECT DISTINCT location_id FROM it LEFT JOIN st USING (file) WHERE type='video' AND file IS NOT NULL AND coalesce(bytes>=25000000,true))
+SELECT location_id, (filed=0 AND image_file IS NULL) OR bare>0 OR (coalesce(image_url,'')<>'' AND image_file IS NULL) OR src='none' OR (own<=1 AND ownv=0) AS needs_refresh,
+coalesce(st.bytes,0)<12000 OR coalesce(width*height<90000 OR least(width,height)<220, false) AND width IS NOT NULL OR bv.location_id IS NOT NULL OR src='none' AS low_quality,
+NOT ((tried OR added IS NOT NULL) AND coalesce(added,0)=0) AND (filed>0 OR image_file IS NOT NULL) AND imgs<21 AND vids=0 AS needs_augmentation
+FROM c LEFT JOIN st ON st.file=coalesce(ff,image_file) LEFT JOIN bv USING (location_id)"""
+
+
+@query("m14_card_audit", AUDIT)
 def m14(spark, d):
-    return m.audit(cards(spark, d))
+    """Cards of all items, most of them stored, and a store that lacks some files and cannot read others."""
+    k, n = F.col(K), F.substring("location_id", 2, 9).cast("int")
+    own = items(spark, d).withColumn("file", F.when((F.col("pos") % 2 == 1) | (F.col("pos") % 97 % 2 == 1), F.concat(F.lit("f"), F.col("pos").cast("string"))))
+    media = own.groupBy("location_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("type", "source", "file", "url").alias("m")))), lambda x: x["m"]).alias("media"))
+    first_url = F.try_element_at(F.filter("media", lambda x: x["type"] == "image"), F.lit(1))["url"]
+    cards = media.select("location_id", "media", F.when(n % 5 == 0, F.concat(F.lit("f"), n.cast("string"))).alias("image_file"), F.when(n % 4 == 0, first_url).alias("image_url"), F.when(n % 7 == 0, "none").otherwise("Official").alias("media_source"), (n % 6 == 0).alias("augmentation_attempted"), F.when(n % 12 == 0, n % 24).when(n % 9 == 0, 0).alias("augmentation_added"))
+    size = F.when((k % 8 == 5) & (k % 3 == 0), F.col("p_size") * 600000).when(k % 22 != 0, F.col("p_size") * 1000)
+    store = fx.table(spark, d, "part").where(k % 11 != 0).select(F.concat(F.lit("f"), k.cast("string")).alias("file"), size.alias("bytes"), F.when(k % 9 != 0, F.col("p_size") * 20).alias("width"), (100 + F.col("p_size") * 10).alias("height"))
+    return m.audit(cards, store, target=21)
 
 
 @query("m15_denied_urls", "SELECT page_id, contains(lower(url),'casino') OR contains(lower(url),'blog') AS denied FROM pages")

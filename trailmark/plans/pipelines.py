@@ -23,6 +23,33 @@ def s01(spark, d):
     return io.load_features(spark, path).select("user_key", "location_id", "location_name", F.col("n").cast("long").alias("n"))
 
 
+WAREHOUSE = f"""WITH {q.EVENTS}, {q.LOCATIONS}, {INTER}, ft AS (SELECT i.*, p_name, p_type FROM inter i JOIN part ON location_id='L'||p_partkey),
+g AS (SELECT location_id, max(score) AS pop FROM ft GROUP BY 1), sc AS (SELECT location_id, CASE WHEN max(pop) OVER ()-min(pop) OVER ()<1e-9 THEN 0.0 ELSE (pop-min(pop) OVER ())/(max(pop) OVER ()-min(pop) OVER ()) END AS pop FROM g)
+SELECT 'interaction' AS frame, user_key||' '||location_id AS key, p_type AS label, round(score,6) AS value, epoch_us(t1) AS at FROM ft
+UNION ALL SELECT 'place', l.location_id, l.location_name||' | '||CASE WHEN sc.location_id IS NULL THEN '' ELSE l.primary_category||','||l.brand END||' | '||coalesce(round(lat,3)::VARCHAR,'-'), round(coalesce(pop,0.0),6), CASE WHEN sc.location_id IS NULL THEN 0 ELSE 1 END FROM fx_locations l LEFT JOIN sc USING (location_id)
+UNION ALL SELECT 'user', user_key, NULL, max(n)::DOUBLE, epoch_us(max(t1)) FROM ft GROUP BY user_key
+UNION ALL SELECT 'event', event_id::VARCHAR, event_name, coalesce(interaction_weight,0.5), epoch_us(event_time) FROM fx_events"""
+
+
+@query("s01_warehouse", WAREHOUSE)
+def s01_warehouse(spark, d):
+    """The four files written as CSV and loaded as frames; a row for each row of them."""
+    e, loc = fx.events(spark, d), fx.locations(spark, d)
+    i = frames.interactions_from_events(e).join(loc.select("location_id", "location_name", "location_category_name", "primary_category"), "location_id")
+    n, t0, t1 = "total_interactions_with_location", "first_interaction_time", "last_interaction_time"
+    feats = i.select(F.concat(F.lit(" "), "user_key").alias("user_key"), "location_id", "location_name", "location_category_name", "primary_category", n, F.col(n).alias("total_user_interactions"), "total_interaction_score", F.col("total_interaction_score").alias("total_location_score_all_users"), t0, t1, F.col(t0).alias("first_seen_time"), F.col(t1).alias("last_seen_time"))
+    path = working_folder(spark, "warehouse")
+    for name, df in (("features", feats.unionByName(feats)), ("dim", loc.select("location_id", "location_name")), ("geo", loc.select("location_id", "lat", "lon")), ("events", e)):
+        df.write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(f"{path}/{name}")
+    w = io.load_warehouse(spark, *[f"{path}/{x}" for x in ("features", "dim", "events", "geo")])
+    label = F.concat_ws(" | ", "location_name", F.array_join("categories", ","), F.coalesce(F.round("lat", 3).cast("string"), F.lit("-")))
+    rows = [w.interactions.select(F.lit("interaction").alias("frame"), F.concat_ws(" ", "user_key", "location_id").alias("key"), F.col("primary_category").alias("label"), r6("total_interaction_score").alias("value"), micros(t1).alias("at"))]
+    rows.append(w.locations.select(F.lit("place"), "location_id", label, r6("popularity_norm"), F.col("observed").cast("long")))
+    rows.append(w.users.select(F.lit("user"), "user_key", F.lit(None).cast("string"), F.col("total_user_interactions").cast("double"), micros("last_seen_time")))
+    rows.append(w.events.select(F.lit("event"), "event_id", "event_name", F.coalesce(F.col("interaction_weight").cast("double"), F.lit(0.5)), micros("event_time")))
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
 @query("s02_load_table", "SELECT * FROM nation")
 def s02(spark, d):
     return io.load_table(spark, f"{d}/nation.parquet")
