@@ -709,3 +709,18 @@ def test_tiles_are_written(spark, docs, tmp_path):
 
 def test_media_of_nothing(empty):
     assert media.media_features(media.store_texts(empty)).count() == 0
+
+
+def test_repeated_rows_are_dealt_to_many_units(spark):
+    text = "the same words in every row of one id " * 20
+    docs = spark.range(3_000).select(F.when(F.col("id") < 2_900, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.when(F.col("id") < 2_900, text).otherwise(F.concat(F.lit("row "), F.col("id").cast("string"))).alias("text"))
+    rows, units = language_model.dealt(docs, 100_000)
+    sizes = rows.groupBy("unit").count().agg({"count": "max"}).first()[0]
+    assert units >= 16 and rows.count() == 3_000 and sizes < 3 * 3_000 / units
+    got = language_model.score_texts(docs, unit_bytes=100_000)
+    assert got.count() == 3_000
+    hot = got.where("doc_id = 7").select("n_tokens", "n_known", "base_score", "score").distinct().collect()
+    assert len(hot) == 1 and hot[0]["n_tokens"] == 9 * 20 + 1
+    whole = language_model.score_texts(docs.where("doc_id <> 7").unionByName(docs.where("doc_id = 7")), unit_bytes=10_000_000)
+    key = lambda df: sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in df.collect())
+    assert key(got) == key(whole)

@@ -155,11 +155,15 @@ def keys_of(data: bytes) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, unit_bytes: int) -> tuple[DataFrame, int]:
-    """docs(doc_id, text) with held_out and a unit: a hash of id and text, about unit_bytes of text each."""
+    """docs(doc_id, text) with held_out and a unit, about unit_bytes of text each: a hash of id, text and row number, so that repeated rows are dealt out too.
+
+    The rows are stored with their units, as a number given anew would differ where the input is shuffled.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     units = max(16, math.ceil(total / unit_bytes))
-    return rows.withColumn("held_out", is_held_out(F.col("doc_id"))).withColumn("unit", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(units)).cast("int")), units
+    unit = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.monotonically_increasing_id()), F.lit(units)).cast("int")
+    return written(rows.withColumn("held_out", is_held_out(F.col("doc_id"))).withColumn("unit", unit), "units"), units
 
 
 PACKED = pa.schema([("unit", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary())])

@@ -41,8 +41,8 @@ def write_shuffled_shards(docs: DataFrame, path: str | None = None, n_shards: in
     table gives an empty dataset (read_shards needs the schema then); input columns named shard, slot, or _bucket and the like get the
     suffix _in; columns must be of kinds that can be sorted (no maps). A bucket holds about bucket_bytes of text: their number
     follows the input. Each bucket is a partition of its own, whose number seeds its shuffle, so the shards don't depend on the
-    session's partitions and a task that runs again gives the same rows. Rows are dealt by their number in a stored
-    table: docs is written as one first, unless stored says that it is one (columns of files, nothing shuffled).
+    shuffle partitions and a task that runs again gives the same rows. Rows are dealt by their number in a stored
+    table, which follows its file splits (other splits, another lawful result): docs is written as one first, unless stored says that it is one (columns of files, nothing shuffled).
     """
     docs = renamed_aside(docs, (id_col, text_col), (*ADDED, "_bucket", "_before", "_rows", "_i", "_row", "_pos", "_k1", "_k2"))
     docs = docs if stored else written(docs, "to_shard")
