@@ -6,6 +6,7 @@ import gc
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from .packed import LONG, LOWER, same_spans, span_hashes
 
@@ -244,3 +245,10 @@ def encoder(path: str, keep_space: bool, cache_chunks: int = CACHE_CHUNKS, plain
         gc.set_threshold(50_000, 20, 100)
         _ENCODERS[key] = ChunkEncoder(path, keep_space, cache_chunks, plain_specials)
     return _ENCODERS[key]
+
+
+def release() -> None:
+    """Let go of the chunks that this worker has kept, in tasks of a stage that encodes nothing."""
+    for e in _ENCODERS.values():
+        e.cache.clear()
+    pa.default_memory_pool().release_unused()
