@@ -148,6 +148,25 @@ def test_stream_refuses_late_rows_and_lets_state_go(spark, tmp_path):
     assert (told, left, late) == ([(2,)], 1, 1)
 
 
+def test_the_end_of_a_stream_closes_open_sessions(spark, tmp_path):
+    src, marks, out, state = (str(tmp_path / x) for x in ("in", "marks", "out", "state"))
+    times = [("u", "2024-01-01 10:00:00"), ("u", "2024-01-01 10:10:00"), ("u", "2024-01-01 14:00:00"), ("v", "2024-01-01 13:59:00"), (None, "2024-01-01 14:00:00")]
+    df = spark.createDataFrame(times, "user_key string, x string").select("user_key", F.to_timestamp("x").alias("event_time"))
+    df.write.parquet(src)
+    s = streams.run_to_end(spark.readStream.schema(df.schema).parquet(src), streams.gap_sessions, "event_time", marks, out, state)
+    assert sorted((x["user_key"] or "", x["events"]) for x in s.collect()) == [("", 1), ("u", 1), ("u", 2), ("v", 1)]
+
+
+def test_hourly_clicks_and_sessions_are_whole(spark):
+    from trailmark.queries import QUERIES
+    from trailmark.sources import fixtures as fx
+
+    d = "/root/testdata/sf0.001"
+    assert QUERIES["t03_gap_sessions"](spark, d).agg(F.sum("events")).first()[0] == fx.events(spark, d).count()
+    known = fx.clicks(spark, d).where("event_id % 7 != 0 and ts is not null").withColumn("rank", F.col("event_id") % 9).join(fx.locations(spark, d), "location_id", "left_semi")
+    assert QUERIES["t01_hourly_clicks"](spark, d).agg(F.sum("clicks")).first()[0] == known.select("ts", "location_id", "rank").distinct().count()
+
+
 def test_updates_keep_the_last_word(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     one = lambda t, w: spark.createDataFrame([("L", t, w)], "location_id string, x string, quality_weight double").select("location_id", F.to_timestamp("x").alias("event_time"), "quality_weight")

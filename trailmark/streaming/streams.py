@@ -87,3 +87,18 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     q = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_to_end(events: DataFrame, operator: Callable[[DataFrame], DataFrame], time: str, marks: str, path: str, checkpoint: str) -> DataFrame:
+    """Run an append-mode operator over all there is and close what is open then, so that every window and session is told; read it back.
+
+    A second source, the folder marks, is empty at first. Once all events are in, it gets one row of the year 9999 (nulls besides its time), and
+    the same checkpoint goes on: the watermark passes all windows but the mark's own, which is never told. The stream has ended then and refuses further rows.
+    """
+    spark, rest = events.sparkSession, [f"cast(null as {f.dataType.simpleString()}) as `{f.name}`" for f in events.schema if f.name != time]
+    mark = spark.range(1).selectExpr(f"timestamp'9999-12-31 00:00:00' as `{time}`", *rest).select(events.columns)
+    mark.where("false").write.parquet(marks)
+    both = operator(events.unionByName(spark.readStream.schema(events.schema).parquet(marks)))
+    run_to_table(both, path, checkpoint)
+    mark.coalesce(1).write.mode("append").parquet(marks)
+    return run_to_table(both, path, checkpoint)
