@@ -220,3 +220,14 @@ def test_refined_clusters_are_steps_of_nearest_and_mean(spark):
     assert rows(labels) == [(f"u{i:03d}", int(k)) for i, k in enumerate(near())]
     got = {(a, b): w for a, b, w in rows(centres)}
     assert all(abs(got.get((k, f"c{j}"), 0.0) - c[k, j]) < 1e-9 for k in range(4) for j in range(3)) and got[(3, "c0")] == 9.0
+
+
+def broadcasts(df):
+    """Number of broadcast joins in a plan as it stands before it runs."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_near_pairs_are_not_broadcast(spark):
+    df = spark.range(50).select(F.col("id"), F.xxhash64("id").alias("h"), (F.col("id") % 3).alias("group"), F.col("id").alias("pos"))
+    assert broadcasts(media.near_pairs(df)) == 0
+    assert broadcasts(media.keep_first_similar(df.drop("id"))) == 0

@@ -77,6 +77,7 @@ def near_pairs(hashes: DataFrame, most: int = 6, bands: int = 9, group: str | No
 
     Of `bands` parts of 64 bits at least bands - most are equal in such a pair, so it meets under every combination of so many parts that agree
     (9 parts, 3 at a time: 84 keys of 21 bits, each far rarer than one part of 7). A pair is told under the first combination only.
+    Both sides are sorted and merged: Spark takes the 84-fold rows for as few as there were before and would send them all through the driver.
     """
     take = bands - most
     assert take >= 1
@@ -86,7 +87,7 @@ def near_pairs(hashes: DataFrame, most: int = 6, bands: int = 9, group: str | No
     own = hashes.select("id", "h", (F.col(group) if group else F.lit(0)).alias("g"), parts(F.col("h")).alias("p"), F.explode(every).alias("c"))
     own = own.select("id", "h", "g", "c", F.xxhash64("g", "c", F.transform("c", lambda i: F.get("p", i))).alias("key"))
     a, b = own.alias("a"), own.alias("b")
-    hit = a.join(b, (F.col("a.key") == F.col("b.key")) & F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.id") < F.col("b.id")))
+    hit = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.id") < F.col("b.id")))
     d = hamming(F.col("a.h"), F.col("b.h"))
     agree = F.filter(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.get(parts(F.col("a.h")), i) == F.get(parts(F.col("b.h")), i))
     return hit.where(d <= most).where(F.slice(agree, 1, take) == F.col("a.c")).where(F.col("a.c") == F.col("b.c")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance"))
@@ -96,18 +97,20 @@ def keep_first_similar(items: DataFrame, most: int = 6) -> DataFrame:
     """M6: of each group's items in order (group, pos, h) those within `most` bits of a kept one before them go.
 
     A fixed point over the near pairs: in each round items without an undecided near one before them are kept and those near
-    to them go, until all are decided. Of equal hashes in a group only the first can stay, so they are folded first. No group is one task's.
+    to them go, until all are decided. Of equal hashes in a group only the first can stay, so they are folded first. No group is one task's,
+    and no list of items is broadcast.
     """
     first = written(items.groupBy("group", "h").agg(F.min("pos").alias("pos")).withColumn("id", F.struct("group", "pos")), "first_items")
     edges = written(near_pairs(first, most, group="group").select("a", "b"), "near_edges")
-    gone = []
+    gone = [edges.select(F.col("b").alias("id")).where("false")]
     while not edges.isEmpty():
-        kept = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")), "id", "left_anti")
-        out = written(edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "near_dropped")
+        kept = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")).hint("merge"), "id", "left_anti")
+        out = written(edges.join(kept.withColumnRenamed("id", "a").hint("merge"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "near_dropped")
         gone.append(out)
-        left = edges.join(kept.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti")
+        done = kept.unionByName(out)
+        left = edges.join(done.withColumnRenamed("id", "a").hint("merge"), "a", "left_anti").join(out.withColumnRenamed("id", "b").hint("merge"), "b", "left_anti")
         edges = written(left.select("a", "b"), "near_edges")
-    return reduce(lambda x, y: x.join(y, "id", "left_anti"), gone, first).select("group", "pos", "h")
+    return first.join(reduce(DataFrame.unionByName, gone).hint("merge"), "id", "left_anti").select("group", "pos", "h")
 
 
 def primary_media(items: DataFrame) -> DataFrame:
