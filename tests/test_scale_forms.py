@@ -231,3 +231,9 @@ def test_near_pairs_are_not_broadcast(spark):
     df = spark.range(50).select(F.col("id"), F.xxhash64("id").alias("h"), (F.col("id") % 3).alias("group"), F.col("id").alias("pos"))
     assert broadcasts(media.near_pairs(df)) == 0
     assert broadcasts(media.keep_first_similar(df.drop("id"))) == 0
+
+
+def test_titles_are_not_broadcast(spark):
+    n = spark.range(20).select(F.col("id").alias("name_id"), F.concat(F.lit("old inn "), F.col("id").cast("string")).alias("name"))
+    t = spark.range(50).select(F.col("id").alias("title_id"), F.concat(F.lit("the old inn "), F.col("id").cast("string")).alias("title"))
+    assert broadcasts(media.title_match(n, t)) == 0

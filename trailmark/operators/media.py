@@ -173,7 +173,7 @@ def name_tokens(c: Column) -> Column:
 
 def by_rarity(side: DataFrame, seen: DataFrame) -> DataFrame:
     """(id, size, at, tok): a row's tokens, the rarest of seen(tok, df) first; tokens that weren't seen come before all."""
-    own = side.select("id", F.explode("toks").alias("tok")).join(seen, "tok", "left")
+    own = side.select("id", F.explode("toks").alias("tok")).join(seen.hint("merge"), "tok", "left")
     order = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("o"))
     return order.select("id", F.size("o").alias("size"), F.posexplode("o").alias("at", "o")).select("id", "size", "at", "o.tok")
 
@@ -186,14 +186,15 @@ def overlap_need(n: Column) -> Column:
 def containing(inner: DataFrame, outer: DataFrame, q: int) -> DataFrame:
     """(inner, outer): ids of pairs that may hold inner's string within outer's and share a token: met under inner's rarest run of q characters.
 
-    Strings under q characters have a token or two, and meet under these.
+    Strings under q characters have a token or two, and meet under these. Runs and tokens are many more than rows, which Spark does not see
+    when it plans, so all joins are merges (`title_match` too).
     """
     runs = lambda side: side.where(F.length("s") >= q).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - q + 1), lambda i: F.substr("s", i, F.lit(q))))).alias("run"))
     all_runs = runs(outer)
     df = all_runs.groupBy("run").agg(F.count("*").alias("df"))
-    rarest = runs(inner).join(df, "run", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run")).alias("k")).select(F.col("id").alias("inner"), F.col("k.run").alias("run"))
-    short = inner.where(F.length("s") < q).select(F.col("id").alias("inner"), F.explode("toks").alias("tok")).join(outer.select(F.col("id").alias("outer"), F.explode("toks").alias("tok")), "tok")
-    return rarest.join(all_runs.withColumnRenamed("id", "outer"), "run").select("inner", "outer").unionByName(short.select("inner", "outer"))
+    rarest = runs(inner).join(df.hint("merge"), "run", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run")).alias("k")).where("k.df > 0").select(F.col("id").alias("inner"), F.col("k.run").alias("run"))
+    short = inner.where(F.length("s") < q).select(F.col("id").alias("inner"), F.explode("toks").alias("tok")).join(outer.select(F.col("id").alias("outer"), F.explode("toks").alias("tok")).hint("merge"), "tok")
+    return rarest.join(all_runs.withColumnRenamed("id", "outer").hint("merge"), "run").select("inner", "outer").unionByName(short.select("inner", "outer"))
 
 
 def title_match(names: DataFrame, titles: DataFrame, q: int = 5) -> DataFrame:
@@ -208,9 +209,9 @@ def title_match(names: DataFrame, titles: DataFrame, q: int = 5) -> DataFrame:
     n, t = side(names, "name_id", "name"), side(titles, "title_id", "title")
     seen = t.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
     a, b = by_rarity(n, seen).withColumn("need", overlap_need(F.col("size"))).where("at <= size - need").alias("a"), by_rarity(t, seen).alias("b")
-    enough = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("b.at") <= F.col("b.size") - F.col("a.need"))).select(F.col("a.id").alias("name_id"), F.col("b.id").alias("title_id"))
+    enough = a.join(b.hint("merge"), (F.col("a.tok") == F.col("b.tok")) & (F.col("b.at") <= F.col("b.size") - F.col("a.need"))).select(F.col("a.id").alias("name_id"), F.col("b.id").alias("title_id"))
     within = containing(n, t, q).toDF("name_id", "title_id").unionByName(containing(t, n, q).toDF("title_id", "name_id"))
-    full = enough.unionByName(within).distinct().join(n.toDF("name_id", "name", "nt"), "name_id").join(t.toDF("title_id", "title", "tt"), "title_id")
+    full = enough.unionByName(within).distinct().join(n.toDF("name_id", "name", "nt").hint("merge"), "name_id").join(t.toDF("title_id", "title", "tt").hint("merge"), "title_id")
     hits = full.withColumn("hits", F.size(F.array_intersect("nt", "tt")).cast("long")).where("hits > 0")
     return hits.where(F.col("title").contains(F.col("name")) | F.col("name").contains(F.col("title")) | (F.col("hits") >= overlap_need(F.size("nt")))).select("name_id", "title_id", "hits")
 
