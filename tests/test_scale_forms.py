@@ -237,3 +237,9 @@ def test_titles_are_not_broadcast(spark):
     n = spark.range(20).select(F.col("id").alias("name_id"), F.concat(F.lit("old inn "), F.col("id").cast("string")).alias("name"))
     t = spark.range(50).select(F.col("id").alias("title_id"), F.concat(F.lit("the old inn "), F.col("id").cast("string")).alias("title"))
     assert broadcasts(media.title_match(n, t)) == 0
+
+
+def test_backfill_works_out_distances_once(spark):
+    days, pool = spark.createDataFrame([("r", 1, 1, "s", "Start", "morning", 41.90, -87.60)], STOPS), spark.createDataFrame([("r", 1, "x", "X", ["lunch"], 41.9, -87.6)], POOL)
+    plan = itinerary.backfill(days, pool)._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("ASIN(") <= 2  # one for the medoid, one for a candidate

@@ -171,11 +171,15 @@ def _stop(x, slot, pos, source: str):
     return F.struct(pos.cast("int").alias("pos"), x["location_id"].alias("location_id"), x["nkey"].alias("nkey"), slot.alias("slot"), x["lat"].alias("lat"), x["lon"].alias("lon"), F.lit(source).alias("source"))
 
 
+def _let(value, f):
+    """f(value), where value is worked out once however often f uses it (an expression within lambdas is not shared by Spark)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _centre(stops):
     """The first located stop with the least sum of distances to the day's located ones, or null."""
-    own = F.filter(stops, lambda x: x["lat"].isNotNull() & x["lon"].isNotNull())
-    far = lambda x: F.round(F.aggregate(own, F.lit(0.0), lambda a, y: a + geo.haversine(x["lat"], x["lon"], y["lat"], y["lon"])), 9)
-    return F.array_min(F.transform(own, lambda x, i: F.struct(far(x).alias("s"), i.alias("i"), x["lat"].alias("lat"), x["lon"].alias("lon"))))
+    far = lambda own, x: F.round(F.aggregate(own, F.lit(0.0), lambda a, y: a + geo.haversine(x["lat"], x["lon"], y["lat"], y["lon"])), 9)
+    return _let(F.filter(stops, lambda x: x["lat"].isNotNull() & x["lon"].isNotNull()), lambda own: F.array_min(F.transform(own, lambda x, i: F.struct(F.when(F.size(own) > 1, far(own, x)).otherwise(0.0).alias("s"), i.alias("i"), x["lat"].alias("lat"), x["lon"].alias("lon")))))
 
 
 def backfill(days: DataFrame, pool: DataFrame, target: int = MIN_STOPS) -> DataFrame:
@@ -184,34 +188,33 @@ def backfill(days: DataFrame, pool: DataFrame, target: int = MIN_STOPS) -> DataF
     days: (request_id, day, pos, location_id, location_name, slot, lat, lon), pool: (request_id, rank, location_id, location_name, slots, lat, lon), both bounded for a
     request. A pick is new to the plan by id and name and has a suitable slot that the day has not used. Of these the first by one
     key is taken: within NEAR_KM of the day's medoid by rank, then the nearest, then those without a distance by rank; the medoid moves with each pick.
-    A fold over the request's days that stays in the JVM. A day that nothing fits stays short; a request without a pool keeps its days.
+    A fold over the request's days that stays in the JVM; what a pick uses several times (centre, slots, distance) is worked out once (`_let`). A day that nothing fits stays short; a request without a pool keeps its days.
     """
     key = canonical_name(F.col("location_name"))
-    own = days.groupBy("request_id", "day").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "location_id", key.alias("nkey"), "slot", "lat", "lon", F.lit("plan").alias("source")))).cast(STOP).alias("stops"))
-    own = own.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("day", "stops"))).alias("days"))
-    picks = pool.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "location_id", key.alias("nkey"), "slots", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))).alias("picks"))
+    own = days.groupBy("request_id", "day").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "location_id", key.alias("nkey"), "slot", "lat", "lon", F.lit("plan").alias("source")))).cast(STOP).alias("stops"))
+    own = own.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("day", "stops"))).alias("days"))
+    picks = pool.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "location_id", key.alias("nkey"), "slots", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))).alias("picks"))
     rows = own.join(picks, "request_id", "left")
     names = lambda stops: F.filter(F.concat(F.transform(stops, lambda x: x["location_id"]), F.transform(stops, lambda x: x["nkey"])), lambda x: x != "")
 
     def pick(stops, used):
-        centre = _centre(stops)
-        slots = F.transform(stops, lambda x: x["slot"])
-        open_slot = lambda x: F.try_element_at(F.array_except(x["slots"], slots), F.lit(1))
-        fresh = F.filter(F.col("picks"), lambda x: ~F.array_contains(used, x["location_id"]) & ~F.array_contains(used, x["nkey"]) & open_slot(x).isNotNull())
-        km = lambda x: F.round(geo.haversine(centre["lat"], centre["lon"], x["lat"], x["lon"]), 9)
-        tier = lambda x: F.when(km(x) <= NEAR_KM, 0).when(km(x).isNotNull(), 1).otherwise(2)
-        order = lambda x: F.when(tier(x) == 1, km(x)).otherwise(0.0)
-        return F.array_min(F.transform(fresh, lambda x: F.struct(tier(x).alias("tier"), order(x).alias("km"), x["rank"].alias("rank"), _stop(x, open_slot(x), F.size(stops) + 1, "backfill").alias("stop"))))
+        order = lambda x, slot, km, tier: F.struct(tier.alias("tier"), F.when(tier == 1, km).otherwise(0.0).alias("km"), x["rank"].alias("rank"), _stop(x, slot, F.size(stops) + 1, "backfill").alias("stop"))
+        tiered = lambda x, slot, km: _let(F.when(km <= NEAR_KM, 0).when(km.isNotNull(), 1).otherwise(2), lambda tier: order(x, slot, km, tier))
+        measured = lambda x, slot, centre: _let(F.round(geo.haversine(centre["lat"], centre["lon"], x["lat"], x["lon"]), 9), lambda km: tiered(x, slot, km))
+        offer = lambda x, slots, centre: _let(F.try_element_at(F.array_except(x["slots"], slots), F.lit(1)), lambda slot: F.when(slot.isNotNull(), measured(x, slot, centre)))
+        fresh = F.filter(F.col("picks"), lambda x: ~F.array_contains(used, x["location_id"]) & ~F.array_contains(used, x["nkey"]))
+        offers = lambda slots, centre: F.array_min(F.transform(fresh, lambda x: offer(x, slots, centre)))  # noqa: E731  (no slot: null, which array_min leaves out)
+        return _let(F.transform(stops, lambda x: x["slot"]), lambda slots: _let(_centre(stops), lambda centre: offers(slots, centre)))
 
     def fill(acc, _):
-        x = pick(acc["stops"], acc["used"])
-        more = F.array(x["stop"]).cast(STOP)
-        return F.when((F.size(acc["stops"]) >= target) | x.isNull(), acc).otherwise(F.struct(F.concat(acc["stops"], more).alias("stops"), F.concat(acc["used"], names(more)).alias("used")))
+        taken = lambda x: F.array(x["stop"]).cast(STOP)
+        grown = lambda x: F.struct(F.concat(acc["stops"], taken(x)).alias("stops"), F.concat(acc["used"], names(taken(x))).alias("used"))
+        return F.when(F.size(acc["stops"]) >= target, acc).otherwise(_let(pick(acc["stops"], acc["used"]), lambda x: F.when(x.isNull(), acc).otherwise(grown(x))))
 
     def day_after_day(acc, day):
         start = F.struct(day["stops"].alias("stops"), acc["used"].alias("used"))
-        done = F.aggregate(F.sequence(F.lit(1), F.lit(target)), start, fill)
-        return F.struct(F.concat(acc["days"], F.array(F.struct(day["day"].alias("day"), done["stops"].alias("stops")))).alias("days"), done["used"].alias("used"))
+        filled = F.aggregate(F.sequence(F.lit(1), F.lit(target)), start, fill)
+        return _let(filled, lambda done: F.struct(F.concat(acc["days"], F.array(F.struct(day["day"].alias("day"), done["stops"].alias("stops")))).alias("days"), done["used"].alias("used")))
 
     given = names(F.flatten(F.transform("days", lambda d: d["stops"])))
     zero = F.struct(F.array().cast(f"array<struct<day:int,stops:{STOP}>>").alias("days"), given.alias("used"))
