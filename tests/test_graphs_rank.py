@@ -107,3 +107,28 @@ def test_nearest_users_leave_oneself_out(spark):
     v = spark.createDataFrame([("u", "c", 1.0), ("w", "c", 1.0)], "user_key string, category string, w double")
     q = v.select(F.col("user_key").alias("query"), F.col("user_key").alias("self"), "category", "w")
     assert rows(users.nearest_users(q, v), "query", "user_key") == [("u", "w"), ("w", "u")]
+
+
+def test_best_places_equal_the_pool_of_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    cats = [["a", "x"], ["b", "x"], ["A", "y"], ["c"]]
+    vec = {0: {"a": 0.8, "x": 0.6}, 1: {"b": 0.6, "x": 0.8}, 2: {"a": 0.8, "y": 0.6}, 3: {"c": 1.0}}
+    kind = [r.randint(0, 3) for _ in range(400)]
+    places = [(f"L{k}", cats[c], r.choice([0.0, 0.0, 0.1, 0.100001, 0.1000004]), r.choice([0.0, 0.3]), int(r.random() < 0.2), int(r.random() < 0.2), r.choice([None, 0.5])) for k, c in enumerate(kind)]
+    places = spark.createDataFrame(places, "location_id string, categories array<string>, popularity double, trending double, is_hot_spot_location int, is_favorite_location int, feedback_penalty double")
+    req = [(f"r{k}", None if k % 3 == 2 else f"u{k}", k % 3 == 0, r.choice([[], ["A"], ["a", "c"], ["x"]]), r.choice([[], ["Y"]]), r.choice([1, 5, 20])) for k in range(12)]
+    requests = spark.createDataFrame(req, "request_id string, user_key string, is_returning boolean, interests array<string>, avoid_categories array<string>, top_k int")
+    sims = [(f"r{k}", c, s) for k in range(12) for c in vec if (s := r.choice([0.0, 0.2, 0.2000001, 0.9]))]
+    sim = spark.createDataFrame([(k, f"L{i}", s) for k, c, s in sims for i in range(400) if kind[i] == c], "request_id string, location_id string, sim double")
+    terms = spark.createDataFrame([(f"r{k}", f"L{i}", r.random() / 3, r.choice([None, 0.4]), r.random() / 3) for k in range(12) for i in r.sample(range(400), 40)], "request_id string, location_id string, item_collab double, session double, user_collab double")
+    seen = spark.createDataFrame([(f"u{k}", f"L{i}") for k in range(0, 12, 3) for i in r.sample(range(400), 50)], "user_key string, location_id string")
+    every = requests.crossJoin(places).join(sim, ["request_id", "location_id"], "left").join(terms, ["request_id", "location_id"], "left").withColumn("user_collab", F.when(F.col("is_returning"), F.col("user_collab")))
+    every = every.withColumn("final_score", rank.final_score()).where(rank.category_mask()).join(seen, ["user_key", "location_id"], "left_anti")
+    cols = ("request_id", "pool_rank", "location_id", "target")
+    want = sorted(tuple(x) for x in rank.top_pool(every).select(*cols).collect())
+    first = rank.classes(places).select(F.col("class").alias("location_id"))
+    got = rank.best_places(requests, places, sim.join(first, "location_id", "left_semi"), terms, seen)
+    assert sorted(tuple(x) for x in got.select(*cols).collect()) == want and len(want) > 600
+    assert rank.best_places(requests.limit(0), places, sim, terms, seen).count() == 0
