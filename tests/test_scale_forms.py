@@ -243,3 +243,45 @@ def test_backfill_works_out_distances_once(spark):
     days, pool = spark.createDataFrame([("r", 1, 1, "s", "Start", "morning", 41.90, -87.60)], STOPS), spark.createDataFrame([("r", 1, "x", "X", ["lunch"], 41.9, -87.6)], POOL)
     plan = itinerary.backfill(days, pool)._jdf.queryExecution().analyzed().toString()
     assert plan.upper().count("ASIN(") <= 2  # one for the medoid, one for a candidate
+
+
+def test_products_are_dealt_to_all_cores(spark):
+    p = spark.createDataFrame([(f"L{k}", 41.6 + k / 100, -87.9 + k * 7 % 20 / 100) for k in range(60)], "location_id string, lat double, lon double").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    km = geo.haversine_pairs(p.where("location_id = 'L0'"), p)
+    assert km.rdd.getNumPartitions() >= cores
+    plain = p.alias("x").where("x.location_id = 'L0'").join(p.alias("y"), F.col("x.location_id") != F.col("y.location_id"))
+    want = plain.select("x.location_id", F.col("y.location_id").alias("b"), geo.haversine(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon")).alias("km"))
+    got = {(a, b): x for a, b, x in rows(km)}
+    assert len(got) == 59 and all(abs(got[(a, b)] - x) < 1e-9 for a, b, x in rows(want))
+    every = rank.expand_candidates(p.select(F.col("location_id").alias("request_id")), p.select("location_id"))
+    assert every.rdd.getNumPartitions() >= cores and every.distinct().count() == 3600
+
+
+def test_six_places_by_arithmetic(spark):
+    from trailmark.plans.base import r6, six
+
+    df = spark.createDataFrame([(x,) for x in (0.0, -0.0, None, 1 / 128, -1 / 128, 1 / 3, -2 / 3, 12345.6789015, 20015.1, 4e-7, -4e-7)], "x double")
+    assert [repr(x["a"]) for x in df.select(six("x").alias("a")).collect()] == [repr(x["a"]) for x in df.select(r6("x").alias("a")).collect()]
+
+
+def test_candidates_and_scores_by_classes_equal_all_pairs(spark):
+    r = random.Random(11)
+    cats = [["a", "x"], ["b", "x"], ["A", "y"], ["c"]]
+    kind = [r.randint(0, 3) for _ in range(700)]  # classes of more than one block of places remain to be met
+    places = spark.createDataFrame([(f"L{k}", cats[c], r.random(), r.choice([None, 0.3]), int(r.random() < 0.2), 0, r.choice([None, 0.5])) for k, c in enumerate(kind)], "location_id string, categories array<string>, popularity double, trending double, is_hot_spot_location int, is_favorite_location int, feedback_penalty double")
+    req = [(f"r{k}", f"u{k}", k % 3 == 0, r.choice([[], ["A"], ["a", "c"]]), r.choice([[], ["Y"]])) for k in range(9)]
+    requests = spark.createDataFrame(req, "request_id string, user_key string, is_returning boolean, interests array<string>, avoid_categories array<string>")
+    gone = spark.createDataFrame([(f"r{k}", f"L{i}") for k in (0, 3) for i in r.sample(range(700), 50)], "request_id string, location_id string")
+    every = requests.crossJoin(places)
+    want = every.where(rank.category_mask())
+    assert rows(rank.candidates(requests, places)) == rows(want, "request_id", "location_id")
+    assert rows(rank.candidates(requests, places, gone)) == rows(want.join(gone, ["request_id", "location_id"], "left_anti"), "request_id", "location_id")
+    s = {(k, c): r.random() for k in range(9) for c in range(3)}  # the fourth class shares nothing with anybody
+    sim = spark.createDataFrame([(f"r{k}", f"L{i}", s[k, kind[i]]) for k in range(9) for i in range(700) if kind[i] < 3], "request_id string, location_id string, sim double")
+    terms = spark.createDataFrame([(f"r{k}", f"L{i}", r.random(), r.choice([None, 0.4]), r.random()) for k in range(9) for i in r.sample(range(90), 40)], "request_id string, location_id string, item_collab double, session double, user_collab double")
+    all_ = every.join(sim, ["request_id", "location_id"], "left").join(terms, ["request_id", "location_id"], "left").withColumn("user_collab", F.when(F.col("is_returning"), F.col("user_collab")))
+    first = rank.classes(places).select(F.col("class").alias("location_id"))
+    got = rank.score_all(requests, places, sim.join(first, "location_id", "left_semi"), terms)
+    cols = ["request_id", "location_id", *[F.coalesce(c, F.lit(0.0)) for c in rank.TERMS], "final_score"]
+    assert rows(got, *cols) == rows(all_.withColumn("final_score", rank.final_score()), *cols)
