@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.shared import written
+from ..sources.shared import tasks, written
 
 FOUND = "query string, user_key string, sim double"
 
@@ -53,7 +53,7 @@ def compare(queries: DataFrame, users: DataFrame, pairs: DataFrame, k: int) -> D
     cols = ["chunk", "rank", "block", "key", "self", "v", "floor"]
     asked = queries.withColumn("rank", F.lit(float("-inf"))).withColumn("block", F.lit(0).cast("long")).withColumn("key", F.col("query")).select(cols)
     near = pairs.join(users, "block").withColumn("rank", -F.col("bound")).withColumn("key", F.col("user_key")).withColumn("self", F.lit(None).cast("string")).withColumn("floor", F.lit(None).cast("double")).select(cols)
-    rows = asked.unionByName(near).repartition("chunk").sortWithinPartitions("chunk", "rank", "block", "key")
+    rows = asked.unionByName(near).repartition(tasks(users.sparkSession), "chunk").sortWithinPartitions("chunk", "rank", "block", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
@@ -120,27 +120,44 @@ class Chunk:
         u = np.zeros((len(users), self.m.shape[1]))
         np.add.at(u, (row[known], code[known]), w[known])
         may = np.flatnonzero(self.m @ u.max(axis=0, initial=0.0) >= self.floor - 1e-9)
-        s = np.round(self.m[may] @ u.T, 12)
-        order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, : self.k + 1]  # users stand in order of their keys; one more, for oneself
-        for i, q in enumerate(may.tolist()):
-            best = [(-round(s[i, j], 9), users[j], s[i, j]) for j in order[i].tolist() if s[i, j] > 0 and not (self.has_own[q] and users[j] == self.own[q])]
-            self.found[q] = sorted(self.found[q] + best)[: self.k]
-            if len(self.found[q]) == self.k:
-                self.floor[q] = max(self.floor[q], -self.found[q][-1][0])
+        s = self.m[may] @ u.T
+        hit, other = np.nonzero((s >= self.floor[may, None] - 1e-9) & (s > 0))  # all others are passed by after one comparison
+        sims, q = np.round(s[hit, other], 12), may[hit]
+        top, keys = np.round(sims, 9), np.array(users, dtype=object)[other]
+        last = np.array([f[-1][1] if len(f) == self.k else None for f in self.found], dtype=object)[q]
+        worst = np.array([-f[-1][0] if len(f) == self.k else -1.0 for f in self.found])[q]
+        free = ~self.has_own[q] | (keys != self.own[q])
+        free[(top < worst) | (sims <= 0)] = False
+        tied = np.flatnonzero(free & (top == worst))
+        free[tied] = [k < x for k, x in zip(keys[tied].tolist(), last[tied].tolist(), strict=True)]
+        q, top, sims, keys, other = q[free], top[free], sims[free], keys[free], other[free]
+        order = np.lexsort((other, -top, q))  # users stand in order of their keys
+        q, top, sims, keys = q[order], top[order], sims[order], keys[order]
+        starts = np.flatnonzero(np.diff(q, prepend=-1))
+        for lo, hi in zip(starts.tolist(), np.append(starts, len(q))[1:].tolist(), strict=True):
+            hi, i = min(hi, lo + self.k), int(q[lo])
+            self.found[i] = sorted(self.found[i] + list(zip((-top[lo:hi]).tolist(), keys[lo:hi].tolist(), sims[lo:hi].tolist(), strict=True)))[: self.k]
+            if len(self.found[i]) == self.k:
+                self.floor[i] = max(self.floor[i], -self.found[i][-1][0])
 
     def best(self) -> pa.RecordBatch:
         rows = [(q, u, s) for q, found in zip(self.keys, self.found, strict=True) for _, u, s in found]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["query", "user_key", "sim"])
 
 
-def nearest_users(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 256, chunk: int = 512) -> DataFrame:
+def nearest_users(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 256, chunk: int | None = None) -> DataFrame:
     """(query, user_key, sim, rank): the k users of the greatest cosine above 0, oneself excluded; ties by user_key.
 
     queries: (query, self, category, w), vectors: (user_key, category, w), both of length 1 by key and not negative. block and chunk: rows in a block of
     users and in a chunk of queries, about. Null keys are left out; no rows, no rows.
+
+    A block of users is sent once to each chunk, so what is shuffled grows with the number of chunks: without a given size they are as large as leaves two for each task
+    (512 queries at least, 8,192 at most).
     """
     users = written(in_blocks(packed(vectors.where("user_key is not null and category is not null"), "user_key"), F.col("user_key"), block, "block"), "user_blocks")
-    asked = written(in_blocks(packed(queries.where("query is not null and category is not null"), "query", "self"), F.col("query"), chunk, "chunk"), "query_chunks")
+    asked = written(packed(queries.where("query is not null and category is not null"), "query", "self"), "queries")
+    size = chunk or min(8192, max(512, asked.count() // (2 * tasks(asked.sparkSession))))
+    asked = written(in_blocks(asked, F.col("query"), size, "chunk"), "query_chunks")
     bounds = written(block_bounds(asked, users), "block_bounds")
     first = bounds.withColumn("_r", F.row_number().over(W.partitionBy("chunk").orderBy(F.desc("bound"), "block"))).where("_r <= 2").drop("_r")
     best = written(compare(asked.withColumn("floor", F.lit(0.0)), users, first, k), "nearest_first")
