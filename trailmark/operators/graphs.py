@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import min_max
-from ..sources.shared import written
+from ..sources.shared import tasks, written
 
 
 def jaccard_pairs(df: DataFrame, basket: str, item: str, catalogue: DataFrame | None = None, max_items: int | None = None, block: int = 500) -> DataFrame:
@@ -16,6 +16,9 @@ def jaccard_pairs(df: DataFrame, basket: str, item: str, catalogue: DataFrame |
     Pairs are made distinct first and larger baskets than max_items (a stated limit, off by default) left out. A basket of more than
     `block` items is dealt into blocks of about so many, and each pair of its blocks is a join key of its own: an item goes to every pair that its block
     is in, so a basket of n items is n * n / block rows over as many tasks, and no task has more than two blocks of it.
+
+    An item's number of baskets travels with it, so pairs are summed once and joined with nothing after. Tasks grow with the number of pairs (about two million
+    met and a million summed in each); the pairs are dealt before they are summed only where most of them may be different.
     """
     pairs = df.select(F.col(basket).alias("b"), F.col(item).alias("i")).where("b is not null and i is not null").distinct()
     if catalogue is not None:
@@ -25,15 +28,24 @@ def jaccard_pairs(df: DataFrame, basket: str, item: str, catalogue: DataFrame |
     if max_items is not None:
         pairs = pairs.join(sizes.where(F.col("_n") <= max_items).select("b"), "b", "left_semi")
     n = pairs.groupBy("i").agg(F.count("*").alias("n"))
+    spark = df.sparkSession
+    met = sizes.agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2)).first()[0] or 0
+    items = n.agg(F.count("*")).first()[0]
+    different = min(met, items * (items - 1) / 2)
+    pairs = pairs.join(n, "i")
     large = sizes.where(F.col("_n") > block).select("b", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     own = pairs.join(large, "b", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("g", F.pmod(F.xxhash64("i"), F.col("_blocks")).cast("int"))
-    dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("b", "i", "g", F.least("g", "_o").alias("p"), F.greatest("g", "_o").alias("q"))
+    dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("b", "i", "n", "g", F.least("g", "_o").alias("p"), F.greatest("g", "_o").alias("q"))
+    dealt = dealt.repartition(max(tasks(spark), int(met // 2_000_000) + 1), "b", "p", "q")
     x, y = dealt.alias("x"), dealt.alias("y")
     meet = (F.col("x.b") == F.col("y.b")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q")) & (F.col("x.i") < F.col("y.i")) & ((F.col("x.p") == F.col("x.q")) | (F.col("x.g") != F.col("y.g")))
-    both = x.join(y, meet).groupBy(F.col("x.i").alias("src"), F.col("y.i").alias("dst")).agg(F.count("*").alias("n_both"))
-    j = both.join(n.select(F.col("i").alias("src"), F.col("n").alias("n_src")), "src").join(n.select(F.col("i").alias("dst"), F.col("n").alias("n_dst")), "dst")
-    half = j.select("src", "dst", (F.col("n_both") / (F.col("n_src") + F.col("n_dst") - F.col("n_both"))).alias("weight"))
-    return half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    each = x.join(y, meet).select(F.col("x.i").alias("src"), F.col("y.i").alias("dst"), F.col("x.n").alias("n_src"), F.col("y.n").alias("n_dst"))
+    if different > 1_000_000 * tasks(spark):
+        each = each.repartition(int(different // 1_000_000) + 1, "src", "dst")
+    both = each.groupBy("src", "dst").agg(F.count("*").alias("n_both"), F.max("n_src").alias("n_src"), F.max("n_dst").alias("n_dst"))
+    half = both.select("src", "dst", (F.col("n_both") / (F.col("n_src") + F.col("n_dst") - F.col("n_both"))).alias("weight"))
+    ways = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return half.select(ways.alias("e"), "weight").select("e.src", "e.dst", "weight")
 
 
 def transitions(events: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -47,8 +59,16 @@ def transitions(events: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def edge_scores(seeds: DataFrame, edges: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(request_id, location_id, score): mean edge weight over the request's seeds in the catalogue; repeated seeds count twice."""
-    matched = seeds.join(catalogue.select("location_id"), "location_id", "left_semi")
+    """(request_id, location_id, score): mean edge weight over the request's seeds in the catalogue; repeated seeds count twice.
+
+    Seeds are dealt by request into tasks that grow with their number: each meets all edges of its place, so a task's work is far more than its bytes. Few edges
+    are sent to all tasks, and then nothing is shuffled again.
+    """
+    edges = written(edges.select("src", "dst", "weight"), "edges")
+    if edges.count() <= 300_000:
+        edges = F.broadcast(edges)
+    matched = seeds.join(catalogue.select("location_id"), "location_id", "left_semi").select("request_id", "location_id")
+    matched = matched.repartition(max(tasks(seeds.sparkSession), seeds.count() // 20_000 + 1), "request_id")
     n = matched.groupBy("request_id").agg(F.count("*").alias("_n"))
     s = matched.join(edges, matched.location_id == edges.src).groupBy("request_id", F.col("dst").alias("location_id")).agg(F.sum("weight").alias("_w"))
     return s.join(n, "request_id").select("request_id", "location_id", (F.col("_w") / F.col("_n")).alias("score"))
