@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import min_max
-from ..sources.shared import written
+from ..sources.shared import tasks, written
 
 
 def jaccard_pairs(df: DataFrame, basket: str, item: str, catalogue: DataFrame | None = None, max_items: int | None = None, block: int = 500) -> DataFrame:
@@ -54,6 +56,24 @@ def edge_scores(seeds: DataFrame, edges: DataFrame, catalogue: DataFrame) -> Dat
     return s.join(n, "request_id").select("request_id", "location_id", (F.col("_w") / F.col("_n")).alias("score"))
 
 
+def joint_edge_scores(seeds: DataFrame, kinds: dict[str, DataFrame], catalogue: DataFrame, few: int = 1_000_000) -> dict[str, DataFrame]:
+    """B5 over several kinds of edges at once: the edge_scores of each.
+
+    Edges of the same two places are one row, so seeds meet them once and not once a kind. A seed meets all edges of its place, far more than the bytes it starts from
+    tell: seeds are dealt to all cores by request, and up to `few` edges sent to all tasks, so what they meet is summed where it is and not shuffled; more edges are dealt by place.
+    """
+    n = tasks(seeds.sparkSession)
+    each = [e.select("src", "dst", *[(F.col("weight") if k == kind else F.lit(None).cast("double")).alias(k) for k in kinds]) for kind, e in kinds.items()]
+    edges = written(reduce(DataFrame.unionByName, each).groupBy("src", "dst").agg(*[F.max(k).alias(k) for k in kinds]), "edges")
+    matched = seeds.join(catalogue.select("location_id"), "location_id", "left_semi").select("request_id", F.col("location_id").alias("src"))
+    matched = written(matched, "matched_seeds")
+    sizes = matched.groupBy("request_id").agg(F.count("*").alias("_n"))
+    met = matched.repartition(n, "request_id").join(F.broadcast(edges), "src") if edges.count() <= few else matched.repartition(n, "src").join(edges.repartition(n, "src"), "src")
+    sums = met.groupBy("request_id", F.col("dst").alias("location_id")).agg(*[F.sum(k).alias(k) for k in kinds])
+    sums = written(sums.join(sizes, "request_id"), "edge_sums")
+    return {k: sums.where(F.col(k).isNotNull()).select("request_id", "location_id", (F.col(k) / F.col("_n")).alias("score")) for k in kinds}
+
+
 def divide_by_max(scores: DataFrame, column: str = "score") -> DataFrame:
     """By the request's greatest score if that is above 0."""
     top = F.max(column).over(W.partitionBy("request_id"))
