@@ -245,3 +245,13 @@ def test_licence_headers_people_write(spark):
     assert got == {1: ("apache", 1, "apache:0-4:0"), 2: ("gpl-notice", 1, "gpl-notice:2-4:0"), 3: ("mit", 1, "mit:2-3:0"), 4: ("mit", 1, "mit:6-7:0"), 5: ("bsd", 2, "bsd:0-4:0,bsd:5-9:0"), 6: ("", 0, "")}
     hits = [("a", "x" * 10, 0, 10, 1), ("a", "x" * 5, 3, 8, 0), ("a", "x" * 5, 8, 13, 0), ("b", "x" * 10, 0, 10, 1)]
     assert licences.one_a_place(hits) == [hits[3], hits[1], hits[2]]
+
+
+def test_frequent_words_have_small_numbers(spark):
+    """op13's disk: a word of twice the count and more comes before, and numbers have no gaps."""
+    from trailmark.llm import collocations
+
+    df = spark.createDataFrame([("en", f"w{k}", 30 + k * k) for k in range(300)], "lang string, word string, n long")
+    got = sorted((r.number, r.n) for r in collocations.numbered(df, "lang", "word", buckets=8, often="n").collect())
+    assert [k for k, _ in got] == list(range(300))
+    assert all(b < 2 * a for (_, a), (_, b) in zip(got, got[1:], strict=False))

@@ -65,11 +65,16 @@ def number_words(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     return written(rows.mapInArrow(read, "block long, lang string, codes binary, words array<string>, counts array<long>"), "numbered")
 
 
-def numbered(rows: DataFrame, *order: str, buckets: int = 4096) -> DataFrame:
-    """rows with a number (0.. without gaps, below 2^31) each: by hash bucket, then by order; no task sorts all rows."""
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+def numbered(rows: DataFrame, *order: str, buckets: int = 4096, often: str | None = None) -> DataFrame:
+    """rows with a number (0.. without gaps, below 2^31) each: by hash bucket, then by order; no task sorts all rows.
+
+    often: a count by whose powers of two rows come first, the greatest first: frequent words have small numbers, which pack into fewer bytes.
+    """
+    hashed = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    level = F.lit(0) if often is None else (F.lit(63) - F.floor(F.log2(often))) * buckets
+    rows = rows.withColumn("_b", (level + hashed).cast("int"))
     counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # `buckets` rows
+    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # `buckets` rows (for each power of two)
     counts = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = rows.withColumn("_i", F.row_number().over(W.partitionBy("_b").orderBy(*order)))
     return own.join(F.broadcast(counts), "_b").withColumn("number", (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_b", "_i", "_before")
@@ -244,7 +249,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     blocks = number_words(docs)
     words = written(blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n")), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    vocabulary = written(numbered(words.where(F.col("n") >= least), "lang", "word"), "vocabulary")
+    vocabulary = written(numbered(words.where(F.col("n") >= least), "lang", "word", buckets=512, often="n"), "vocabulary")
     coded = with_numbers(blocks, vocabulary)
     phrases = vocabulary.select(F.array("number").alias("words"), "n")
     level = written(found_pairs(coded, least), "candidates_2")
