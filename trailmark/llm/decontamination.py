@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import mix
+from .workers import gives_back
 
 BITS = 22
 SHARED = 2_000_000
@@ -210,6 +211,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, q:
     for patterns in pattern_blocks(benchmark, edit_rate, q, min_chars, block_chars):
         held = docs.sparkSession.sparkContext.broadcast(patterns)
 
+        @gives_back
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             p = held.value
             short = p.short_finder()
@@ -236,6 +238,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1,
     for patterns in pattern_blocks(benchmark, edit_rate, q, min_chars, block_chars):
         held = docs.sparkSession.sparkContext.broadcast(patterns)
 
+        @gives_back
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             p = held.value
             short = p.short_finder()

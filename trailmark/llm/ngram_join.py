@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from .components import connected_components, dealt_anew
 from .packed import LOWER, blocks, mix, span_hashes, spaced, utf8, word_spans
 from .shared import renamed_aside, written
+from .workers import gives_back
 
 N = 5  # words in a shingle
 HASHES, BAND, STEP = 128, 4, 32
@@ -75,6 +76,7 @@ def minhash(h: np.ndarray, n: np.ndarray, seed: int = 5) -> np.ndarray:
 def signatures(texts: DataFrame) -> DataFrame:
     """(id, doc_id, sig, bands) of texts(id, doc_id, text) that have shingles; sig holds 16 bits of each value."""
 
+    @gives_back
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.array([0xC2B2AE3D27D4EB4F ** (k + 1) & (1 << 64) - 1 for k in range(BAND)], np.uint64)
         for b in batches:
@@ -190,6 +192,7 @@ def class_table(texts: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     spread = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "blocks", "sig", "text")
     least = least_matches(threshold, tolerance)
 
+    @gives_back
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)

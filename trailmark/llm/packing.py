@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from .packed import blocks, utf8
 from .shared import renamed_aside, written
 from .tokens import encoder
+from .workers import gives_back
 
 PIECE_FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 GAP, PIECE = 0, 1  # kinds of rows in a round; at equal sizes the gap comes first
@@ -39,6 +40,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     """
     schema = pa.schema(PIECE_FIELDS + [("ids", pa.binary())] * with_ids)
 
+    @gives_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, keep_space=False)
         for b in batches:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .packed import blocks, utf8
 from .shared import renamed_aside, written
 from .tokens import release
+from .workers import gives_back
 
 TAPS, SEGMENT, CHUNK, STRIDE = 6, 64, 4, 3  # bytes, bytes, segments in a chunk, segments from chunk to chunk
 FAR = np.float32(-1e9)
@@ -173,6 +174,7 @@ def score_quality(docs: DataFrame, model: ByteConv) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     names = docs.columns
 
+    @gives_back
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()  # chunks kept by an earlier stage's encoder
         m = held.value

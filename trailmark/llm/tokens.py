@@ -6,9 +6,9 @@ import gc
 import re
 
 import numpy as np
-import pyarrow as pa
 
 from .packed import LONG, LOWER, same_spans, span_hashes
+from .workers import give_back
 
 CACHE_CHUNKS = 4_000_000  # per Python worker, about 45 bytes each (results don't depend on it); chunks over LONG bytes are not kept
 JOINED = 64  # plain chunks encoded in one string, parted by a sign that stays a token of its own
@@ -251,4 +251,4 @@ def release() -> None:
     """Let go of the chunks that this worker has kept, in tasks of a stage that encodes nothing."""
     for e in _ENCODERS.values():
         e.cache.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
