@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .packed import blocks, utf8
 from .shared import renamed_aside, written
 from .tokens import release
-from .workers import gives_back
+from .workers import give_back, gives_back
 
 TAPS, SEGMENT, CHUNK, STRIDE = 6, 64, 4, 3  # bytes, bytes, segments in a chunk, segments from chunk to chunk
 FAR = np.float32(-1e9)
@@ -171,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 def score_quality(docs: DataFrame, model: ByteConv) -> DataFrame:
     """Add score (0 to 1) to docs, from each whole text alone. A null text is an empty one; clashing columns get the suffix _in."""
     docs = renamed_aside(docs, ("doc_id", "text"), ("score",))
+    give_back()  # what training has freed would stay with the driver
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     names = docs.columns
 
