@@ -5,6 +5,9 @@ these over the inverted lists bounds the cosine of any query in a chunk with any
 of queries with the blocks of its greatest bounds, which gives every query a floor (its k-th best so far); the second pass takes
 only blocks whose bound reaches the chunk's lowest floor, and within a block only queries whose own bound (weights times the
 block's greatest weights) reaches their floor. Each pass keeps k rows a query. No category is a key of user rows, so none is hot.
+
+A user is sent to every chunk that its block may be near to. Chunks grow with the queries and their number is that of the tasks, so what is sent grows with the
+users and not with users times queries; only past MOST queries a chunk, which bounds a task's memory, there are more.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Window as W
 from ..sources.shared import tasks, written
 
 FOUND = "query string, user_key string, sim double"
+LEAST, MOST, SLICE = 512, 32_768, 4_096  # queries in a chunk, and in a product with a block
 
 
 def packed(vectors: DataFrame, *keys: str) -> DataFrame:
@@ -50,7 +54,7 @@ def compare(queries: DataFrame, users: DataFrame, pairs: DataFrame, k: int) -> D
 
     A task holds one chunk of queries and one block of users at a time.
     """
-    cols = ["chunk", "rank", "block", "key", "self", "v", "floor"]
+    cols = ["chunk", "rank", "block", "key", "self", F.col("v.category").alias("category"), F.col("v.w").alias("w"), "floor"]  # two plain arrays are half the bytes of one of pairs
     asked = queries.withColumn("rank", F.lit(float("-inf"))).withColumn("block", F.lit(0).cast("long")).withColumn("key", F.col("query")).select(cols)
     near = pairs.join(users, "block").withColumn("rank", -F.col("bound")).withColumn("key", F.col("user_key")).withColumn("self", F.lit(None).cast("string")).withColumn("floor", F.lit(None).cast("double")).select(cols)
     rows = asked.unionByName(near).repartition(tasks(users.sparkSession), "chunk").sortWithinPartitions("chunk", "rank", "block", "key")
@@ -92,11 +96,19 @@ def compare(queries: DataFrame, users: DataFrame, pairs: DataFrame, k: int) -> D
 
 
 def sparse(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, category and weight of each entry of column v."""
-    v = t.column("v").combine_chunks()
-    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
-    flat = v.flatten()
-    return np.repeat(np.arange(len(v)), np.diff(np.asarray(v.offsets))), np.asarray(flat.field("category").cast(pa.large_string()).to_numpy(zero_copy_only=False), dtype=object), np.asarray(flat.field("w"))
+    """Row, category and weight of each entry of column v, or of columns category and w."""
+
+    def flat(name: str) -> tuple[np.ndarray, pa.Array]:
+        v = t.column(name).combine_chunks()
+        v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+        return np.repeat(np.arange(len(v)), np.diff(np.asarray(v.offsets))), v.flatten()
+
+    if "v" in t.column_names:
+        row, v = flat("v")
+        category, w = v.field("category"), v.field("w")
+    else:
+        (row, category), (_, w) = flat("category"), flat("w")
+    return row, category.to_numpy(zero_copy_only=False), w.to_numpy(zero_copy_only=False)
 
 
 class Chunk:
@@ -104,43 +116,94 @@ class Chunk:
 
     def __init__(self, t: pa.Table, k: int):
         row, category, w = sparse(t)
-        names, code = np.unique(category.astype(str), return_inverse=True)
-        self.k, self.code_of = k, {n: i for i, n in enumerate(names.tolist())}
-        self.keys, self.own = t.column("key").to_pylist(), np.array([x if x is not None else "" for x in t.column("self").to_pylist()], dtype=object)
-        self.has_own = np.array([x is not None for x in t.column("self").to_pylist()])
-        self.m = np.zeros((len(self.keys), len(names)))
+        self.k = k
+        self.names, code = np.unique(category, return_inverse=True)
+        self.keys, own = t.column("key").to_pylist(), t.column("self").to_pylist()
+        self.own, self.has_own = np.array([x if x is not None else "" for x in own], dtype=object), np.array([x is not None for x in own])
+        self.m = np.zeros((len(self.keys), len(self.names)))
         np.add.at(self.m, (row, code), w)
+        self.rough = self.m.astype(np.float32)
         self.floor = np.nan_to_num(t.column("floor").to_numpy(zero_copy_only=False).astype(float), nan=0.0)
-        self.found: list[list[tuple[float, str, float]]] = [[] for _ in self.keys]
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, similarity, user
+        self.fresh = 0
 
     def meet(self, row: np.ndarray, category: np.ndarray, w: np.ndarray, users: list[str]) -> None:
-        """Compare with one block of users; queries whose bound is below their floor are left out."""
-        code = np.array([self.code_of.get(c, -1) for c in category.tolist()], np.int64)
-        known = code >= 0
+        """Compare with one block of users, in order of their keys; queries whose bound is below their floor are left out.
+
+        Single precision tells which pairs can reach a floor, and only these are worked out in double.
+        """
+        if not len(self.names):
+            return
+        code = np.minimum(np.searchsorted(self.names, category), len(self.names) - 1)
+        known = self.names[code] == category
         u = np.zeros((len(users), self.m.shape[1]))
         np.add.at(u, (row[known], code[known]), w[known])
+        rough, names = u.astype(np.float32).T, np.array(users, dtype=object)
         may = np.flatnonzero(self.m @ u.max(axis=0, initial=0.0) >= self.floor - 1e-9)
-        s = np.round(self.m[may] @ u.T, 12)
-        order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, : self.k + 1]  # users stand in order of their keys; one more, for oneself
-        for i, q in enumerate(may.tolist()):
-            best = [(-round(s[i, j], 9), users[j], s[i, j]) for j in order[i].tolist() if s[i, j] > 0 and not (self.has_own[q] and users[j] == self.own[q])]
-            self.found[q] = sorted(self.found[q] + best)[: self.k]
-            if len(self.found[q]) == self.k:
-                self.floor[q] = max(self.floor[q], -self.found[q][-1][0])
+        for at in range(0, len(may), SLICE):
+            q = may[at : at + SLICE]
+            new = self.floor[q] <= 0  # without a floor: a block's first k and one more, for oneself
+            a, b = np.nonzero(self.rough[q] @ rough >= (self.floor[q] - 1e-5).astype(np.float32)[:, None]) if not new.all() else (np.zeros(0, int), np.zeros(0, int))
+            a, b = a[~new[a]], b[~new[a]]
+            if new.any():
+                first = np.argsort(-np.round(self.m[q[new]] @ u.T, 9), axis=1, kind="stable")[:, : self.k + 1]
+                a, b = np.concatenate([a, np.repeat(np.flatnonzero(new), first.shape[1])]), np.concatenate([b, first.ravel()])
+            a = q[a]
+            s = np.round(np.einsum("ij,ij->i", self.m[a], u[b]), 12)
+            good = (s > 0) & (np.round(s, 9) >= self.floor[a]) & ~(self.has_own[a] & (self.own[a] == names[b]))
+            if good.any():
+                self.kept.append((a[good], s[good], names[b[good]]))
+                self.fresh += int(good.sum())
+        if self.fresh > len(self.keys) * self.k // 2:
+            self.cut()
+
+    def cut(self) -> None:
+        """Keep each query's k best and raise the floors; in order of queries and ranks."""
+        if not self.fresh:
+            return
+        q, s, user = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        order = np.lexsort((np.unique(user, return_inverse=True)[1], -np.round(s, 9), q))
+        q, s, user = q[order], s[order], user[order]
+        start = np.searchsorted(q, q)
+        best = np.arange(len(q)) - start < self.k
+        last = np.flatnonzero(np.arange(len(q)) - start == self.k - 1)
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], np.round(s[last], 9))
+        self.kept, self.fresh = [(q[best], s[best], user[best])], 0
+
+    @property
+    def found(self) -> list[list[tuple[float, str, float]]]:
+        """Of each query its best (-similarity to nine places, user, similarity)."""
+        self.cut()
+        out: list[list[tuple[float, str, float]]] = [[] for _ in self.keys]
+        for part in self.kept:
+            for q, s, user in zip(*part, strict=True):
+                out[q].append((-round(float(s), 9), user, float(s)))
+        return out
 
     def best(self) -> pa.RecordBatch:
-        rows = [(q, u, s) for q, found in zip(self.keys, self.found, strict=True) for _, u, s in found]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["query", "user_key", "sim"])
+        self.cut()
+        q, s, user = self.kept[0] if self.kept else (np.zeros(0, int), np.zeros(0), np.zeros(0, object))
+        return pa.RecordBatch.from_arrays([pa.array([self.keys[i] for i in q.tolist()], pa.string()), pa.array(user.tolist(), pa.string()), pa.array(s, pa.float64())], names=["query", "user_key", "sim"])
+
+
+def coded(vectors: DataFrame, categories: DataFrame) -> DataFrame:
+    """vectors(.., category, w) with the numbers of categories(category, code) instead of their names; others, which no user has, are left out."""
+    return vectors.join(categories, "category").withColumn("category", F.col("code")).drop("code")
 
 
-def nearest_users(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 256, chunk: int = 512) -> DataFrame:
+def nearest_users(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 512, chunk: int | None = None) -> DataFrame:
     """(query, user_key, sim, rank): the k users of the greatest cosine above 0, oneself excluded; ties by user_key.
 
     queries: (query, self, category, w), vectors: (user_key, category, w), both of length 1 by key and not negative. block and chunk: rows in a block of
-    users and in a chunk of queries, about. Null keys are left out; no rows, no rows.
+    users and in a chunk of queries, about; without chunk a task's share of the queries. Null keys are left out; no rows, no rows.
     """
-    users = written(in_blocks(packed(vectors.where("user_key is not null and category is not null"), "user_key"), F.col("user_key"), block, "block"), "user_blocks")
-    asked = written(in_blocks(packed(queries.where("query is not null and category is not null"), "query", "self"), F.col("query"), chunk, "chunk"), "query_chunks")
+    vectors, queries = vectors.where("user_key is not null and category is not null"), queries.where("query is not null and category is not null")
+    names = vectors.select("category").distinct()  # a catalogue's, so they are few
+    names = written(names.select("category", F.row_number().over(W.orderBy("category")).alias("code")), "category_codes")
+    users = written(in_blocks(packed(coded(vectors, names), "user_key"), F.col("user_key"), block, "block"), "user_blocks")
+    asked = written(packed(coded(queries, names), "query", "self"), "query_vectors")
+    chunk = chunk or max(LEAST, min(MOST, -(-asked.count() // tasks(queries.sparkSession))))
+    asked = written(in_blocks(asked, F.col("query"), chunk, "chunk"), "query_chunks")
     bounds = written(block_bounds(asked, users), "block_bounds")
     first = bounds.withColumn("_r", F.row_number().over(W.partitionBy("chunk").orderBy(F.desc("bound"), "block"))).where("_r <= 2").drop("_r")
     best = written(compare(asked.withColumn("floor", F.lit(0.0)), users, first, k), "nearest_first")
